@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import host_rules, license, mixing, token_count, toxicity
+from folioscope.llm import host_rules, license, mixing, piece_dropout, token_count, toxicity
 from folioscope.llm.shared import table
 
 
@@ -27,10 +27,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_dropout.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op6_license_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op6_license_scan, op9_piece_dropout, op10_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
