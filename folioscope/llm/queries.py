@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import host_rules, license, mixing, near_dup, piece_dropout, token_count, toxicity
+from folioscope.llm import host_rules, license, mixing, near_dup, piece_dropout, token_count, toxicity, warc
 from folioscope.llm.shared import table
 
 
@@ -27,6 +27,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.join_near(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op6_license_scan, op8_near_duplicates, op9_piece_dropout, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op6_license_scan, op7_warc_archive, op8_near_duplicates, op9_piece_dropout, op10_source_mix)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {op7_warc_archive.__name__: warc.ORACLE}
