@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import host_rules, license, mixing, near_dup, piece_dropout, token_count, toxicity, voronoi, warc
+from folioscope.llm import host_rules, license, mixing, near_dup, packing, piece_dropout, token_count, toxicity, voronoi, warc
 from folioscope.llm.shared import table
 
 
@@ -24,6 +25,10 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.rules_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op5_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -48,6 +53,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op5_voronoi_top_k, op6_license_scan, op7_warc_archive, op8_near_duplicates, op9_piece_dropout, op10_source_mix)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op4_packed_ids, op5_voronoi_top_k, op6_license_scan, op7_warc_archive, op8_near_duplicates, op9_piece_dropout, op10_source_mix, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {op5_voronoi_top_k.__name__: voronoi.ORACLE, op7_warc_archive.__name__: warc.ORACLE}
