@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import registry
+from folioscope.plans import ingest_queries, registry  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
