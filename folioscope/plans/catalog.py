@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import ingest_queries, kernel_queries, registry, retrieval_queries, table_queries  # noqa: F401
+from folioscope.plans import ingest_queries, kernel_queries, registry, retrieval_queries, table_queries, verify_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
