@@ -128,8 +128,6 @@ def ratio(num: Column, den: Column, num_section: Column, den_section: Column, pe
     return result("margin_pct" if percent else "ratio", F.try_divide(num, den) * (100 if percent else 1), "%" if percent else "x", error)
 
 
-SERIES = Window.partitionBy("series_id").orderBy("series_ix")
-
 
 def ordered_series(points: DataFrame) -> DataFrame:
     """(series_id, key, value, series_ix): by year where every key of the series has one, else in the order given (``ix``)."""
