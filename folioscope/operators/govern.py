@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import patterns as P
 
@@ -153,7 +154,7 @@ def row_hash(previous: Column, content: Column) -> Column:
 def signed(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """``rows`` with seq, content_hash, prev_hash and row_hash: each row's hash takes in the one before, so a key's rows are folded in order."""
     hashed = rows.withColumn("content_hash", content_hash(columns))
-    schema = hashed.schema.add("seq", "int").add("prev_hash", "string").add("row_hash", "string")
+    schema = T.StructType([*hashed.schema.fields, T.StructField("seq", T.IntegerType()), T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
