@@ -44,7 +44,7 @@ CLUSTER_BLOCK = 600_000  # shingles of a cluster that one task holds, twice wher
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
