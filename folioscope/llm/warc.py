@@ -175,7 +175,9 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
         return [Span(x.path, 0, None) for x in found if x.type == fs.FileType.File and x.path.endswith((".warc.gz", ".warc"))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         path, start, end = partition.value
         system, _ = place(self.path)
         with system.open_input_file(path) as f:
