@@ -78,11 +78,11 @@ def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``rules``: the counts and ``base_failed``."""
+    """``docs`` with a struct ``__rules``: the counts and ``base_failed``."""
     rule_counts = F.pandas_udf(counted, COUNTS).asNondeterministic()
     ruled = docs.withColumn("__counts", rule_counts(F.col(text_col)))
     failed = (F.col("__counts.n_words") < MIN_WORDS) | (100 * F.col("__counts.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__counts.n_words"))
-    return ruled.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct("__counts.*", failed.alias("base_failed")).alias("rules"))
+    return ruled.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct("__counts.*", failed.alias("base_failed")).alias("__rules"))
 
 
 def host_verdicts(failures: DataFrame, max_rate: float = 0.5) -> DataFrame:
@@ -101,20 +101,42 @@ def host_verdicts(failures: DataFrame, max_rate: float = 0.5) -> DataFrame:
 
 
 def judged(docs: DataFrame, max_rate: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` with structs ``rules`` and ``verdict`` (host figures and ``kept``)."""
+    """``docs`` with structs ``__rules`` and ``__verdict`` (host figures and ``kept``)."""
     ruled = with_counts(docs, text_col)
-    failures = with_counts(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))).select("host", F.col("rules.base_failed").alias("failed"))
-    hosts = host_verdicts(failures, max_rate).select(F.col("host").alias("__host"), F.struct("n_docs", "n_failed", "shrunk_rate", "host_rejected").alias("__verdict"))
+    failures = with_counts(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))).select("host", F.col("__rules.base_failed").alias("failed"))
+    hosts = host_verdicts(failures, max_rate).select(F.col("host").alias("__host"), F.struct("n_docs", "n_failed", "shrunk_rate", "host_rejected").alias("__found"))
     joined = join_small(ruled.withColumn("__host", F.col(host_col)), hosts, "__host")
-    kept = ~F.col("rules.base_failed") & ~F.col("__verdict.host_rejected")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "rules", F.struct("__verdict.*", kept.alias("kept")).alias("verdict"))
+    kept = ~F.col("__rules.base_failed") & ~F.col("__found.host_rejected")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__rules", F.struct("__found.*", kept.alias("kept")).alias("__verdict"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return judged(docs, **options).where("verdict.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(docs, **options).where("__verdict.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def rules_digest(docs: DataFrame, **options) -> DataFrame:
     j = judged(docs.select("doc_id", "text", "source"), **options)
-    return j.select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words", "rules.base_failed", "verdict.kept", "verdict.shrunk_rate")
+    return j.select("doc_id", "__rules.n_words", "__rules.word_chars", "__rules.n_symbols", "__rules.n_dup_lines", "__rules.n_repeat_words", "__rules.base_failed", "__verdict.kept", F.round("__verdict.shrunk_rate", 6).alias("shrunk_rate"))
+
+
+ORACLE = rf"""
+with w as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, p, array_to_string(ws[p:p + {WINDOW - 1}], ' ') as window_words from (select doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as p from w where len(ws) >= {WINDOW})),
+twice as (select doc_id, p from (select *, count(*) over (partition by doc_id, window_words) as n from win) where n > 1),
+repeated as (select doc_id, count(distinct p + o) as n_repeat_words from twice, range({WINDOW}) as r(o) group by doc_id),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from w),
+dup as (select doc_id, sum(n - 1) as n_dup_lines from (select doc_id, line, count(*) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by all) group by doc_id),
+counts as (
+  select doc_id, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from w left join dup using (doc_id) left join repeated using (doc_id)),
+base as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from counts),
+hosts as (select source, count(*)::double as n, count(*) filter (base_failed)::double as k from base group by source),
+total as (select sum(n) as n, sum(k) / sum(n) as mean, count(*) as h, sum(k * k / n) as kk from hosts),
+prior as (select mean, mean * (1 - mean) as noise, kk / n - mean * mean - mean * (1 - mean) * h / n as spread from total),
+strength as (select mean, case when spread > 1e-9 * noise then least(1e6, greatest(1.0, noise / spread - 1)) else 1e6 end as s from prior),
+judged as (select source, (k + mean * s) / (n + s) as shrunk_rate from hosts, strength)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not shrunk_rate > 0.5 as kept, round(shrunk_rate, 6) as shrunk_rate
+from base b join judged j on b.source is not distinct from j.source
+"""

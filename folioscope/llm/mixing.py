@@ -60,24 +60,39 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, bu
 
 
 def mixing_plan(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """``docs`` with a struct ``mix``: size, source_size, target, rate and copies (how often the row is emitted)."""
+    """``docs`` with a struct ``__mix``: size, source_size, target, rate and copies (how often the row is emitted)."""
     sized = docs.withColumn("__size", n_words(text_col))
     rates = source_targets(sized.select(F.col(source_col).alias("__source"), F.col("__size")), "__source", "__size", **targets)
-    rates = rates.select("__source", F.struct("source_size", "target", "rate").alias("__mix"))
+    rates = rates.select("__source", F.struct("source_size", "target", "rate").alias("__rate"))
     joined = join_small(sized.withColumn("__source", F.col(source_col)), rates, "__source")
-    rate = F.col("__mix.rate")
+    rate = F.col("__rate.rate")
     copies = (F.floor(rate) + (coin(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")).alias("copies")
-    mix = F.struct(F.col("__size").alias("size"), "__mix.source_size", "__mix.target", "__mix.rate", copies)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("mix"))
+    mix = F.struct(F.col("__size").alias("size"), "__rate.source_size", "__rate.target", "__rate.rate", copies)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("__mix"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as its copies say, with the columns of ``docs``."""
     planned = mixing_plan(docs, **options)
-    repeated = planned.where(F.col("mix.copies") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int"))))
+    repeated = planned.where(F.col("__mix.copies") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix.copies").cast("int"))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
     m = mixing_plan(docs.select("doc_id", "text", "source"), **options)
-    return m.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+    return m.select("doc_id", "__mix.size", "__mix.source_size", F.round("__mix.target", 6).alias("target"), (F.col("__mix.size") * F.col("__mix.copies")).alias("taken"))
+
+
+ORACLE = f"""
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size from documents),
+per as (select source, sum(size)::bigint as source_size from sized group by source),
+ranked as (select *, row_number() over (order by source asc nulls last) - 1 as n, source_size * {CAP} as cap from per),
+weighed as (select *, [{', '.join(f'{float(w)}' for w in WEIGHTS)}][(n % {len(WEIGHTS)} + 1)::int]::double as w from ranked),
+leveled as (select *, (sum(source_size) over () * {BUDGET} - coalesce(sum(cap) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) as level
+  from weighed window before as (order by cap / w, n rows between unbounded preceding and 1 preceding)),
+targets as (select source, source_size, least(cap, w * max(level) over ()) as target from leveled),
+rates as (select *, case when source_size > 0 then target / source_size else 0 end as rate from targets)
+select doc_id, size, source_size, round(target::double, 6) as target,
+  (size * (floor(rate) + case when ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint / {2**48}::double < rate - floor(rate) then 1 else 0 end))::bigint as taken
+from sized s join rates r on s.source is not distinct from r.source
+"""

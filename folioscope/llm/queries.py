@@ -59,4 +59,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op4_packed_ids, op5_voronoi_top_k, op6_license_scan, op7_warc_archive, op8_near_duplicates, op9_piece_dropout, op10_source_mix, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {op5_voronoi_top_k.__name__: voronoi.ORACLE, op7_warc_archive.__name__: warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    op3_host_rules.__name__: host_rules.ORACLE,
+    op5_voronoi_top_k.__name__: voronoi.ORACLE,
+    op7_warc_archive.__name__: warc.ORACLE,
+    op10_source_mix.__name__: mixing.ORACLE,
+}
