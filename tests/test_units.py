@@ -201,3 +201,43 @@ def test_upsert_batches_hold_both_limits(spark):
 def test_fallback_only_if_nothing_was_found(spark):
     some, none, web = spark.range(2), spark.range(0), spark.range(10, 12)
     assert files.with_fallback(some, web).count() == 2 and files.with_fallback(none, web).count() == 2
+
+
+def test_folder_connector(spark, tmp_path):
+    from folioscope.sources import connector
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "sub" / "b.PDF").write_bytes(b"yy")
+    (tmp_path / "c.exe").write_bytes(b"z")
+    rows = connector.read_folder(spark, str(tmp_path))
+    assert {(r.name.rpartition("/")[2], r.status, r.n_bytes) for r in rows.collect()} == {("a.txt", "queued", 1), ("b.PDF", "queued", 2), ("c.exe", "skipped", None)}
+    assert {r.status: r.files for r in connector.receipt(rows).collect()} == {"queued": 2, "skipped": 1}
+    (tmp_path / "none").mkdir()
+    assert connector.read_folder(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_grids_are_read_from_json(spark):
+    good = '{"headers": ["label", "2023"], "periods": ["2023"], "rows": [{"label": "a", "2023": "1"}]}'
+    rows = [(1, i, "table", good) for i in range(70)] + [(2, 0, "table", "not json"), (2, 1, "text", None)]
+    got = files.read_grids(spark.createDataFrame(rows, "doc_id int, chunk_index int, chunk_type string, table_json string")).collect()
+    assert len(got) == 60 and got[0].grid.rows == [{"label": "a", "2023": "1"}]
+
+
+def test_providers_are_injected(spark):
+    from folioscope import providers
+
+    pool = spark.createDataFrame([(1, "a b", i, t, i) for i, t in enumerate(["x", "a", "a b"])], "query_id int, query string, id int, text string, rank int")
+    assert [r.id for r in providers.rerank(pool, 2).orderBy("final_rank").collect()] == [2, 1]
+    assert [r.id for r in providers.rerank(pool, 3).orderBy("final_rank").collect()] == [0, 1, 2]
+    never = lambda q, t: pd.Series([0.0] * len(q))
+    judged = providers.verify(spark.createDataFrame([("a", "a"), ("a", None)], "claim string, evidence string"), provider=never).collect()
+    assert [(r.support, r.verified) for r in judged] == [(0.0, False), (0.5, False)]
+
+
+def test_section_and_title_shapes(spark):
+    toc, body = corpus.toc_and_body(F.col("t"), "THE ACT")
+    row = spark.createDataFrame([("THE ACT 1. a THE ACT body",)], "t string").select(toc.alias("a"), body.alias("b")).first()
+    assert row.a == "THE ACT 1. a " and row.b == "THE ACT body"
+    row = spark.createDataFrame([("no title",)], "t string").select(toc.alias("a"), body.alias("b")).first()
+    assert row.a == "" and row.b == "no title"
