@@ -169,3 +169,8 @@ def statutes(lines: DataFrame) -> DataFrame:
         return parse_statute(rows, None if ids is None else set(ids))
 
     return lines.groupBy("source_key").applyInPandas(parse, PROVISIONS)
+
+
+def cites(text: Column, section_id: Column) -> Column:
+    """Whether an answer names the provision's id as a whole; null without an id."""
+    return F.when(F.coalesce(section_id, F.lit("")) != "", F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), section_id, F.lit(" "))))

@@ -209,3 +209,14 @@ def active_invites(invites: DataFrame, now: Column) -> DataFrame:
     live = invites.where("accepted_at is null").where(F.col("expires_at") > now)
     latest = Window.partitionBy("firm_id", F.lower("email")).orderBy(F.desc("expires_at"), "token_hash")
     return live.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+
+
+def member_removed(items: DataFrame, members: DataFrame, leaving, heir) -> tuple[DataFrame, DataFrame]:
+    """Items handed to the heir, and the members without the one who leaves."""
+    handed = items.withColumn("owner_id", F.when(F.col("owner_id") == F.lit(leaving), F.lit(heir)).otherwise(F.col("owner_id")))
+    return handed, members.where(F.col("user_id") != F.lit(leaving))
+
+
+def role_counts(members: DataFrame, role: str) -> DataFrame:
+    """Members of a role per firm; a firm with one must keep it."""
+    return members.groupBy("firm_id").agg(F.count_if(F.col("role") == role).alias("n"))

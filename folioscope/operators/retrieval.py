@@ -161,3 +161,28 @@ def history(messages: DataFrame, last: int = 6, most_chars: int = 500, budget: i
 def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, by ``order``."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def merged(lists: DataFrame, key: list[str], by: str = "query_id") -> DataFrame:
+    """Rankings of several sub-queries (query_id, sub_ix, rank, key) as one list: each key where it was first seen, renumbered."""
+    first = lists.groupBy(by, *key).agg(F.min(F.struct("sub_ix", "rank")).alias("__first"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("__first", *key))).drop("__first")
+
+
+def survey(scored: DataFrame, k: int = 8) -> DataFrame:
+    """Per query and document the evidence count among the ``k`` best chunks and the best score, most evidence first."""
+    best = top_per(scored, ["query_id", "doc"], k, "chunk")
+    per = best.groupBy("query_id", "doc").agg(F.count("*").alias("evidence"), F.max("score").alias("score"))
+    return per.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("evidence"), F.desc("score"), "doc")))
+
+
+def resolved_scope(docs: DataFrame, routed: DataFrame, most: int = 8) -> DataFrame:
+    """The documents to search: all where there are ``most`` at most, else the routed ones, else all."""
+    counts = docs.agg(F.count("*").alias("__n")).join(F.broadcast(routed.agg(F.count("*").alias("__r"))))  # two scalars
+    chosen = docs.join(routed.select("doc_id").distinct().withColumn("__routed", F.lit(True)), "doc_id", "left").join(F.broadcast(counts))
+    return chosen.where((F.col("__n") <= most) | (F.col("__r") == 0) | F.coalesce("__routed", F.lit(False))).drop("__n", "__r", "__routed")
+
+
+def numbered_sources(ranked: DataFrame) -> DataFrame:
+    """A source list per query in rank order, numbered from 1."""
+    return ranked.withColumn("source_id", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
