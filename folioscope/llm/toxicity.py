@@ -232,7 +232,7 @@ def held_out(doc_id: Column) -> Column:
 class Rows(dict):
     """The embedding rows of a word and its stem, made when first asked for; two generations bound the memory."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most, self.older = model, most, {}
 
     def __missing__(self, word: str) -> tuple[int, int]:
