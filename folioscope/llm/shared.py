@@ -47,9 +47,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def join_small(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Null-safe left join to a table that has one row per ``key``: broadcast if that has at most ``SMALL_ROWS`` rows, which is counted first."""
-    rows = small.limit(SMALL_ROWS + 1).collect()
-    if len(rows) <= SMALL_ROWS:
-        small = F.broadcast(df.sparkSession.createDataFrame(rows, small.schema))
+    """Null-safe left join to a table that has one row per ``key``, which is written and counted first: it is broadcast if it has
+    at most ``SMALL_ROWS`` rows, else both sides are shuffled."""
+    small = scratch(small, "small")
+    if small.count() <= SMALL_ROWS:
+        small = F.broadcast(small)
     right = small.withColumnRenamed(key, f"__{key}")
     return df.join(right, F.col(key).eqNullSafe(F.col(f"__{key}")), "left").drop(f"__{key}")
