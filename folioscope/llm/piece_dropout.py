@@ -2,9 +2,9 @@
 
 Byte-pair merging with an agenda (a heap over a linked list of symbols; for short chunks a searched list): adjacent
 symbols whose union is a piece are candidates, the best score is popped first, and each popped candidate is skipped
-when a keyed hash of seed, variant, place and piece falls below the dropout rate.  Every occurrence of a word of up to
-``VARIED`` characters draws one of ``variants`` variants from seed, document and place; longer words vary with the seed
-only.  So words are segmented in different ways, reruns agree, and workers can remember segmentations.  With rate 0 the pieces are those of the library.
+when a keyed hash of seed, variant, place and piece falls below the dropout rate.  Every occurrence of a word draws one
+of ``variants`` variants from seed, document and place.  So words are segmented in different ways, reruns agree, and
+workers can remember segmentations.  With rate 0 the pieces are those of the library.
 
 Decoding gives the text back exactly: characters without a piece become byte pieces, and so does the space mark itself
 where it stands in a text.
@@ -36,13 +36,8 @@ CROSSING = re.compile(rf"{LETTER}{OTHER}|{OTHER}{LETTER}|[^{MARK}]{MARK}")
 #: A word as it is encoded where a text has more than single spaces.
 WORD = re.compile(rf"{MARK}+[^{MARK}]*")
 
-#: Characters up to which a word draws a variant at each occurrence.  Longer words are many and rare: they take the first
-#: variant, so that each is segmented once per seed and worker.
-VARIED = 5
-
-#: Words of the first variant whose pieces a worker keeps, in each of two generations; the others keep fewer.  A dict of
-#: more than 349 525 entries doubles its table.
-CACHE_ROWS = 340_000
+#: Words whose pieces a worker keeps, in each of two generations, shared equally by the variants.
+CACHE_ROWS = 450_000
 
 
 class Vocabulary:
@@ -209,9 +204,9 @@ class Encoder:
     def __init__(self, voc: Vocabulary, rate: float, seed: int, variants: int):
         self.voc, self.seed, self.limit = voc, seed, int(rate * 2**32)
         keys = mix(np.arange(variants, dtype=np.uint64) + np.uint64((seed & 0xFFFFFFFF) << 16))
-        self.segments = [Segments(voc, self.limit, int(k), CACHE_ROWS // (1 if i == 0 else 2 * variants)) for i, k in enumerate(keys)]
         if not self.limit:
-            self.segments = self.segments[:1]
+            keys = keys[:1]
+        self.segments = [Segments(voc, self.limit, int(k), CACHE_ROWS // variants) for k in keys]
 
     def encode(self, text: str, doc_key: str = "") -> np.ndarray:
         if not text:
@@ -225,7 +220,7 @@ class Encoder:
             found = map(self.segments[0].__getitem__, words)
         else:
             segments = self.segments
-            found = [segments[v if len(w) <= VARIED else 0][w] for v, w in zip(self.drawn(doc_key, len(words)), words)]
+            found = [segments[v][w] for v, w in zip(self.drawn(doc_key, len(words)), words)]
         return np.frombuffer(b"".join(found), np.int32)
 
     def drawn(self, doc_key: str, n: int) -> list[int]:

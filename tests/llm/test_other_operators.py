@@ -288,6 +288,22 @@ def test_heap_and_list_agendas_agree(voc):
         assert piece_dropout.with_bytes(piece_dropout.merge_long(symbols, voc.pairs.get, 1 << 30, 9), chunk, voc) == piece_dropout.segment(chunk, voc, 1 << 30, 9)
 
 
+def test_long_words_vary_within_a_seed(spark, voc):
+    words = ["information", "internationally", "understanding"]
+    for word in words:
+        encoder = piece_dropout.Encoder(voc, 0.3, 1, 3)
+        alone = {tuple(encoder.encode(word, str(k)).tolist()) for k in range(50)}
+        assert len(alone) > 1, word
+    docs = spark.createDataFrame([(i, "understanding") for i in range(200)], "doc_id long, text string")
+    assert piece_dropout.encode_docs(docs, PIECES, rate=0.3).select("ids").distinct().count() > 1
+    # each place of one text draws anew
+    encoder = piece_dropout.Encoder(voc, 0.3, 1, 3)
+    drawn = encoder.drawn("1", 60)
+    want = [piece_dropout.segment("▁understanding", voc, encoder.limit, encoder.segments[v].key) for v in drawn]
+    assert encoder.encode(" ".join(["understanding"] * 60), "1").tolist() == [i for w in want for i in w]
+    assert len(set(map(tuple, want))) > 1
+
+
 def test_dropout_on_odd_rows(odd_docs, no_docs):
     rows = piece_dropout.round_trip(odd_docs, PIECES).collect()
     assert len(rows) == 9 and all(r.lossless for r in rows)
