@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +106,57 @@ def grounded(sentence: Column, evidence: Column, overlap: float = 0.6) -> Column
     return (corpus != "") & (F.size(tokens) >= 3) & F.forall(entities, lambda e: corpus.contains(e)) & (share >= overlap)
 
 
+#: What a content token consists of, in lower case; a token in a text lies within one run of it.
+RUN = re.compile(r"[a-z0-9&./'-]+")
+
+
+def grounded_pairs(docs: DataFrame, claims: DataFrame, overlap: float = 0.6, block: int = 20_000) -> DataFrame:
+    """(item_id, doc_id, share) of each claim (item_id, text) and document (doc_id, text) that holds a share of at least
+    ``overlap`` of the claim's three or more content tokens, as parts of words too.
+
+    Documents are scanned once per ``block`` claims, which are broadcast as an index from token to claims.
+    """
+    spark, toks = docs.sparkSession, claims.select("item_id", content_tokens(F.col("text")).alias("toks")).where(F.size("toks") >= 3)
+    n_blocks = max(1, -(-toks.count() // block))
+
+    def scan(at: int) -> DataFrame:
+        rows = toks.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == at).collect()
+        holders: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for t in r.toks:
+                holders.setdefault(t, []).append(i)
+        shared = spark.sparkContext.broadcast(([(r.item_id, len(r.toks)) for r in rows], holders, sorted({len(t) for t in holders})))
+
+        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            items, index, lengths = shared.value
+            known: dict[str, tuple] = {}
+
+            def inside(run: str) -> tuple:
+                found = known.get(run)
+                if found is None:
+                    found = tuple({p for n in lengths for i in range(len(run) - n + 1) if (p := run[i : i + n]) in index})
+                    if len(run) <= 64:
+                        if len(known) >= 200_000:
+                            known.clear()
+                        known[run] = found
+                return found
+
+            for docs in batches:
+                out = []
+                for doc_id, corpus in zip(docs["doc_id"], docs["corpus"]):
+                    hits = Counter(i for t in {t for run in set(RUN.findall(corpus or "")) for t in inside(run)} for i in index[t])
+                    out.extend((items[i][0], doc_id, k / items[i][1]) for i, k in hits.items() if k / items[i][1] >= overlap)
+                yield pd.DataFrame(out, columns=["item_id", "doc_id", "share"])
+
+        kinds = f"item_id {claims.schema['item_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, share double"
+        return docs.select("doc_id", F.lower("text").alias("corpus")).mapInPandas(pairs, kinds)
+
+    out = scan(0)
+    for at in range(1, n_blocks):
+        out = out.unionByName(scan(at))
+    return out
+
+
 def redacted(sents: DataFrame, key: str, keep: Column, notice: str) -> DataFrame:
     """Per text the sentences that stay, in order, and the notice if any went."""
     per = sents.withColumn("__keep", keep).groupBy(key).agg(

@@ -78,6 +78,12 @@ def claim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(F.size("toks") >= 3).select("item_id", "doc_id", F.round(share, 6).alias("share")).where("share >= 0.6")
 
 
+@query()
+def claim_grounding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as claims against all documents as evidence."""
+    return V.grounded_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumn("share", F.round("share", 6))
+
+
 @query(f"""with {SENTENCES} select doc_id, md5(trim(coalesce(string_agg(sentence, ' ' order by sent_ix) filter (not regexp_matches(sentence, '\\d')), '') || case when count(*) filter (regexp_matches(sentence, '\\d')) > 0 then ' (withheld)' else '' end)) as text_md5,
  count(*) filter (regexp_matches(sentence, '\\d')) as dropped from sents group by doc_id""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,3 +241,24 @@ def test_section_and_title_shapes(spark):
     assert row.a == "THE ACT 1. a " and row.b == "THE ACT body"
     row = spark.createDataFrame([("no title",)], "t string").select(toc.alias("a"), body.alias("b")).first()
     assert row.a == "" and row.b == "no title"
+
+
+def test_claims_are_compared_with_all_documents(spark):
+    from folioscope.plans import catalog
+    from tests.harness import SF
+
+    docs, claims = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    toks = [(r.item_id, r.toks) for r in claims.select("item_id", verify.content_tokens(F.col("text")).alias("toks")).collect() if len(r.toks) >= 3]
+    want = set()
+    for doc_id, corpus in docs.select("doc_id", F.lower("text")).collect():
+        for item_id, ts in toks:
+            share = sum(t in corpus for t in ts) / len(ts)
+            if share >= 0.6:
+                want.add((item_id, doc_id, round(share, 6)))
+    got = [tuple(r) for r in catalog.queries()["claim_grounding_all"](spark, SF).select("item_id", "doc_id", "share").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(doc_id >= 200 for _, doc_id, _ in got)
+    few = [tuple(r) for r in verify.grounded_pairs(docs, claims, block=7).withColumn("share", F.round("share", 6)).collect()]
+    assert set(few) == want and len(few) == len(want)
+    subset = {tuple(r) for r in catalog.queries()["claim_grounding"](spark, SF).select("item_id", "doc_id", "share").collect()}
+    assert subset == {w for w in want if w[1] < 200}
