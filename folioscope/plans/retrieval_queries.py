@@ -105,8 +105,18 @@ TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), l
 @query(f"""with qs as (select * from {sql_values(QUESTIONS, 'query_id, query')})
 select query_id, doc_id, round(len(list_intersect({TOKENS.format('query')}, {TOKENS.format('text')}))::double / len({TOKENS.format('query')}), 6) as score from documents, qs where doc_id % 10 = 3""")
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_scores(spark, read(spark, sf_dir, "documents").where("doc_id % 10 = 3"))  # the collection that is routed
+
+
+@query(f"""with qs as (select * from {sql_values(QUESTIONS, 'query_id, query')})
+select query_id, doc_id, round(len(list_intersect({TOKENS.format('query')}, {TOKENS.format('text')}))::double / len({TOKENS.format('query')}), 6) as score from documents, qs""")
+def keyword_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each with a score for every question."""
+    return keyword_scores(spark, read(spark, sf_dir, "documents"))
+
+
+def keyword_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     asked = F.broadcast(values(spark, "query_id int, query string", QUESTIONS))
-    docs = read(spark, sf_dir, "documents").where("doc_id % 10 = 3")  # the collection that is routed
     return docs.join(asked).select("query_id", "doc_id", F.round(R.keyword_score(F.col("query"), F.col("text")), 6).alias("score"))
 
 

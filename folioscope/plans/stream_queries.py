@@ -53,7 +53,18 @@ def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, round(len(list_intersect(['the', 'of', 'apache', 'and'], list_distinct(ws)))::double / 4, 6) as support, len(list_intersect(['the', 'of', 'apache', 'and'], list_distinct(ws)))::double / 4 >= 0.5 as verified from a""")
 def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deterministic scorer as judge over the evidence of one answer."""
-    rows = read(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", F.lit("the of apache and").alias("claim"), F.col("text").alias("evidence"))
+    return verified(read(spark, sf_dir, "documents").where("doc_id < 300"))
+
+
+@query("""with a as (select list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as ws, doc_id from documents)
+select doc_id, round(len(list_intersect(['the', 'of', 'apache', 'and'], list_distinct(ws)))::double / 4, 6) as support, len(list_intersect(['the', 'of', 'apache', 'and'], list_distinct(ws)))::double / 4 >= 0.5 as verified from a""")
+def claim_verification_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deterministic scorer as judge over all documents."""
+    return verified(read(spark, sf_dir, "documents"))
+
+
+def verified(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.lit("the of apache and").alias("claim"), F.col("text").alias("evidence"))
     return providers.verify(rows).select("doc_id", F.round("support", 6).alias("support"), "verified")
 
 

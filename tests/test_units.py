@@ -262,3 +262,12 @@ def test_claims_are_compared_with_all_documents(spark):
     assert set(few) == want and len(few) == len(want)
     subset = {tuple(r) for r in catalog.queries()["claim_grounding"](spark, SF).select("item_id", "doc_id", "share").collect()}
     assert subset == {w for w in want if w[1] < 200}
+
+
+def test_keyword_scores_and_verdicts_of_all_documents(spark):
+    from folioscope.plans import catalog
+    from tests.harness import SF
+
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert catalog.queries()["keyword_score_all"](spark, SF).count() == 4 * n
+    assert catalog.queries()["claim_verification_all"](spark, SF).count() == n
