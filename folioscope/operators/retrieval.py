@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,17 +97,63 @@ def mmr_order(ids: np.ndarray, relevance: np.ndarray, vectors: np.ndarray, k: in
     return [(int(ids[i]), float(relevance[i])) for i in chosen]
 
 
-def mmr(candidates: DataFrame, k: int = 12, weight: float = 0.7, most: int = 200) -> DataFrame:
-    """(query_id, id, rank, relevance) from candidates (query_id, id, relevance, embedding), of which the ``most`` best are read."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
-    pool = candidates.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= most).drop("__n")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])
-        chosen = mmr_order(rows["id"].to_numpy(), rows["relevance"].to_numpy(), vectors, k, weight)
-        return pd.DataFrame([(rows["query_id"].iloc[0], i, n + 1, r) for n, (i, r) in enumerate(chosen)], columns=["query_id", "id", "rank", "relevance"])
+def mmr(candidates: DataFrame, k: int = 12, weight: float = 0.7) -> DataFrame:
+    """(query_id, id, rank, relevance) from all candidates (query_id, id, relevance, embedding), chosen as by ``mmr_order``.
 
-    return pool.groupBy("query_id").applyInPandas(choose, "query_id long, id long, rank int, relevance double")
+    Each of the ``k`` steps is a scan in which tasks find the best candidate of each query among theirs; the driver holds
+    the ``k`` chosen vectors of each query, which tell how near a candidate is to what is chosen.
+    """
+    spark, pool = candidates.sparkSession, candidates.persist(StorageLevel.MEMORY_AND_DISK)
+    chosen: dict[int, list] = {}
+
+    def step():
+        shared = spark.sparkContext.broadcast({query: ({r["id"] for r in rows}, [unit(np.asarray([r["embedding"]], np.float64)) for r in rows]) for query, rows in chosen.items()})
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found: dict[int, tuple] = {}
+            for batch in batches:
+                for query, rows in batch.groupby("query_id"):
+                    taken, vectors = shared.value.get(query, ((), ()))
+                    rows = rows[~rows["id"].isin(taken)]
+                    if rows.empty:
+                        continue
+                    ids, relevance = rows["id"].to_numpy(), rows["relevance"].to_numpy()
+                    value = weight * relevance
+                    if vectors:
+                        units = unit(np.stack([np.asarray(v, np.float64) for v in rows["embedding"]]))
+                        # row by row, so that equal vectors have equal values wherever they are
+                        value = value - (1 - weight) * np.max([(units * v).sum(axis=1) for v in vectors], axis=0)
+                    i = np.lexsort((ids, -relevance, -value))[0]
+                    mine = (value[i], relevance[i], -ids[i], rows["embedding"].iloc[i])
+                    if query not in found or mine[:3] > found[query][:3]:
+                        found[query] = mine
+            yield pd.DataFrame([(query, *f) for query, f in found.items()], columns=["query_id", "value", "relevance", "id", "embedding"])
+
+        parts = pool.mapInPandas(best, "query_id long, value double, relevance double, id long, embedding array<double>")
+        rows = parts.groupBy("query_id").agg(F.max(F.struct("value", "relevance", "id", "embedding")).alias("b")).collect()
+        shared.destroy()
+        return rows
+
+    try:
+        for _ in range(k + 1):  # the last step tells which queries have more candidates than ``k``
+            found = step()
+            for r in found:
+                chosen.setdefault(r.query_id, []).append({"id": -r.b.id, "relevance": r.b.relevance, "embedding": r.b.embedding})
+            if not found:
+                break
+    finally:
+        pool.unpersist()
+    out = []
+    for query, rows in chosen.items():
+        if len(rows) <= k:
+            rows.sort(key=lambda r: (-r["relevance"], r["id"]))
+        out += [(query, r["id"], n, r["relevance"]) for n, r in enumerate(rows[:k], 1)]
+    return spark.createDataFrame(out, "query_id long, id long, rank int, relevance double")
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1)
+    return vectors / np.where(size == 0, 1, size)[:, None]
 
 
 def exact_key(query: Column) -> Column:

@@ -271,3 +271,24 @@ def test_keyword_scores_and_verdicts_of_all_documents(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert catalog.queries()["keyword_score_all"](spark, SF).count() == 4 * n
     assert catalog.queries()["claim_verification_all"](spark, SF).count() == n
+
+
+def test_mmr_reads_all_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for query in (1, 2):
+        best, others = rng.normal(size=8), rng.normal(size=(60, 8))
+        vectors = np.vstack([np.repeat(best[None], 300, axis=0), others])
+        relevance = np.concatenate([np.full(300, 0.9), rng.uniform(0.3, 0.8, 60)])
+        rows += [(query, i, float(relevance[i]), vectors[i].tolist()) for i in range(len(vectors))]
+    rows += [(3, i, 0.1 * i, rng.normal(size=8).tolist()) for i in range(5)]  # fewer than are chosen
+    df = spark.createDataFrame(rows, "query_id long, id long, relevance double, embedding array<double>").repartition(7)
+    got = {q: [] for q in (1, 2, 3)}
+    for r in retrieval.mmr(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r.relevance))
+    for query, found in got.items():
+        mine = [r for r in rows if r[0] == query]
+        want = retrieval.mmr_order(np.array([r[1] for r in mine]), np.array([r[2] for r in mine]), np.array([r[3] for r in mine]), 12, 0.7)
+        assert found == want
+    assert sum(i >= 300 for i, _ in got[1]) > 1
+    assert retrieval.mmr(df.limit(0)).count() == 0
