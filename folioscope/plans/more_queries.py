@@ -56,6 +56,14 @@ def collection_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.survey(near).select("query_id", F.col("doc").alias("label"), "evidence", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""with {SCORED}, b as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as n from s), sv as (select query_id, label, count(*) as evidence, max(score) as score from b where n <= 8 group by all)
+select query_id, label, evidence, round(score, 6) as score, row_number() over (partition by query_id order by evidence desc, sv.score desc, label)::int as rank from sv""")
+def collection_survey_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is surveyed by its own best chunks, without a cut over the whole collection."""
+    rows = scored(spark, sf_dir).select("query_id", F.col("label").alias("doc"), F.col("vec_id").alias("chunk"), "score")
+    return R.survey(rows).select("query_id", F.col("doc").alias("label"), "evidence", F.round("score", 6).alias("score"), "rank")
+
+
 @query("select doc_id from documents where doc_id % 50 = 1")
 def collection_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id")

@@ -292,3 +292,12 @@ def test_mmr_reads_all_candidates(spark):
         assert found == want
     assert sum(i >= 300 for i, _ in got[1]) > 1
     assert retrieval.mmr(df.limit(0)).count() == 0
+
+
+def test_survey_covers_every_label(spark):
+    from folioscope.plans import catalog
+    from tests.harness import SF
+
+    sizes = {r.label: r["count"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().collect()}
+    got = catalog.queries()["collection_survey_all"](spark, SF).collect()
+    assert {(r.query_id, r.label): r.evidence for r in got} == {(q, x): min(8, n) for q in {r.query_id for r in got} for x, n in sizes.items()}
