@@ -71,6 +71,12 @@ def claims_by_document(claims: DataFrame) -> DataFrame:
     return per.groupBy("doc_id").agg(F.transform(parts, lambda c: c["claim"]).alias("claims"))
 
 
+def claim_rows(claims: DataFrame) -> DataFrame:
+    """(doc_id, position, claim): as ``claims_by_document``, a row for each claim, for documents of any size."""
+    per = claims.withColumn("doc_id", F.explode(F.array_distinct("doc_ids")))
+    return per.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("claim_ix", "claim")).alias("position"), "claim")
+
+
 LEDGER_KEY = ["doc", "page", "label", "period", "chunk_id"]
 
 
@@ -112,9 +118,12 @@ def extraction_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 def latency_percentiles(runs: DataFrame, by: str) -> DataFrame:
     """p50 and p95 as the values at those places of the sorted list, without interpolation."""
-    s = runs.groupBy(by).agg(F.sort_array(F.collect_list("seconds")).alias("s"))
-    at = lambda q: F.element_at("s", F.least(F.size("s"), F.floor(F.size("s") * q).cast("int") + 1))
-    return s.select(by, at(0.5).alias("p50"), at(0.95).alias("p95"))
+    counts = runs.groupBy(by, "seconds").agg(F.count("seconds").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(by).orderBy("seconds").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = counts.groupBy(F.col(by).alias("__by")).agg(F.sum("__c").alias("__n"))
+    ranked = counts.withColumn("__upto", upto).join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    at = lambda q: F.min(F.when(F.col("__upto") >= F.least(F.col("__n"), F.floor(F.col("__n") * q) + 1), F.col("seconds")))
+    return ranked.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 def corroborated(results: DataFrame, prose: DataFrame) -> DataFrame:

@@ -241,10 +241,12 @@ def blocked_calls(calls: DataFrame, order: str, most: int = 2) -> DataFrame:
 
 
 def routing_recall(found: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per query (query_id, ids) the share of gold ids found; 1 where there is no gold."""
-    hit = F.size(F.array_intersect("ids", "gold"))
-    joined = found.join(gold, "query_id", "left")
-    return joined.select("query_id", F.when(F.coalesce(F.size("gold"), F.lit(0)) <= 0, 1.0).otherwise(F.try_divide(hit, F.size("gold"))).alias("recall"))
+    """Per query of ``found`` (query_id, doc_id) the share of ``gold`` (query_id, doc_id) that is found; 1 where there is no gold."""
+    wanted = gold.groupBy("query_id").agg(F.count("doc_id").alias("__gold"))
+    hits = found.distinct().join(gold.distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("__hits"))
+    joined = found.select("query_id").distinct().join(wanted, "query_id", "left").join(hits, "query_id", "left")
+    share = F.try_divide(F.coalesce("__hits", F.lit(0)), F.col("__gold"))
+    return joined.select("query_id", F.when(F.coalesce("__gold", F.lit(0)) == 0, 1.0).otherwise(share).alias("recall"))
 
 
 def regressions(baseline: DataFrame, current: DataFrame, drop: float = 0.05, recall_floor: float = 0.80) -> DataFrame:

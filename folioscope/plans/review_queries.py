@@ -72,6 +72,13 @@ def claims_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("doc_id", F.md5(F.array_join("claims", ",")).alias("claims_md5"), F.size("claims").cast("long").alias("n"))
 
 
+@query("with x as (select distinct turn as claim_ix, conv_id as doc_id, md5(text) as claim from conversations) select doc_id, row_number() over (partition by doc_id order by claim_ix, claim)::int as position, claim from x")
+def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims under their real conversation, as ordered rows."""
+    said = read(spark, sf_dir, "conversations").select(F.col("turn").alias("claim_ix"), F.md5("text").alias("claim"), F.array("conv_id").alias("doc_ids")).distinct()
+    return V.claim_rows(said)
+
+
 PROVENANCE = [
     (1, 0, [("cell", "d", 1, "Net sales", "2022", None), None]), (1, 1, [(None, "d", 2, None, None, "c1"), ("param", None, None, "threshold", None, None), ("cell", "d", 1, "Net sales", "2022", None)]),
     (2, 0, [("span", "e", None, None, None, "c9")]),

@@ -140,8 +140,8 @@ def blocked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 select query_id, round(case when coalesce(len(gold), 0) = 0 then 1.0 else len(list_intersect(ids, gold))::double / len(gold) end, 6) as recall from d left join g using (query_id)""")
 def routing_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = docs.where("doc_id % 2 = 0").groupBy(F.col("source").alias("query_id")).agg(F.collect_list("doc_id").alias("ids"))
-    gold = docs.join(read(spark, sf_dir, "labels"), "doc_id").where("quality = 1").groupBy(F.col("source").alias("query_id")).agg(F.collect_list("doc_id").alias("gold"))
+    found = docs.where("doc_id % 2 = 0").select(F.col("source").alias("query_id"), "doc_id")
+    gold = docs.join(read(spark, sf_dir, "labels"), "doc_id").where("quality = 1").select(F.col("source").alias("query_id"), "doc_id")
     return V.routing_recall(found, gold).withColumn("recall", F.round("recall", 6))
 
 

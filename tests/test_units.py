@@ -301,3 +301,22 @@ def test_survey_covers_every_label(spark):
     sizes = {r.label: r["count"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().collect()}
     got = catalog.queries()["collection_survey_all"](spark, SF).collect()
     assert {(r.query_id, r.label): r.evidence for r in got} == {(q, x): min(8, n) for q in {r.query_id for r in got} for x, n in sizes.items()}
+
+
+@pytest.mark.parametrize("name", ["latency_percentiles", "routing_recall", "claim_rows"])
+def test_groups_are_not_collected_into_arrays(spark, name):
+    from folioscope.plans import catalog
+    from tests.harness import SF
+
+    assert "collect_list" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_percentiles_and_recall_by_hand(spark):
+    from folioscope.operators import review
+
+    runs = [("a", float(x)) for x in [5, 1, 1, 1, 9, 2, 2, 7, 3, 3]] + [("b", 4.0), ("b", None), (None, 6.0), ("c", None)]
+    got = {r.k: (r.p50, r.p95) for r in review.latency_percentiles(spark.createDataFrame(runs, "k string, seconds double"), "k").collect()}
+    assert got == {"a": (3.0, 9.0), "b": (4.0, 4.0), None: (6.0, 6.0), "c": (None, None)}
+    found = spark.createDataFrame([("x", 1), ("x", 2), ("x", 2), ("y", 1), ("z", 9)], "query_id string, doc_id int")
+    gold = spark.createDataFrame([("x", 2), ("x", 3), ("z", 1)], "query_id string, doc_id int")
+    assert {r.query_id: r.recall for r in verify.routing_recall(found, gold).collect()} == {"x": 0.5, "y": 1.0, "z": 0.0}
