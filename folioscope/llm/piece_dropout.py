@@ -1,47 +1,59 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Byte-pair merging with an agenda (a heap over a linked list of symbols; for short chunks a searched list): adjacent
-symbols whose union is a piece are candidates, the best score is popped first, and each popped candidate is skipped
-when a keyed hash of seed, variant, place and piece falls below the dropout rate.  Every occurrence of a word draws one
-of ``variants`` variants from seed, document and place.  So words are segmented in different ways, reruns agree, and
-workers can remember segmentations.  With rate 0 the pieces are those of the library.
+Byte-pair merging with an agenda: adjacent symbols whose union is a piece are candidates, the best score is popped first
+(the leftmost of equal ones), and each popped candidate is skipped when a hash keyed by seed, document, occurrence of the
+word, place in the word and piece falls below the dropout rate.  Words of any length vary from one occurrence to the
+next, and reruns agree.  With rate 0 the pieces are those of the library.
+
+Words of up to ``WIDE`` symbols go through their agendas together, one pop of each at a time, as rows of numpy arrays;
+longer ones use a heap beside a linked list.  What a word becomes if nothing is skipped is kept, with the candidates that
+it merges: an occurrence all of whose candidates pass has those pieces, any other one goes through the agenda itself.
 
 Decoding gives the text back exactly: characters without a piece become byte pieces, and so does the space mark itself
 where it stands in a text.
 
-Defined results: null texts encode to null, empty texts to no pieces; repeated rows get the same pieces as they have
-the same id; texts are encoded whole; other columns pass through untouched.
+Defined results: null texts encode to null and decode to null, empty texts to no pieces; repeated rows get the same
+pieces as they have the same id, and rows without an id count as having the empty one; texts of any length are encoded
+whole, a slice of words at a time; other columns pass through untouched, but for one that has the name of the result.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK = "▁"
-#: Chunks are marks with letters or with punctuation; joiners, which some pieces have next to either, hold all up to the next mark together.
-LETTER, JOINER, OTHER = r"[^\W_¹²³]", "[_¹²³]", rf"[^\w{MARK}]"
-CHUNK = re.compile(rf"{MARK}*(?:{LETTER}++(?!{JOINER})|{OTHER}++(?!{JOINER})|[^{MARK}]+)|{MARK}+")
-CROSSING = re.compile(rf"{LETTER}{OTHER}|{OTHER}{LETTER}|[^{MARK}]{MARK}")
+from folioscope.llm.shared import column
 
+MARK = "▁"
+#: Stands in a text for the mark itself, which is no space there; no valid text holds it.
+LITERAL_MARK = "\ud800"
 #: A word as it is encoded where a text has more than single spaces.
 WORD = re.compile(rf"{MARK}+[^{MARK}]*")
+CROSSING = re.compile(rf"[^{MARK}]{MARK}")
 
-#: Words whose pieces a worker keeps, in each of two generations, shared equally by the variants.
-CACHE_ROWS = 450_000
+GONE, PAD = -1, -2  # a symbol that was merged into one before it; what follows a word's last symbol
+NONE = np.int32(2**31 - 1)  # the rank of neighbours that make no piece
+WIDTHS = (4, 8, 12, 16, 24, 48)
+WIDE = WIDTHS[-1]
+
+#: Words that are encoded at once, and symbols of words that a worker remembers.
+SLICE_WORDS = 200_000
+CACHE_SYMBOLS = 4_000_000
+#: Pieces that are decoded at once.
+SLICE_PIECES = 2_000_000
 
 
 class Vocabulary:
-    """``ids`` of pieces, and ``pairs``: two adjacent symbols -> rank << 44 | piece, rank 0 being the best score."""
+    """Pieces of a model file: ids by character, pairs of symbols that merge, and what each piece stands for."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,149 +61,54 @@ class Vocabulary:
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
-        #: What a piece stands for by itself; bytes from 128 on mean something in a run only.
-        self.texts = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
-        self.high_bytes = set(self.bytes[128:])
+        self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        self.by_char = np.full(0x110000, -1, np.int32)
+        for i in plain:
+            if len(self.pieces[i]) == 1:
+                self.by_char[ord(self.pieces[i])] = i
         rank = {score: k for k, score in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
-        self.pairs = {}
+        pairs = {}
         for i in plain:
             piece = self.pieces[i]
             for cut in range(1, len(piece)):
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << 16 | right] = rank[model.get_score(i)] << 44 | i
-        #: Whether no piece crosses the end of a chunk, so that chunks can be encoded alone.
-        self.by_chunk = not any(CROSSING.search(self.pieces[i]) for i in plain)
-
-
-NONE = 1 << 62
-SHORT = 24  # symbols up to which the agenda is a list that is searched; longer chunks keep it as a heap beside a linked list
-
-
-#: Odd multipliers of the keyed hash of a candidate, which is skipped where 32 bits of the hash are below the limit.
-BY_PIECE, BY_PLACE, LAST = 0x9E3779B1, 0x85EBCA6B, 0xD6E8FEB86659FD93
-
-
-def segment(chunk: str, voc: Vocabulary, limit: int = 0, key: int = 0) -> list[int]:
-    """Piece ids of a chunk in which spaces are marks; candidates whose keyed hash is below ``limit`` (of 2^32) are skipped."""
-    get_id = voc.ids.get
-    symbols = [get_id(c, -1) for c in chunk]
-    if len(symbols) > SHORT:
-        return with_bytes(merge_long(symbols, voc.pairs.get, limit, key), chunk, voc)
-    get = voc.pairs.get
-    agenda = [get(a << 16 | b, NONE) for a, b in zip(symbols, symbols[1:])] if -1 not in symbols else [NONE if a < 0 or b < 0 else get(a << 16 | b, NONE) for a, b in zip(symbols, symbols[1:])]
-    places = list(range(len(symbols)))  # of the symbols' first characters
-    while agenda:
-        best = min(agenda)
-        if best == NONE:
-            break
-        i = agenda.index(best)
-        made = best & 0xFFFF
-        if limit and (((key ^ made * BY_PIECE) + places[i] * BY_PLACE & 0xFFFFFFFF) * LAST >> 29 & 0xFFFFFFFF) < limit:
-            agenda[i] = NONE
-            continue
-        symbols[i] = made
-        del symbols[i + 1], places[i + 1], agenda[i]
-        if i < len(agenda):
-            right = symbols[i + 1]
-            agenda[i] = get(made << 16 | right, NONE) if right >= 0 else NONE
-        if i:
-            left = symbols[i - 1]
-            agenda[i - 1] = get(left << 16 | made, NONE) if left >= 0 else NONE
-    if -1 in symbols:
-        out: list[int] = []
-        for s, at in zip(symbols, places):
-            out.extend([s] if s >= 0 else (voc.bytes[b] for b in chunk[at].encode("utf-8", "surrogatepass")))
-        return out
-    return symbols
-
-
-def merge_long(symbols: list[int], get, limit: int, key: int) -> list[int]:
-    """``symbols`` after all merges, in place: -2 stands where a symbol was merged into one before it."""
-    n = len(symbols)
-    heap, left = [], symbols[0]
-    for i in range(1, n):
-        right = symbols[i]
-        if left >= 0 and right >= 0:
-            found = get(left << 16 | right)
-            if found is not None:
-                heap.append(found | i - 1 << 16)
-        left = right
-    heapify(heap)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while heap:
-        top = heappop(heap)
-        i, made = top >> 16 & 0xFFFFFFF, top & 0xFFFF
-        j = after[i]
-        if j >= n or symbols[i] < 0 or symbols[j] < 0:
-            continue
-        found = get(symbols[i] << 16 | symbols[j])
-        if found is None or found & 0xFFFF != made:  # one of the two was merged meanwhile
-            continue
-        if limit and (((key ^ made * BY_PIECE) + i * BY_PLACE & 0xFFFFFFFF) * LAST >> 29 & 0xFFFFFFFF) < limit:
-            continue
-        symbols[i], symbols[j] = made, -2
-        k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            if symbols[k] >= 0:
-                found = get(made << 16 | symbols[k])
-                if found is not None:
-                    heappush(heap, found | i << 16)
-        h = before[i]
-        if h >= 0 and symbols[h] >= 0:
-            found = get(symbols[h] << 16 | made)
-            if found is not None:
-                heappush(heap, found | h << 16)
-    return symbols
-
-
-def with_bytes(symbols: list[int], chunk: str, voc: Vocabulary) -> list[int]:
-    out: list[int] = []
-    for s, c in zip(symbols, chunk):
-        if s >= 0:
-            out.append(s)
-        elif s == -1:
-            out.extend(voc.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
-    return out
-
-
-class Segments(dict):
-    """Pieces by word for one variant, as bytes of 32-bit integers; a word that does not begin with a mark stands for one that
-    begins with a single mark.  Two generations bound the memory."""
-
-    def __init__(self, voc: Vocabulary, limit: int, key: int, most: int):
-        self.voc, self.limit, self.key, self.most, self.older = voc, limit, key, most, {}
-        self.stops = {c: self.make(c) for c in ".,;:!?"} if voc.by_chunk else {}
-
-    def make(self, chunk: str) -> bytes:
-        return array("i", segment(chunk, self.voc, self.limit, self.key)).tobytes()
-
-    def split(self, word: str) -> bytes:
-        stop = self.stops.get(word[-1])
-        if stop is not None and word[:-1].isalpha():  # two chunks: letters and a stop
-            return self[word[:-1]] + stop
-        whole = word if word[0] == MARK else MARK + word
-        chunks = CHUNK.findall(whole) if self.voc.by_chunk else [whole]
-        if len(chunks) == 1:
-            return self.make(whole)
-        # the word's first chunk is often a word by itself
-        first = self[chunks[0][1:]] if len(chunks[0]) > 1 and chunks[0][1] != MARK else self.make(chunks[0])
-        return first + b"".join(map(self.make, chunks[1:]))
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = self.split(word)
-        if len(word) > 64:
-            return found
-        if len(self) >= self.most:
-            self.older = self.copy()
-            self.clear()
-        self[word] = found
-        return found
+                    pairs[left << 16 | right] = rank[model.get_score(i)], i
+        keys = sorted(pairs)
+        self.pair_keys = np.array([*keys, 2**62], np.int64)
+        self.pair_rank = np.array([*(pairs[k][0] for k in keys), NONE], np.int32)
+        self.pair_made = np.array([*(pairs[k][1] for k in keys), 0], np.int32)
+        byte_of = {int(i): b for b, i in enumerate(self.bytes)}
+        shown = [bytes([byte_of[i]]) if i in byte_of else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.array([len(x) for x in shown], np.int64)
+        self.shown_start = np.cumsum(self.shown_size) - self.shown_size
+        #: Whether no piece goes on past a word's end, so that words can be encoded alone.
+        self.by_word = not any(CROSSING.search(self.pieces[i]) for i in plain)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank and the piece of each two neighbours; the rank is NONE where they make no piece."""
+        key = left.astype(np.int64) << 16 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], NONE), self.pair_made[at]
+
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words, a mark before each, and how many each word has; characters without a piece become byte pieces."""
+        chars = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        symbols = self.by_char[chars]
+        odd = np.flatnonzero(symbols < 0)
+        if not len(odd):
+            return symbols, size
+        unknown = chars[odd]
+        unknown[unknown == ord(LITERAL_MARK)] = ord(MARK)
+        n_bytes = 1 + (unknown > 0x7F).astype(np.int64) + (unknown > 0x7FF) + (unknown > 0xFFFF)
+        grown = np.ones(len(symbols), np.int64)
+        grown[odd] = n_bytes
+        out = np.repeat(symbols, grown)
+        out[out < 0] = self.bytes[np.frombuffer(unknown.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)]
+        np.add.at(size, np.searchsorted(np.cumsum(size), odd, side="right"), n_bytes - 1)
+        return out, size
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -200,67 +117,265 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def candidate_hash(key, place, made) -> np.ndarray:
+    """32 bits for each candidate, by the key of the word's occurrence, its place in the word, and the piece it would make."""
+    return mix(key ^ (np.asarray(made, np.uint64) << np.uint64(32) | np.asarray(place, np.uint64))) >> np.uint64(32)
+
+
+def occurrence_keys(seed: int, doc_key: str, first: int, n: int) -> np.ndarray:
+    """Keys of a document's words ``first`` to ``first + n``."""
+    start = np.uint64(xxhash.xxh64_intdigest(doc_key.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF))
+    return mix(start + np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class Merged:
+    """Pieces of words (``ids`` from ``start``, ``size`` of them), and the candidates merged on the way (``place``, ``made``)."""
+
+    def __init__(self, n: int):
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.place, self.made = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.merge_start, self.n_merges = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def append(self, more: Merged) -> None:
+        self.start = np.append(self.start, more.start + len(self.ids))
+        self.merge_start = np.append(self.merge_start, more.merge_start + len(self.place))
+        self.ids, self.place, self.made = np.append(self.ids, more.ids), np.append(self.place, more.place), np.append(self.made, more.made)
+        self.size, self.n_merges = np.append(self.size, more.size), np.append(self.n_merges, more.n_merges)
+
+
+def starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
+def taken(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the runs that begin at ``start`` and are ``size`` long, one after the other."""
+    return np.arange(size.sum()) - np.repeat(starts(size) - start, size)
+
+
+def merge(words: list[str], voc: Vocabulary, keys: np.ndarray | None = None, limit: int = 0) -> Merged:
+    """What the agenda makes of each word; candidates whose hash by the word's key is below ``limit`` (of 2^32) are skipped."""
+    symbols, size = voc.symbols(words)
+    at, out = starts(size), Merged(len(words))
+    ids, rows, places, pieces, n_ids = [], [], [], [], 0
+    for narrow, width in zip((0, *WIDTHS), (*WIDTHS, None)):
+        own = np.flatnonzero((size > narrow) & (size <= width)) if width else np.flatnonzero(size > WIDE)
+        if not len(own):
+            continue
+        own_keys = keys[own] if keys is not None else None
+        if width:
+            table = np.full((len(own), width + 1), PAD, np.int32)
+            table[np.arange(width + 1) < size[own, None]] = symbols[taken(at[own], size[own])]
+            merged = merge_together(table, voc, own_keys, limit)
+        else:
+            merged = merge_long([symbols[a : a + n].tolist() for a, n in zip(at[own], size[own])], voc, own_keys, limit)
+        found, counts, row, place, made = merged
+        ids.append(found)
+        out.start[own], out.size[own] = n_ids + starts(counts), counts
+        n_ids += len(found)
+        rows.append(own[row])
+        places.append(place)
+        pieces.append(made)
+    if ids:
+        row = np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        out.ids, out.place, out.made = np.concatenate(ids), np.concatenate(places)[order], np.concatenate(pieces)[order]
+        out.n_merges = np.bincount(row, minlength=len(words))
+        out.merge_start = starts(out.n_merges)
+    return out
+
+
+def merge_together(table: np.ndarray, voc: Vocabulary, keys: np.ndarray | None, limit: int):
+    """All rows of symbols at once, each with an agenda of ranks of which the lowest is popped: the ids left, how many of each
+    row, and the row, place and piece of every merge."""
+    n, width = table.shape  # the last column is PAD, where links past either end lead
+    rank, made = np.full((n, width), NONE), np.zeros((n, width), np.int32)
+    rank[:, :-1], made[:, :-1] = voc.look_up(table[:, :-1], table[:, 1:])
+    after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+    before[:, 0] = width - 1
+    flat_table, flat_rank, flat_made, flat_after, flat_before = (x.reshape(-1) for x in (table, rank, made, after, before))
+    rows, places, pieces = [], [], []
+    live = np.arange(n)
+    while len(live):
+        best = rank[live]
+        i = best.argmin(axis=1)
+        go = best[np.arange(len(live)), i] != NONE
+        live, i = live[go], i[go]
+        base = live * width
+        piece = flat_made[base + i]
+        if limit:
+            stays = candidate_hash(keys[live], i, piece) >= limit
+            flat_rank[(base + i)[~stays]] = NONE
+            row, i, base, piece = live[stays], i[stays], base[stays], piece[stays]
+        else:
+            row = live
+            rows.append(row)
+            places.append(i)
+            pieces.append(piece)
+        j = flat_after[base + i]
+        k = np.minimum(flat_after[base + j], width - 1)
+        h = flat_before[base + i]
+        flat_table[base + i], flat_table[base + j], flat_rank[base + j] = piece, GONE, NONE
+        flat_after[base + i], flat_before[base + k] = k, i
+        flat_rank[base + i], flat_made[base + i] = voc.look_up(piece, flat_table[base + k])
+        flat_rank[base + h], flat_made[base + h] = voc.look_up(flat_table[base + h], piece)
+    left = table >= 0
+    cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return table[left], left.sum(axis=1), cat(rows), cat(places).astype(np.int32), cat(pieces).astype(np.int32)
+
+
+def merge_long(words: list[list[int]], voc: Vocabulary, keys: np.ndarray | None, limit: int):
+    """As ``merge_together``, word by word, with a heap of candidates beside a linked list of symbols."""
+    ids, counts, rows, places, pieces = [], [], [], [], []
+    for row, symbols in enumerate(words):
+        n = len(symbols)
+        line = np.array(symbols, np.int64)
+        rank, made = voc.look_up(line[:-1], line[1:])
+        heap = [(int(rank[i]), int(i), int(made[i])) for i in np.flatnonzero(rank != NONE)]
+        heapify(heap)
+        pairs = _pairs_of(voc)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            _, i, piece = heappop(heap)
+            j = after[i]
+            if j >= n or symbols[i] < 0 or pairs.get(symbols[i] << 16 | symbols[j], (0, -1))[1] != piece:
+                continue  # one of the two was merged meanwhile
+            if limit and candidate_hash(keys[row : row + 1], [i], [piece])[0] < limit:
+                continue
+            if not limit:
+                rows.append(row)
+                places.append(i)
+                pieces.append(piece)
+            symbols[i], symbols[j] = piece, GONE
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if found := pairs.get(piece << 16 | symbols[k]):
+                    heappush(heap, (found[0], i, found[1]))
+            h = before[i]
+            if h >= 0 and (found := pairs.get(symbols[h] << 16 | piece)):
+                heappush(heap, (found[0], h, found[1]))
+        left = [s for s in symbols if s >= 0]
+        ids += left
+        counts.append(len(left))
+    return np.array(ids, np.int32), np.array(counts, np.int64), np.array(rows, np.int64), np.array(places, np.int32), np.array(pieces, np.int32)
+
+
+_pairs: dict[int, dict[int, tuple[int, int]]] = {}
+
+
+def _pairs_of(voc: Vocabulary) -> dict[int, tuple[int, int]]:
+    """The pairs as a dictionary, for words that are too long for rows."""
+    if id(voc) not in _pairs:
+        _pairs.clear()
+        _pairs[id(voc)] = {int(k): (int(r), int(m)) for k, r, m in zip(voc.pair_keys[:-1], voc.pair_rank, voc.pair_made)}
+    return _pairs[id(voc)]
+
+
+class Numbers(dict):
+    """A number for each word, given when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    def __init__(self, voc: Vocabulary, rate: float, seed: int, variants: int):
+    def __init__(self, voc: Vocabulary, rate: float, seed: int):
         self.voc, self.seed, self.limit = voc, seed, int(rate * 2**32)
-        keys = mix(np.arange(variants, dtype=np.uint64) + np.uint64((seed & 0xFFFFFFFF) << 16))
-        if not self.limit:
-            keys = keys[:1]
-        self.segments = [Segments(voc, self.limit, int(k), CACHE_ROWS // variants) for k in keys]
-
-    def encode(self, text: str, doc_key: str = "") -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.plain = Numbers(), Merged(0)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text; each is encoded with a mark before it."""
         if MARK in text:
-            return self.encode_marks(text, doc_key)
+            text = text.replace(MARK, LITERAL_MARK)
+        if not self.voc.by_word:
+            return [text.replace(" ", MARK)]
         words = text.split(" ")
-        if "" in words:
-            words = WORD.findall((" " + text).replace(" ", MARK))
-        if len(self.segments) == 1:
-            found = map(self.segments[0].__getitem__, words)
-        else:
-            segments = self.segments
-            found = [segments[v][w] for v, w in zip(self.drawn(doc_key, len(words)), words)]
-        return np.frombuffer(b"".join(found), np.int32)
-
-    def drawn(self, doc_key: str, n: int) -> list[int]:
-        """A variant for each place."""
-        start = np.uint64(zlib.crc32(doc_key.encode("utf-8", "surrogatepass")) << 32 | self.seed & 0xFFFFFFFF)
-        return (mix(start + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(len(self.segments))).tolist()
-
-    def encode_marks(self, text: str, doc_key: str) -> np.ndarray:
-        """Of a text that has the mark itself, which becomes bytes."""
-        chunks: list[str | None] = []
-        for k, part in enumerate((" " + text).split(MARK)):
-            if k:
-                chunks.append(None)
-            part = part.replace(" ", MARK)
-            chunks += CHUNK.findall(part) if self.voc.by_chunk else [part] * bool(part)
-        mark = array("i", (self.voc.bytes[b] for b in MARK.encode())).tobytes()
-        found = (mark if c is None else self.segments[v].make(c) for v, c in zip(self.drawn(doc_key, len(chunks)), chunks))
-        return np.frombuffer(b"".join(found), np.int32)
-
-
-def decode(ids, voc: Vocabulary) -> str:
-    """The text of piece ids: runs of byte pieces as UTF-8, marks of other pieces as spaces, less the space put before the text."""
-    if not len(ids):
-        return ""
-    byte_of, texts = voc.byte_of, voc.texts
-    if voc.high_bytes.isdisjoint(ids):
-        return "".join(map(texts.__getitem__, ids))[1:]
-    out: list[str] = []
-    run = bytearray()
-    for i in ids:
-        b = byte_of.get(i)
-        if b is not None:
-            run.append(b)
-            continue
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-            run.clear()
-        out.append(texts[i])
-    out.append(run.decode("utf-8", "replace"))
-    return "".join(out)[1:]
+        return [w[1:] for w in WORD.findall((" " + text).replace(" ", MARK))] if "" in words else words
+
+    def encode_words(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all words, and how many each word has."""
+        if len(self.plain.ids) + len(self.plain.place) > CACHE_SYMBOLS:
+            self.forget()
+        known = len(self.numbers)
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.numbers) > known:
+            fresh = np.flatnonzero(number >= known)
+            _, first = np.unique(number[fresh], return_index=True)
+            self.plain.append(merge([words[i] for i in fresh[first]], self.voc))
+        plain = self.plain
+        start, size, ids = plain.start[number], plain.size[number], plain.ids
+        if self.limit:
+            n = plain.n_merges[number]
+            at = taken(plain.merge_start[number], n)
+            skipped = candidate_hash(np.repeat(keys, n), plain.place[at], plain.made[at]) < self.limit
+            varied = np.zeros(len(words), bool)
+            varied[np.repeat(np.arange(len(words)), n)[skipped]] = True
+            varied = np.flatnonzero(varied)
+            if len(varied):
+                other = merge([words[i] for i in varied], self.voc, keys[varied], self.limit)
+                start[varied], size[varied], ids = len(ids) + other.start, other.size, np.append(ids, other.ids)
+        return ids[taken(start, size)], size
+
+    def encode(self, texts: list[str | None], doc_keys: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts, and how many each text has."""
+        out, counts = [], np.zeros(len(texts), np.int64)
+        held: list[str] = []
+        keys, owners = [], []
+
+        def flush() -> None:
+            ids, size = self.encode_words(held, np.concatenate(keys))
+            out.append(ids)
+            np.add.at(counts, np.concatenate(owners), size)
+            held.clear(), keys.clear(), owners.clear()
+
+        for i, (text, doc_key) in enumerate(zip(texts, doc_keys)):
+            words = self.words(text) if text else []
+            for first in range(0, len(words), SLICE_WORDS):
+                part = words[first : first + SLICE_WORDS]
+                held += part
+                keys.append(occurrence_keys(self.seed, doc_key or "", first, len(part)))
+                owners.append(np.full(len(part), i))
+                if len(held) >= SLICE_WORDS:
+                    flush()
+        if held:
+            flush()
+        return np.concatenate(out) if out else np.zeros(0, np.int32), counts
+
+
+def decode(ids: np.ndarray, size: np.ndarray, voc: Vocabulary) -> pa.Array:
+    """Texts of runs of piece ids, ``size`` of each: byte pieces as UTF-8, marks as spaces, less the space put before a text."""
+    n_bytes = voc.shown_size[ids]
+    data = voc.shown[taken(voc.shown_start[ids], n_bytes)]
+    ends = np.append(0, np.cumsum(n_bytes))[np.append(0, np.cumsum(size))]
+    first = ends[:-1][ends[1:] > ends[:-1]]
+    spaces = first[data[first] == 32]
+    data = np.delete(data, spaces)
+    ends = ends - np.searchsorted(spaces, ends)
+    texts = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:  # ids that no text encodes to
+        raw = data.tobytes()
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())
+    return texts
+
+
+def decode_lists(lists: pa.Array, voc: Vocabulary) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
+    end, parts, at = np.cumsum(size), [], 0
+    while at < len(size):
+        done = end[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(end, done + SLICE_PIECES)))
+        parts.append(decode(ids[done : end[to - 1]], size[at:to], voc))
+        at = to
+    texts = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -269,26 +384,26 @@ _encoders: dict[tuple, Encoder] = {}
 class PieceCodec:
     """Column functions ``encode(text, id)`` and ``decode(ids)`` for one vocabulary, dropout rate and seed."""
 
-    def __init__(self, spark: SparkSession, path: str, rate: float = 0.1, seed: int = 1, variants: int = 3):
+    def __init__(self, spark: SparkSession, path: str, rate: float = 0.1, seed: int = 1):
         shared = self.shared = spark.sparkContext.broadcast(Vocabulary(path))
 
-        def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def encoded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             voc = shared.value
-            key = (id(voc), rate, seed, variants)
+            key = (id(voc), rate, seed)
             if key not in _encoders:
                 _encoders.clear()
-                _encoders[key] = Encoder(voc, rate, seed, variants)
-            encode = _encoders[key].encode
+                _encoders[key] = Encoder(voc, rate, seed)
             for texts, keys in batches:
-                yield pd.Series([None if t is None else encode(t, k or "") for t, k in zip(texts, keys)], dtype=object)
+                ids, counts = _encoders[key].encode(texts.to_pylist(), keys.to_pylist())
+                offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+                yield pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=texts.is_null())
 
-        def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            voc = shared.value
-            for rows in batches:
-                yield pd.Series([None if ids is None else decode(ids.tolist(), voc) for ids in rows], dtype=object)
+        def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for lists in batches:
+                yield decode_lists(lists, shared.value)
 
-        self._encode = F.pandas_udf(encoded, "array<int>").asNondeterministic()
-        self._decode = F.pandas_udf(decoded, "string").asNondeterministic()
+        self._encode = F.arrow_udf(encoded, "array<int>").asNondeterministic()
+        self._decode = F.arrow_udf(decoded, "string").asNondeterministic()
 
     def encode(self, text: Column, doc_id: Column) -> Column:
         return self._encode(text, doc_id.cast("string"))
@@ -297,16 +412,16 @@ class PieceCodec:
         return self._decode(ids)
 
 
-def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with its text replaced by ``ids`` (array of int), the other columns untouched."""
+def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", into: str = "ids", **options) -> DataFrame:
+    """``docs`` with its text replaced by ``into`` (array of int), in place of a column of that name; the other columns are untouched."""
     codec = PieceCodec(docs.sparkSession, path, **options)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "ids")]
-    return docs.select(*rest, codec.encode(F.col(text_col), F.col(id_col)).alias("ids"))
+    rest = [column(c) for c in docs.columns if c.lower() not in (text_col.lower(), into.lower())]
+    return docs.select(*rest, codec.encode(column(text_col), column(id_col)).alias(into))
 
 
 def round_trip(docs: DataFrame, path: str, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, ids_hash, lossless (decoding gave the text back)."""
     codec = PieceCodec(docs.sparkSession, path, **options)
     encoded = docs.select("doc_id", "text", codec.encode(F.col("text"), F.col("doc_id")).alias("ids"))
-    decoded = encoded.select("doc_id", "text", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), codec.decode(F.col("ids")).alias("__back"))
-    return decoded.select("doc_id", F.when(F.col("n_pieces") >= 0, F.col("n_pieces")).otherwise(0).alias("n_pieces"), "ids_hash", F.col("__back").eqNullSafe(F.col("text")).alias("lossless"))
+    decoded = encoded.select("doc_id", "text", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), codec.decode(F.col("ids")).alias("back"))
+    return decoded.select("doc_id", F.when(F.col("n_pieces") >= 0, F.col("n_pieces")).otherwise(0).alias("n_pieces"), "ids_hash", F.col("back").eqNullSafe(F.col("text")).alias("lossless"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts may be very long, and a worker holds a whole batch.
@@ -21,14 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.  Where it is unset, a session
+    on one machine (master ``local``) gets a temporary folder, and on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="folioscope-")
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = tempfile.mkdtemp(prefix="folioscope-")  # one machine: driver and executors are one process
         spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can clash with one that an operator adds; ``row.*`` gives them back."""
+    return F.struct(*map(column, df.columns)).alias("row")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -52,5 +65,6 @@ def join_small(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
     small = scratch(small, "small")
     if small.count() <= SMALL_ROWS:
         small = F.broadcast(small)
-    right = small.withColumnRenamed(key, f"__{key}")
-    return df.join(right, F.col(key).eqNullSafe(F.col(f"__{key}")), "left").drop(f"__{key}")
+    names = [c for c in small.columns if c != key]
+    right = small.select(F.col(key).alias("small_key"), *names)
+    return df.join(right, F.col(key).eqNullSafe(F.col("small_key")), "left").drop("small_key")
