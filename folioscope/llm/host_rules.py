@@ -6,7 +6,10 @@ of moments), and hosts whose shrunk rate is above ``max_rate`` are rejected.  Th
 stays if it passes the base rule and its host is not rejected.
 
 Defined results: null and empty texts have no words and fail (fewer than ``MIN_WORDS``); null hosts are one host;
-repeated rows count each; an empty table gives no rows; other columns pass through ``keep_good`` untouched.
+repeated rows count each; very long texts are counted whole, one at a time; an empty table gives no rows; other columns,
+whatever their names, pass through ``keep_good`` untouched.
+
+Every text is counted once: rows are written with their counts, and the hosts' verdicts are joined to what was written.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import join_small
+from folioscope.llm.shared import column, join_small, scratch, whole_row
 
 #: Fixed values of the base rule.
 WINDOW = 8
@@ -77,47 +80,55 @@ def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([text_counts(x) for x in texts], columns=names, dtype="int64")
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__rules``: the counts and ``base_failed``."""
-    rule_counts = F.pandas_udf(counted, COUNTS).asNondeterministic()
-    ruled = docs.withColumn("__counts", rule_counts(F.col(text_col)))
-    failed = (F.col("__counts.n_words") < MIN_WORDS) | (100 * F.col("__counts.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__counts.n_words"))
-    return ruled.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct("__counts.*", failed.alias("base_failed")).alias("__rules"))
+def rule_counts(text: Column) -> Column:
+    """A struct of the counts of ``text``."""
+    return F.pandas_udf(counted, COUNTS).asNondeterministic()(text)
+
+
+def base_failed(counts: str = "counts") -> Column:
+    n, repeated = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
+    return (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
 
 
 def host_verdicts(failures: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """One row per host of (host, failed): n_docs, n_failed, shrunk_rate, host_rejected."""
     hosts = failures.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     n, k = F.col("n_docs"), F.col("n_failed")
-    total = hosts.agg(F.sum(n).alias("__n"), F.sum(k).alias("__k"), F.count("*").alias("__hosts"), F.sum(k * k / n).alias("__kk"))
-    mean = F.col("__k") / F.col("__n")
-    between = F.col("__kk") / F.col("__n") - mean * mean - mean * (1 - mean) * F.col("__hosts") / F.col("__n")
+    total = hosts.agg(F.sum(n).alias("all_docs"), F.sum(k).alias("all_failed"), F.count("*").alias("hosts"), F.sum(k * k / n).alias("squares"))
+    mean = F.col("all_failed") / F.col("all_docs")
+    between = F.col("squares") / F.col("all_docs") - mean * mean - mean * (1 - mean) * F.col("hosts") / F.col("all_docs")
     noise = mean * (1 - mean)
     strength = F.when(between > 1e-9 * noise, F.least(F.lit(1e6), F.greatest(F.lit(1.0), noise / between - 1))).otherwise(F.lit(1e6))
-    prior = total.select(mean.alias("__mean"), strength.alias("__strength"))
-    shrunk = (k + F.col("__mean") * F.col("__strength")) / (n + F.col("__strength"))
+    prior = total.select(mean.alias("mean"), strength.alias("strength"))
+    shrunk = (k + F.col("mean") * F.col("strength")) / (n + F.col("strength"))
     judged = hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"))  # prior: one row
     return judged.withColumn("host_rejected", F.col("shrunk_rate") > max_rate)
 
 
-def judged(docs: DataFrame, max_rate: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` with structs ``__rules`` and ``__verdict`` (host figures and ``kept``)."""
-    ruled = with_counts(docs, text_col)
-    failures = with_counts(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))).select("host", F.col("__rules.base_failed").alias("failed"))
-    hosts = host_verdicts(failures, max_rate).select(F.col("host").alias("__host"), F.struct("n_docs", "n_failed", "shrunk_rate", "host_rejected").alias("__found"))
-    joined = join_small(ruled.withColumn("__host", F.col(host_col)), hosts, "__host")
-    kept = ~F.col("__rules.base_failed") & ~F.col("__found.host_rejected")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__rules", F.struct("__found.*", kept.alias("kept")).alias("__verdict"))
+def judged(rows: DataFrame, max_rate: float = 0.5) -> DataFrame:
+    """Rows of (row, host, counts), written first, with ``failed`` and ``verdict`` (host figures and ``kept``)."""
+    rows = scratch(rows.withColumn("failed", base_failed()), "ruled")
+    hosts = host_verdicts(rows.select("host", "failed"), max_rate)
+    hosts = hosts.select("host", F.struct("n_docs", "n_failed", "shrunk_rate", "host_rejected").alias("found"))
+    kept = ~F.col("failed") & ~F.col("found.host_rejected")
+    return join_small(rows, hosts, "host").select("row", "counts", "failed", F.struct("found.*", kept.alias("kept")).alias("verdict"))
+
+
+def ruled(docs: DataFrame, text_col: str = "text", host_col: str = "source", row: Column | None = None) -> DataFrame:
+    """(row, host, counts) of each row: ``row`` is all its columns, or what is given."""
+    return docs.select(whole_row(docs) if row is None else row.alias("row"), column(host_col).alias("host"), rule_counts(column(text_col)).alias("counts"))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, max_rate: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return judged(docs, **options).where("__verdict.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(ruled(docs, text_col, host_col), max_rate).where("verdict.kept").select("row.*")
 
 
-def rules_digest(docs: DataFrame, **options) -> DataFrame:
-    j = judged(docs.select("doc_id", "text", "source"), **options)
-    return j.select("doc_id", "__rules.n_words", "__rules.word_chars", "__rules.n_symbols", "__rules.n_dup_lines", "__rules.n_repeat_words", "__rules.base_failed", "__verdict.kept", F.round("__verdict.shrunk_rate", 6).alias("shrunk_rate"))
+def rules_digest(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and the host's shrunk rate."""
+    j = judged(ruled(docs, row=F.struct("doc_id")), max_rate)
+    counts = [f"counts.{c.split()[0]}" for c in COUNTS.split(", ")]
+    return j.select("row.doc_id", *counts, F.col("failed").alias("base_failed"), "verdict.kept", F.round("verdict.shrunk_rate", 6).alias("shrunk_rate"))
 
 
 ORACLE = rf"""

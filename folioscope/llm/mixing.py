@@ -6,8 +6,8 @@ emitted floor(rate) times plus one hash-seeded Bernoulli copy whose probability
 and no row order matters.
 
 Defined results: null texts have size 0; null sources are one source that sorts last; sources of size 0 have target and
-rate 0; repeated rows draw the same coin as they have the same id; an empty table gives no rows; other columns pass
-through ``mix`` untouched.
+rate 0; repeated rows draw the same coin as they have the same id; very long texts are counted whole; an empty table gives
+no rows; other columns, whatever their names, pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import join_small
+from folioscope.llm.shared import column, join_small, scratch, whole_row
 
 #: A word, by ASCII white space; weights of the sources in code point order, repeating; the budget as a
 #: share of all words; the most that a target may be, as a multiple of its source's size.
@@ -41,46 +41,46 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, bu
     With the sources in order of cap / weight, the common level of those below their cap is the largest of
     (budget - caps before) / (weights from here on); windows run over one row per source.
     """
-    per = sizes.groupBy(F.col(source)).agg(F.sum(size).alias("source_size"))
-    ranked = per.withColumn("__n", F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("__n") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("__w", weight).withColumn("__cap", F.col("source_size") * F.lit(float(cap)))
-    here = Window.orderBy(F.col("__cap") / F.col("__w"), F.col("__n"))
+    per = sizes.groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("source_size"))
+    ranked = per.withColumn("n", F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last())) - 1)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("n") % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    here = Window.orderBy(F.col("most") / F.col("w"), F.col("n"))
     whole = Window.partitionBy()
     before = here.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(whole) * F.lit(float(budget)) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / (
-        F.sum("__w").over(whole) - F.coalesce(F.sum("__w").over(before), F.lit(0.0))
+    level = (F.sum("source_size").over(whole) * F.lit(float(budget)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
+        F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     )
-    leveled = ranked.withColumn("__level", level).withColumn("__level", F.max("__level").over(whole))
-    target = F.least(F.col("__cap"), F.col("__w") * F.col("__level"))
-    return leveled.select(
-        source, "source_size", target.alias("target"),
-        F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"),
-    )
+    leveled = ranked.withColumn("level", level).withColumn("level", F.max("level").over(whole))
+    target = F.least(F.col("most"), F.col("w") * F.col("level"))
+    rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
+    return leveled.select(F.col("s").alias(source), "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def mixing_plan(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """``docs`` with a struct ``__mix``: size, source_size, target, rate and copies (how often the row is emitted)."""
-    sized = docs.withColumn("__size", n_words(text_col))
-    rates = source_targets(sized.select(F.col(source_col).alias("__source"), F.col("__size")), "__source", "__size", **targets)
-    rates = rates.select("__source", F.struct("source_size", "target", "rate").alias("__rate"))
-    joined = join_small(sized.withColumn("__source", F.col(source_col)), rates, "__source")
-    rate = F.col("__rate.rate")
-    copies = (F.floor(rate) + (coin(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")).alias("copies")
-    mix = F.struct(F.col("__size").alias("size"), "__rate.source_size", "__rate.target", "__rate.rate", copies)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("__mix"))
+def planned(rows: DataFrame, seed: int = 17, **targets) -> DataFrame:
+    """Rows of (row, id, source, size), read once for the sums by source and once for the plan, with source_size, target, rate
+    and copies (how often the row is emitted)."""
+    rates = source_targets(rows, "source", "size", **targets).select("source", F.struct("source_size", "target", "rate").alias("found"))
+    rate = F.col("found.rate")
+    copies = F.floor(rate) + (coin(seed, F.col("id")) < rate - F.floor(rate)).cast("long")
+    return join_small(rows, rates, "source").select("row", "size", "found.*", copies.alias("copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as its copies say, with the columns of ``docs``."""
-    planned = mixing_plan(docs, **options)
-    repeated = planned.where(F.col("__mix.copies") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix.copies").cast("int"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each as often as its copies say, with the columns of ``docs``.
+
+    Sizes are needed for the sums alone; the second reading takes the rows as they are.
+    """
+    rows = docs.select(whole_row(docs), column(id_col).alias("id"), column(source_col).alias("source"), n_words(column(text_col)).alias("size"))
+    emitted = planned(rows, **options).where("copies > 0")
+    return emitted.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    m = mixing_plan(docs.select("doc_id", "text", "source"), **options)
-    return m.select("doc_id", "__mix.size", "__mix.source_size", F.round("__mix.target", 6).alias("target"), (F.col("__mix.size") * F.col("__mix.copies")).alias("taken"))
+    """doc_id, size, source_size, target and taken (words that the mix takes); sizes are counted once and written."""
+    sizes = scratch(docs.select(F.struct("doc_id").alias("row"), F.col("doc_id").alias("id"), "source", n_words("text").alias("size")), "sizes")
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return planned(sizes, **options).select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken)
 
 
 ORACLE = f"""
