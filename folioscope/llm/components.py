@@ -9,7 +9,10 @@ from folioscope.llm.shared import fresh_path, remove
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) for each id in ``edges`` (a, b); the component is named by its smallest id.
+    """(id, component) for each id in ``edges`` (a, b) that has an edge to another id; the component is named by its smallest id.
+
+    Defined results: edges with a null end and edges from an id to itself count for nothing; repeated edges count once; without
+    edges there are no rows; other columns are ignored.
 
     Each round maps every vertex to the smallest of itself and its neighbours and draws the edges anew between the
     mapped vertices; an edge whose ends fall together goes.  Every table is written to the shared folder, so that no

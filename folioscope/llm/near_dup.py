@@ -5,16 +5,18 @@ MinHash values; bands of them make buckets, and only texts that share a bucket a
 MinHash value by value in steps: with a uniform prior on the similarity, a pair is dropped as soon as the posterior
 probability that it reaches the threshold falls below ``tolerance``.  All pairs left are verified exactly on the sets.
 
-No pairs are emitted.  Inside a bucket a search joins what survives pruning into candidate clusters; a cluster's texts
-then meet once, in blocks of bounded size (every pair of blocks of a large cluster), where each pair is pruned, verified
-and counted.  Texts are compared once for all their copies.
+No pairs are emitted.  Inside a bucket a search joins what survives pruning into candidate clusters; the shingles of a
+cluster's texts, made once, then meet in blocks of bounded size (every pair of blocks of a large cluster in a task of its
+own), where each pair is pruned, verified and counted.  Texts are compared once for all their copies, and classes with many
+copies are handed to their rows by broadcast, so that no task holds a hot class.
 
 Chance of losing a pair at exactly the threshold: (1 - 0.8^8)^64 < 1e-5 by banding, and about ``tolerance`` by pruning;
 both vanish above it.
 
 Defined results: null texts count as empty; empty texts (no words) are copies of each other and link to nothing else;
 rows with a null id are returned with class_id null and no links unless their text has another id; repeated rows are
-copies; an empty table gives no rows; other columns are ignored by ``join_near`` and kept by ``keep_one``.
+copies; very long texts are shingled whole, one at a time; an empty table gives no rows; other columns, whatever their
+names, are ignored by ``join_near`` and kept by ``keep_one``.  Ids are numbers (or null): others are an error.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.shared import scratch
+from folioscope.llm.shared import column, scratch, whole_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -40,13 +42,17 @@ N_VALUES = 128  # MinHash values that are kept, of 8 bits each, for pruning
 STEP = 16  # values compared between two looks at the posterior
 BUCKET_BLOCK = 4096  # members of a bucket that one task compares at once
 CLUSTER_BLOCK = 600_000  # shingles of a cluster that one task holds, twice where two blocks meet
+CLUSTER_TEXTS = 256  # and texts
+HOT_SHARE = 10_000  # a text with more than this part of all rows is hot: there are at most so many
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 150_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:  # longer ones are rare, and would make the memory unbounded
+            self[word] = h
         return h
 
 
@@ -215,12 +221,10 @@ def reach(sig: np.ndarray, least: np.ndarray) -> np.ndarray:
     return root
 
 
-def block_links(texts: list[str], in_p: np.ndarray, in_q: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each text and the first text of its component, over the pairs with one end in p and the other in q."""
+def block_links(sets: list[np.ndarray], sig: np.ndarray, in_p: np.ndarray, in_q: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set of shingles and the first set of its component, over the pairs with one end in p and the other in q."""
     least = least_matches(threshold)
-    sets = [shingles(t) for t in texts]
     size = np.array([len(s) for s in sets])
-    sig = np.frombuffer(b"".join(signature(minhash(s)) for s in sets), np.uint8).reshape(-1, N_VALUES)
     # sets as numbers of the shingles that two texts at least have; the others can't be common to two
     flat = np.concatenate(sets)
     values, number, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -229,9 +233,9 @@ def block_links(texts: list[str], in_p: np.ndarray, in_q: np.ndarray, threshold:
     number = number[common]
     offset = np.searchsorted(owner, np.arange(len(sets) + 1))
     mark = np.zeros(len(values), bool)
-    degree, root = np.zeros(len(texts), np.int64), np.arange(len(texts))
-    for i in range(len(texts)):
-        later = np.arange(i + 1, len(texts))
+    degree, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for i in range(len(sets)):
+        later = np.arange(i + 1, len(sets))
         later = later[(in_p[i] & in_q[later]) | (in_q[i] & in_p[later])]
         later = later[np.minimum(size[i], size[later]) >= threshold * np.maximum(size[i], size[later])]
         if not len(later) or not size[i]:
@@ -240,7 +244,7 @@ def block_links(texts: list[str], in_p: np.ndarray, in_q: np.ndarray, threshold:
         if not len(later):
             continue
         mark[number[offset[i] : offset[i + 1]]] = True
-        if 4 * len(later) > len(texts) - i:  # most are candidates: one pass over all that follow
+        if 4 * len(later) > len(sets) - i:  # most are candidates: one pass over all that follow
             hits = np.concatenate([[0], np.cumsum(mark[number[offset[i] :]])])
             both = hits[offset[later + 1] - offset[i]] - hits[offset[later] - offset[i]]
         else:
@@ -257,7 +261,7 @@ def block_links(texts: list[str], in_p: np.ndarray, in_q: np.ndarray, threshold:
 
 
 def cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, links, root) for each text of each pair of blocks; rows: cluster, p, q, id, block, text."""
+    """(id, links, root) for each text of each pair of blocks; rows: cluster, p, q, id, block, shingles, sig."""
     for table in runs(batches, 3):
         key, p, q, ids, block = (table.column(i).to_numpy() for i in range(5))
         at = starts(key, p, q)
@@ -265,7 +269,9 @@ def cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi in zip(at[:-1], at[1:]):
             if hi - lo > 1:
                 own = block[lo:hi]
-                d, r = block_links(table.column(5).slice(lo, hi - lo).to_pylist(), own == p[lo], own == q[lo])
+                sets = [np.frombuffer(x, np.uint64) for x in table.column(5).slice(lo, hi - lo).to_pylist()]
+                sig = np.frombuffer(b"".join(table.column(6).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, N_VALUES)
+                d, r = block_links(sets, sig, own == p[lo], own == q[lo])
                 degree[lo:hi], root[lo:hi] = d, ids[lo:hi][r]
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(degree), pa.array(root)], ["id", "links", "root"])
 
@@ -282,6 +288,11 @@ def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": np.array(n, np.int64), "sig": sig, "bands": bands})
 
 
+def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([shingles(text).tobytes() for text in texts], dtype=object)
+
+
 def block_pairs(blocks, block):
     """The pairs of blocks (p <= q) in which a row of ``block`` takes part."""
     return F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.struct(F.least(block, c).alias("p"), F.greatest(block, c).alias("q")))
@@ -290,7 +301,7 @@ def block_pairs(blocks, block):
 def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, class_id (smallest id of all that are linked, directly or not), n_links (other texts
     with a similarity of at least 0.8) and n_copies (rows with the same text, itself included)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     sketch = F.pandas_udf(sketched, "n long, sig binary, bands array<long>").asNondeterministic()
     key = F.unhex(F.sha2("text", 256))
     keys = scratch(texts.select("id", key.alias("key"), sketch("text").alias("s")).select("id", "key", "s.*"), "sketches")
@@ -308,26 +319,34 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     edges = signed.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "id").mapInArrow(bucket_edges, "a long, b long")
     clusters = components(edges)
 
-    # A cluster's texts, in blocks of bounded size.
-    sized = clusters.join(reps.select("id", "n"), "id")
-    totals = sized.groupBy("component").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("total"), F.lit(1)) / CLUSTER_BLOCK).cast("int")
+    # A cluster's shingles, in blocks of bounded size.
+    sized = scratch(clusters.join(reps.select("id", "n", "sig"), "id"), "clustered")
+    make = F.pandas_udf(shingled, "binary").asNondeterministic()
+    sets = scratch(texts.join(sized.select("id"), "id").select("id", make("text").alias("shingles")), "shingles")
+    totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("texts"))
+    blocks = F.ceil(F.greatest(F.col("total") / CLUSTER_BLOCK, F.col("texts") / CLUSTER_TEXTS, F.lit(1.0))).cast("int")
     placed = sized.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    placed = placed.select("component", "id", "block", F.explode(block_pairs(blocks, F.col("block"))).alias("pq"))
-    met = placed.join(texts.where(F.col("id").isNotNull()), "id").select("component", "pq.p", "pq.q", "id", "block", "text")
+    placed = placed.select("component", "id", "sig", "block", F.explode(block_pairs(blocks, F.col("block"))).alias("pq"))
+    met = placed.join(sets, "id").select("component", "pq.p", "pq.q", "id", "block", "shingles", "sig")
     met = met.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "id")
     links = scratch(met.mapInArrow(cluster_links, "id long, links long, root long"), "links")
     degrees = links.groupBy("id").agg(F.sum("links").alias("links"))
     final = components(links.select(F.col("root").alias("a"), F.col("id").alias("b")))
     found = degrees.join(final, "id", "left").select(F.col("id").alias("rep"), "links", "component")
-    named = classes.join(found, "rep", "left").select("key", "rep", "n_copies", "links", "component")
-    return keys.select("id", "key").join(named, "key").select(
-        F.col("id").alias(id_col), F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies"
-    )
+    classes = scratch(classes.join(found, "rep", "left").select("key", "rep", "n_copies", "links", "component"), "classes")
+    class_id = F.coalesce("component", "rep").alias("class_id")
+    result = [F.col("id").alias(id_col), class_id, F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies"]
+    often = F.col("n_copies") > max(64, keys.count() // HOT_SHARE)
+    hot = F.broadcast(classes.where(often))  # HOT_SHARE rows at most
+    mine = keys.select("id", "key")
+    rest = mine.join(F.broadcast(hot.select("key")), "key", "left_anti").join(classes.where(~often), "key")
+    return mine.join(hot, "key").select(*result).unionByName(rest.select(*result))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without those whose class has a smaller id: one document of each class stays (rows that repeat
     its id with it, and rows with a null id)."""
-    gone = join_near(docs, id_col=id_col, **options).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = join_near(docs, id_col=id_col, **options)
+    gone = gone.where(column(id_col) != F.col("class_id")).select(column(id_col).alias("gone")).distinct()
+    rows = docs.select(whole_row(docs), column(id_col).alias("own"))
+    return rows.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")
