@@ -5,7 +5,8 @@ as an expression of identifiers with ``and``, ``or``, ``with`` and parentheses,
 shunting-yard method and evaluated to its labels and to whether it can be met by permissive licences alone.
 
 Defined results: null and empty texts have no words, no places, null first and last word, empty labels and score 0;
-malformed expressions add no labels; repeated rows are scanned each; other columns of the input are ignored.
+malformed expressions add no labels; repeated rows are scanned each; very long texts are scanned whole, one at a time; an
+empty table gives no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.shared import column
+
 #: Phrases that every scan looks for, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -169,4 +172,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``permissive`` is null where no expression was read.
     """
     license_scan = F.pandas_udf(scanned, SCHEMA).asNondeterministic()
-    return docs.select(F.col(id_col), license_scan(F.col(text_col)).alias("__scan")).select(id_col, "__scan.*")
+    return docs.select(F.struct(column(id_col).alias(id_col)).alias("row"), license_scan(column(text_col)).alias("scan")).select("row.*", "scan.*")

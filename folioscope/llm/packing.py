@@ -10,7 +10,8 @@ Packing needs no shuffle, and a block's rows depend on nothing but its documents
 same rows.
 
 Defined results: null and empty texts make one segment of ``eos`` alone; repeated rows are packed each; a null id stays
-null; overlong documents are cut into numbered pieces; an empty table makes no rows; other columns are not written.
+null, and ids are numbers: others are an error; overlong documents are cut into numbered pieces; an empty table makes no
+rows; other columns are not written, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,15 +17,18 @@ from heapq import heapify, heappop, heappush
 import pandas as pd
 import re
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.shared import column
+
 #: The pre-token pattern of the byte-level tokenizer family, and the white space it knows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Distinct strings whose counts a worker keeps, in each of two generations.
 CACHE_ROWS = 600_000
+CACHE_CHARS = 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -111,6 +114,8 @@ class Counts(dict):
         if n is None:
             pieces = self.split.findall(chunk)
             n = merged_length(chunk.encode(), self.merges) if len(pieces) == 1 else sum(map(self.__getitem__, pieces))
+        if len(chunk) > CACHE_CHARS:  # rare, and would make the memory unbounded
+            return n
         if len(self) >= CACHE_ROWS:
             self.older = dict(self)
             self.clear()
@@ -149,8 +154,7 @@ def token_counter(spark: SparkSession, path: str):
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit (more tokens than ``limit``)."""
-    text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    counted = docs.select(F.col(id_col), text.alias("__text")).select(
-        id_col, F.octet_length("__text").cast("long").alias("n_bytes"), token_counter(docs.sparkSession, path)("__text").alias("n_tokens")
-    )
+    text = F.coalesce(column(text_col), F.lit(""))
+    n_tokens = token_counter(docs.sparkSession, path)(text).alias("n_tokens")
+    counted = docs.select(column(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,16 +1,18 @@
 """Toxicity: a convolutional text classifier on hashed word embeddings, trained in numpy.
 
 Words and their stems (first letters) are hashed to buckets; buckets that occur in enough training texts have an
-embedding, all others share a zero vector, and a word's embedding is the sum of its two.  Filters of several widths slide over the embeddings, each keeps its largest response over the whole text (max
-pooling), and a logistic layer makes the logit.  Thresholds are calibrated by language on texts kept from training; the
+embedding, all others share a zero vector, and a word's embedding is the sum of its two.  Filters of several widths slide
+over the embeddings, each keeps its largest response over the whole text (max pooling), and a logistic layer makes the logit.  Thresholds are calibrated by language on texts kept from training; the
 language is guessed from function words of the text itself, so a score depends on nothing but the text.  The score is
 the logistic of (logit - threshold), hence 0.5 at the threshold.
 
-Training reads a bounded sample of labelled rows: at most ``n_positive`` and ``n_negative`` rows, the first by a hash of
-their id, with texts of at most ``max_chars`` characters.  Scoring reads every text whole.
+Training reads a bounded sample of labelled rows: of those with a text of at most ``max_chars`` characters, the first
+``n_positive`` and ``n_negative`` by a hash of their id, and in each of the two classes texts up to ``most_chars`` in all.
+Scoring reads every text whole.
 
 Defined results: null and empty texts have no words and get the score of a text without known words; repeated rows get
-equal scores; with labels of one class only, or none, every score is 0; other columns pass through ``keep_clean``.
+equal scores; an id with several texts is trained on with the shortest of them, an id with both labels counts as labelled;
+with labels of one class only, or none, every score is 0; other columns, whatever their names, pass through ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm.shared import column, scratch, whole_row
+
 WORD = re.compile(r"\w+")
 
 #: Function words by which a text's language is guessed.
@@ -47,6 +51,7 @@ class Training:
     n_positive: int = 1500
     n_negative: int = 3000
     max_chars: int = 50_000
+    most_chars: int = 20_000_000  # of a class
     min_texts: int = 5
     dim: int = 16
     filters: int = 12
@@ -210,19 +215,21 @@ def calibrate(model: Model, scored: list[tuple[int, float, int]], least: int = 2
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", how: Training = Training(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on the rows of ``labels`` outside the held-out fifth; see ``Training`` for the bounds of the sample."""
-    known = labels.where(~held_out(F.col(id_col)) & F.col(target).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(target).cast("int").alias("__y"))
-    known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
-    key = F.xxhash64("__id")
+    known = labels.where(~held_out(column(id_col)) & column(target).isin(0, 1)).select(column(id_col).alias("id"), column(target).cast("int").alias("y"))
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    sized = docs.select(column(id_col).alias("id"), F.length(column(text_col)).alias("n")).where(F.col("n").between(1, how.max_chars)).groupBy("id").agg(F.min("n").alias("n"))
+    usable = scratch(known.join(sized, "id"), "labelled")  # ids, labels and lengths; no texts
 
     def first(y: int, n: int) -> DataFrame:
-        return known.where(F.col("__y") == y).orderBy(key, "__id").limit(n)
+        return usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
 
-    sample = first(1, how.n_positive).unionByName(first(0, how.n_negative))  # at most n_positive + n_negative rows
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text").between(1, how.max_chars))
-    rows = texts.join(F.broadcast(sample), "__id").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__id"], r["__text"]))
-    rows = rows[: 2 * (how.n_positive + how.n_negative)]  # only repeated ids can make more
-    return fit([r["__text"] for r in rows], [r["__y"] for r in rows], how)
+    sample = first(1, how.n_positive).unionByName(first(0, how.n_negative))
+    up_to = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # n_positive + n_negative rows at most
+    sample = scratch(sample.withColumn("so_far", F.sum("n").over(up_to)).where(F.col("so_far") <= how.most_chars), "sample")
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").where(F.length("text") == F.col("n")).groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    return fit([r["text"] for r in rows], [r["y"] for r in rows], how)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -240,6 +247,8 @@ class Rows(dict):
         if row is None:
             whole, stem = buckets(word)
             row = self.model.rows.get(whole, 0), self.model.rows.get(stem, 0)
+        if len(word) > 64:  # rare, and would make the memory unbounded
+            return row
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -270,11 +279,11 @@ def scorer(spark, model: Model):
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, held_out, score, predicted."""
-    scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
+    scored = docs.select(column(id_col).alias(id_col), held_out(column(id_col)).alias("held_out"), scorer(docs.sparkSession, model)(column(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, with the columns of ``docs``."""
-    scored = docs.withColumn("__score", scorer(docs.sparkSession, model)(F.col(text_col)))
-    return scored.where(F.col("__score") < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    scored = docs.select(whole_row(docs), scorer(docs.sparkSession, model)(column(text_col)).alias("score"))
+    return scored.where(F.col("score") < 0.5).select("row.*")

@@ -10,8 +10,9 @@ Files of tasks that failed are not in the manifest, hence never read.  Records:
 ``deduplicated`` adds.
 
 Defined results: null html is an empty payload; null urls make no target header; line ends in urls are percent-escaped and stay so; null
-page ids are written as such and read back as null; repeated rows are records each, all of them responses as they have
-the same smallest id; an empty table makes an archive without records.
+page ids are written as such, read back as null, and come after all others where payloads are equal; repeated rows are
+records each, all of them responses as they have the same smallest id; payloads of any length are written whole, one at a
+time; an empty table makes an archive without records; other columns are not written, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,17 +55,18 @@ def base32_sha1(data: Column) -> Column:
 def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``pages`` as records: page_id, url, payload (html), payload_digest, payload_bytes, record_type, refers_to.
 
-    Among equal payloads of at least ``least_bytes`` the smallest page_id is the response and the others revisit it.
+    Among equal payloads of at least ``least_bytes`` the smallest page_id is the response and the others, those without an
+    id too, revisit it; where none has an id all are responses.
     Only ids and payload hashes are grouped and joined (one row per payload on the other side, so a hot payload is split
-    by adaptive execution); pages are then joined by their own id, where no key is hot.
+    by adaptive execution); pages are then joined by their own id and hash, where no key is hot.
     """
     page = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     keys = page.select("page_id", F.unhex(F.sha2("payload", 256)).alias("key"), F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
     first = keys.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = keys.join(first, "key").where(F.col("page_id") != F.col("refers_to")).select("page_id", "key", "refers_to").distinct()
-    sized = page.withColumn("__key", F.unhex(F.sha2("payload", 256)))
-    again = again.select(F.col("page_id").alias("__id"), F.col("key").alias("__again"), "refers_to")
-    joined = sized.join(again, (F.col("page_id") == F.col("__id")) & (F.col("__key") == F.col("__again")), "left")
+    other = ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    again = keys.join(first, "key").where(other).select(F.col("page_id").alias("again_id"), F.col("key").alias("again_key"), "refers_to").distinct()
+    sized = page.withColumn("key", F.unhex(F.sha2("payload", 256)))
+    joined = sized.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key")), "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     return joined.select(
         "page_id", "url", base32_sha1(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),

@@ -13,7 +13,8 @@ def odd_docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, schema)
-    clash = ["score", "rank", "mix", "rules", "verdict", "ids", "n_tokens", "id", "key", "rep", "labels", "size", "__text"]
+    clash = ["score", "rank", "mix", "rules", "verdict", "ids", "n_tokens", "id", "key", "rep", "labels", "size", "__text", "row", "host", "counts", "failed", "found", "verdict", "kept", "small_key", "copies", "copy", "rate", "target", "source_size",
+             "s", "n", "w", "most", "level", "own", "gone", "scan", "back", "held_out", "y", "so_far", "__size", "__source", "__mix", "__rules", "__counts", "__host", "__score", "a`b", "a.b"]
     return df.withColumns({c: F.lit("clash") for c in clash})
 
 

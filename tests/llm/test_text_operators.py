@@ -70,7 +70,7 @@ def test_bad_host_goes_and_small_host_is_shrunk(spark):
     good, bad = " ".join(f"word{i}" for i in range(40)), "too short"
     rows = [("bad", bad)] * 95 + [("bad", good)] * 5 + [("fine", good)] * 400 + [("tiny", bad), ("tiny", good)]
     docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
-    j = {r.host: r for r in host_rules.host_verdicts(host_rules.with_counts(docs).select(F.col("source").alias("host"), F.col("__rules.base_failed").alias("failed"))).collect()}
+    j = {r.host: r for r in host_rules.host_verdicts(host_rules.ruled(docs).select("host", host_rules.base_failed().alias("failed"))).collect()}
     assert j["bad"].host_rejected and not j["fine"].host_rejected and j["tiny"].shrunk_rate < 0.5
     assert host_rules.keep_good(docs).count() == 401
 
