@@ -42,7 +42,8 @@ N_VALUES = 128  # MinHash values that are kept, of 8 bits each, for pruning
 STEP = 16  # values compared between two looks at the posterior
 BUCKET_BLOCK = 4096  # members of a bucket that one task compares at once
 CLUSTER_BLOCK = 600_000  # shingles of a cluster that one task holds, twice where two blocks meet
-CLUSTER_TEXTS = 256  # and texts
+CLUSTER_TEXTS = 128  # texts of a block, in clusters of up to CLUSTER_SPREAD such blocks; beyond, so many larger ones unless memory needs more
+CLUSTER_SPREAD = 32
 HOT_SHARE = 10_000  # a text with more than this part of all rows is hot: there are at most so many
 
 
@@ -322,9 +323,10 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # A cluster's shingles, in blocks of bounded size.
     sized = scratch(clusters.join(reps.select("id", "n", "sig"), "id"), "clustered")
     make = F.pandas_udf(shingled, "binary").asNondeterministic()
-    sets = scratch(texts.join(sized.select("id"), "id").select("id", make("text").alias("shingles")), "shingles")
+    # The few ids are what tasks hold of this join: the texts need no sorting.
+    sets = scratch(texts.join(sized.select("id").hint("shuffle_hash"), "id").select("id", make("text").alias("shingles")), "shingles")
     totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("texts"))
-    blocks = F.ceil(F.greatest(F.col("total") / CLUSTER_BLOCK, F.col("texts") / CLUSTER_TEXTS, F.lit(1.0))).cast("int")
+    blocks = F.ceil(F.greatest(F.col("total") / CLUSTER_BLOCK, F.least(F.col("texts") / CLUSTER_TEXTS, F.lit(float(CLUSTER_SPREAD))), F.lit(1.0))).cast("int")
     placed = sized.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     placed = placed.select("component", "id", "sig", "block", F.explode(block_pairs(blocks, F.col("block"))).alias("pq"))
     met = placed.join(sets, "id").select("component", "pq.p", "pq.q", "id", "block", "shingles", "sig")
