@@ -1,7 +1,7 @@
 """Licence scans: Aho-Corasick over the words of a text, and a shunting-yard reader of licence expressions.
 
-One automaton finds notice phrases and identifier tags as words that stand consecutively.  What follows a tag is read
-as an expression of identifiers with ``and``, ``or``, ``with`` and parentheses, put into postfix order by the
+One automaton finds notice phrases and identifier tags as words that stand consecutively.  What follows a found tag and a
+colon on its line is read as an expression of identifiers with ``and``, ``or``, ``with`` and parentheses, put into postfix order by the
 shunting-yard method and evaluated to its labels and to whether it can be met by permissive licences alone.
 
 Defined results: null and empty texts have no words, no places, null first and last word, empty labels and score 0;
@@ -45,7 +45,9 @@ KNOWN = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "gp
 PERMISSIVE = {"mit", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "cc0", "zlib", "0bsd", "unlicense"}
 RANK = {"or": 1, "and": 2, "with": 3}
 
-TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+#: What follows a tag's words: a colon and the expression, up to the end of the line.
+TAGGED = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)")
+PLACE = re.compile(rb"[^ ]+")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
 
 #: Bytes that stand for white space between words, and the small letters.
@@ -125,9 +127,11 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan(text: str | None, found: ahocorasick.Automaton) -> tuple:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
+    data = (text or "").encode("utf-8", "surrogatepass")
+    spaced = data.translate(_TO_WORDS)
+    words = spaced.split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    base, labels, places, tagged = set(), set(), [], False
+    base, labels, places, tagged = set(), set(), [], []
     at, spaces, n_found = 0, 0, 0
     for end, (length, kind, label) in found.iter(line):
         start = end - length
@@ -143,12 +147,14 @@ def scan(text: str | None, found: ahocorasick.Automaton) -> tuple:
         elif kind == "notice":
             labels.add(label)
         else:
-            tagged = True
+            tagged.append(index)
         n_found += kind != "tag"
     free = None
     if tagged:
-        for m in TAGGED.finditer(text):
-            if verdict := evaluate(m[1]):
+        ends = [m.end() for m in PLACE.finditer(spaced)]
+        for index in tagged:
+            m = TAGGED.match(data, ends[index + TAG.count(" ")])
+            if m and (verdict := evaluate(m[1].decode("utf-8", "replace"))):
                 labels |= verdict[0]
                 free = verdict[1] if free is None else free and verdict[1]
                 n_found += 1

@@ -105,6 +105,43 @@ def forward(model: Model, rows: np.ndarray):
     return float(pooled @ model.out + model.shift), pooled, places, rows
 
 
+@dataclass
+class Gradients:
+    error: np.float32  # of the logit, hence of the shift
+    out: np.ndarray
+    filters: list[np.ndarray]
+    bias: list[np.ndarray]
+    rows: np.ndarray  # of the embedding, and what belongs to them
+    embedding: np.ndarray
+
+
+def loss(model: Model, rows: np.ndarray, y: int, weight: float) -> float:
+    """Weighted log loss of one text."""
+    z = forward(model, rows)[0]
+    return float(weight * (np.logaddexp(0, z) - y * z))
+
+
+def gradients(model: Model, rows: np.ndarray, y: int, weight: float) -> Gradients:
+    """Of ``loss``; it flows through the pooled places only."""
+    logit, pooled, places, padded = forward(model, rows)
+    error = np.float32(weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y))
+    back = np.split(error * model.out * (pooled > 0), np.cumsum([len(b) for b in model.bias])[:-1])
+    in_filters, at_rows, in_rows = [], [], []
+    for kernel, at, g in zip(model.filters, places, back):
+        live = np.flatnonzero(g)
+        rows_at = padded[at[live] + np.arange(len(kernel))[:, None]]  # (width, live, 2)
+        in_filter = np.zeros_like(kernel)
+        in_filter[:, :, live] = model.embedding[rows_at].sum(axis=2).transpose(0, 2, 1) * g[live]
+        in_filters.append(in_filter)
+        at_rows.append(rows_at.ravel())
+        in_rows.append(np.repeat((kernel[:, :, live] * g[live]).transpose(0, 2, 1).reshape(-1, kernel.shape[1]), 2, axis=0))
+    flat, inverse = np.unique(np.concatenate(at_rows), return_inverse=True)
+    summed = np.zeros((len(flat), model.embedding.shape[1]), np.float32)
+    np.add.at(summed, inverse, np.concatenate(in_rows))
+    summed[flat == 0] = 0  # the zero vector stays
+    return Gradients(error, error * pooled, in_filters, back, flat, summed)
+
+
 class Adagrad:
     def __init__(self, values: np.ndarray, rate: float):
         self.values, self.rate, self.seen = values, rate, np.full(values.shape, 1e-3, np.float32)
@@ -149,28 +186,16 @@ def fit(texts: list[str], labels: list[int], how: Training = Training()) -> Mode
     biases = [Adagrad(b, how.rate) for b in model.bias]
     for _ in range(how.epochs):
         for i in rng.permutation(np.flatnonzero(~held)):
-            logit, pooled, places, padded = forward(model, rows[i])
-            error = np.float32(weight[i] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i]))
-            back = error * model.out * (pooled > 0)
-            steps["out"].step(error * pooled + how.decay * model.out)
-            steps["shift"].step(np.array([error], np.float32))
+            grads = gradients(model, rows[i], y[i], weight[i])
+            steps["out"].step(grads.out + how.decay * model.out)
+            steps["shift"].step(np.array([grads.error], np.float32))
             model.shift = float(shift[0])
-            for k, (kernel, at) in enumerate(zip(model.filters, places)):
-                g = back[k * how.filters : (k + 1) * how.filters]
-                live = np.flatnonzero(g)
-                if not len(live):
-                    continue
-                rows_at = padded[at[live] + np.arange(len(kernel))[:, None]]  # (width, live, 2)
-                grad_k = np.zeros_like(kernel)
-                grad_k[:, :, live] = model.embedding[rows_at].sum(axis=2).transpose(0, 2, 1) * g[live]
-                grad_e = np.repeat((kernel[:, :, live] * g[live]).transpose(0, 2, 1).reshape(-1, how.dim), 2, axis=0)
-                kernels[k].step(grad_k + how.decay * kernel)
-                biases[k].step(g)
-                flat, inverse = np.unique(rows_at.ravel(), return_inverse=True)
-                summed = np.zeros((len(flat), how.dim), np.float32)
-                np.add.at(summed, inverse, grad_e)
-                summed[flat == 0] = 0
-                steps["e"].step(summed, flat)
+            for k, kernel in enumerate(model.filters):
+                if grads.bias[k].any():
+                    kernels[k].step(grads.filters[k] + how.decay * kernel)
+                    biases[k].step(grads.bias[k])
+            if len(grads.rows):
+                steps["e"].step(grads.embedding, grads.rows)
     calibrate(model, [(language(words_of(t)), model.logit(r), label) for t, r, label, h in zip(texts, rows, y, held) if h or not held.any()])
     return model
 

@@ -181,6 +181,12 @@ def test_archive_is_plain_gzip_and_filters_go_down(spark):
     assert warc.read_archive(spark, foreign).count() == 102
 
 
+def test_pages_without_an_id_revisit_those_with_one(spark):
+    pages = spark.createDataFrame([(None, "u", "x"), (9, "u", "x"), (4, "u", "x"), (None, "u", "x"), (None, "u", "y"), (None, "v", "y"), (3, "u", "z")], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == Counter({(None, "revisit", 4): 2, (9, "revisit", 4): 1, (4, "response", None): 1, (None, "response", None): 2, (3, "response", None): 1})
+
+
 def test_empty_archive(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages).count() == 0

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -64,6 +65,8 @@ def test_rules_on_odd_rows(odd_docs, no_docs):
     assert all(not r.kept for r in rows if r.base_failed)
     assert host_rules.rules_digest(no_docs).count() == 0
     assert host_rules.keep_good(odd_docs).columns == odd_docs.columns
+    kept = host_rules.keep_good(odd_docs, max_rate=1.0).collect()
+    assert kept and all(r["__host"] == "clash" and r["__counts"] == "clash" and r["a`b"] == "clash" for r in kept)
 
 
 def test_bad_host_goes_and_small_host_is_shrunk(spark):
@@ -88,9 +91,35 @@ def test_base_places_equal_brute_force(text):
     assert license.scan(text, license.automaton(license.PHRASES))[:5] == places_by_hand(text)
 
 
+def labels_by_hand(text):
+    """labels, score, permissive: phrases by a look at every word, tags by a look at every line."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found = [label for p, label in (license.BASE | license.NOTICES).items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    verdicts = []
+    for line in re.split(r"[\r\n]", text or ""):
+        for m in re.finditer(r"(?<![a-z0-9])spdx-license-identifier[ \t]*:[ \t]*", line, re.I):
+            if (v := license.evaluate(line[m.end() :])) is not None:
+                verdicts.append(v)
+    labels = set(found).union(*(v[0] for v in verdicts))
+    return ",".join(sorted(labels)), 1 - 0.5 ** (len(found) + len(verdicts)), all(v[1] for v in verdicts) if verdicts else None
+
+
+NOTICE_PARTS = [*license.NOTICES, *license.BASE, "GNU", "public license", "\n", "x", "BSD 3-Clause License", "All rights, reserved", "é", "CC0 1.0 Universal"]
+TAG_PARTS = ["SPDX-License-Identifier: MIT\n", "// spdx-license-identifier:MIT OR GPL-3.0-only\n", "SPDX-License-Identifier: (MIT\n", "SPDX-License-Identifier MIT\n", "# SPDX-License-Identifier : Apache-2.0 AND MPL-2.0 -->\n"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(NOTICE_PARTS + TAG_PARTS), max_size=12).map(" ".join))
+def test_labels_and_scores_equal_brute_force(text):
+    assert license.scan(text, license.automaton(license.PHRASES))[5:] == labels_by_hand(text)
+
+
 def test_licenses_on_odd_rows(odd_docs, no_docs):
     rows = license.scan_licenses(odd_docs).collect()
     assert len(rows) == 9 and all(0 <= r.score <= 1 and r.base_labels is not None for r in rows)
+    want = Counter((r.doc_id, *places_by_hand(r.text), *labels_by_hand(r.text)) for r in odd_docs.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, r.permissive) for r in rows) == want
     assert license.scan_licenses(no_docs).count() == 0
 
 
@@ -146,6 +175,17 @@ def test_mixing_targets_and_copies(spark):
 
 
 def test_mixing_on_odd_rows(odd_docs, no_docs):
+    docs = odd_docs.select("doc_id", "text", "source").collect()
+    sizes = Counter()
+    for r in docs:
+        sizes[r.source] += len(re.findall(mixing.WORD, r.text or ""))
+    want, by_row = water_level(sizes), Counter()
+    for r in docs:
+        by_row[r.doc_id, len(re.findall(mixing.WORD, r.text or "")), sizes[r.source], round(want[r.source], 6)] += 1
+    got = mixing.mix_digest(odd_docs).collect()
+    assert Counter((r.doc_id, r["size"], r.source_size, r.target) for r in got) == by_row
+    assert all(r.taken % max(1, r["size"]) == 0 and r.taken <= 2 * r["size"] for r in got)
+    assert all(r["size"] == "clash" and r["__size"] == "clash" and r["__mix"] == "clash" for r in mixing.mix(odd_docs).collect())
     assert mixing.mix_digest(odd_docs).count() == 9 and mixing.mix_digest(no_docs).count() == 0
     assert mixing.mix(odd_docs).columns == odd_docs.columns and mixing.mix(no_docs).count() == 0
 
@@ -172,6 +212,56 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(again[r.doc_id] == pytest.approx(r.score) for r in got)
 
 
+def test_gradients_equal_numerical_ones():
+    rng = np.random.default_rng(1)
+    how = toxicity.Training(dim=5, filters=4, widths=(1, 2, 3))
+    model = toxicity.Model(
+        rows={}, embedding=np.concatenate([np.zeros((1, 5)), rng.normal(0, 1, (9, 5))]),
+        filters=[rng.normal(0, 1, (w, 5, 4)) for w in how.widths], bias=[rng.normal(0, 0.1, 4) for _ in how.widths], out=rng.normal(0, 1, 12), shift=0.3,
+    )
+    for n, y in ((7, 1), (12, 0), (2, 1), (0, 0)):
+        rows = rng.integers(0, 10, (n, 2))
+        got = toxicity.gradients(model, rows, y, 1.7)
+
+        def numerical(values, at):
+            old = values[at]
+            out = []
+            for step in (1e-5, -1e-5):
+                values[at] = old + step
+                out.append(toxicity.loss(model, rows, y, 1.7))
+            values[at] = old
+            return (out[0] - out[1]) / 2e-5
+
+        for j in range(12):
+            assert got.out[j] == pytest.approx(numerical(model.out, j), abs=1e-4)
+        for k, kernel in enumerate(model.filters):
+            for at in np.ndindex(kernel.shape):
+                assert got.filters[k][at] == pytest.approx(numerical(kernel, at), abs=1e-4)
+            for j in range(4):
+                assert got.bias[k][j] == pytest.approx(numerical(model.bias[k], j), abs=1e-4)
+        full = np.zeros_like(model.embedding)
+        full[got.rows] = got.embedding
+        for at in np.ndindex(9, 5):
+            assert full[at[0] + 1, at[1]] == pytest.approx(numerical(model.embedding, (at[0] + 1, at[1])), abs=1e-4)
+
+
+def test_toxicity_trains_on_odd_labels(spark):
+    """Ids that are repeated with two texts, labels that contradict each other, null labels and ids, texts that are too long."""
+    rows = toxic_texts(300, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, "another and longer text of the same id " * 20), (1, None), (2, ""), (None, "x"), (3, "y " * 60_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 1 - rows[0][2]), (5, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    seen = {}
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda texts, y, how: seen.update(zip(texts, y)) or fit(texts, y, how)
+        toxicity.train(docs, labels, how=toxicity.Training(n_positive=70, n_negative=90, most_chars=30_000, epochs=1))
+    finally:
+        toxicity.fit = fit
+    assert 0 < sum(seen.values()) <= 70 and 0 < len(seen) - sum(seen.values()) <= 90
+    assert all(sum(len(t) for t, y in seen.items() if y == k) <= 30_000 for k in (0, 1))
+    assert all(t in {x for _, x, _ in rows} for t in seen)
+
+
 def test_toxicity_on_odd_rows(spark, odd_docs, no_docs):
     rows = toxic_texts(300, 2)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
