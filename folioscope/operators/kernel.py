@@ -44,13 +44,27 @@ def section_fits(section: Column, wanted: Column, lenient: bool = False) -> Colu
     return (b == "") | (held if lenient else (a != "") & held)
 
 
+def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """The column, or nulls where there is none."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
 def find_rows(cells: DataFrame, refs: DataFrame) -> DataFrame:
-    """For each ref (ref_id, want_section, want_label, want_period) and table: the cells of the best row, exact labels first, then the first row."""
+    """For each ref (ref_id, want_section, want_label, want_period, and want_doc if it is scoped) and table: the cells of the
+    best row, exact labels first, then the first row."""
+    asked = refs.select("ref_id", "want_section", "want_label", "want_period", optional(refs, "want_doc").alias("want_doc"))
     fit = label_fit(F.col("label"), F.col("want_label"))
-    hits = cells.join(F.broadcast(refs), F.col("period") == F.col("want_period")).withColumn("fit", fit)  # refs: a batch of specs
-    hits = hits.where((F.col("fit") > 0) & section_fits(F.col("section"), F.col("want_section")))
+    hits = cells.join(asked, F.col("period") == F.col("want_period")).withColumn("fit", fit)
+    in_scope = F.col("want_doc").isNull() | (F.col("doc") == F.col("want_doc"))
+    hits = hits.where((F.col("fit") > 0) & in_scope & section_fits(F.col("section"), F.col("want_section")))
     best = Window.partitionBy("ref_id", "doc", "table_id").orderBy(F.desc("fit"), "row_ix")
-    return hits.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n").withColumn("value", parse_cell(F.col("raw")))
+    return hits.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place").withColumn("value", parse_cell(F.col("raw")))
+
+
+def value_cells(cells: DataFrame) -> DataFrame:
+    """The cells of a table's period axis (``is_period``), or all cells of a table that has none."""
+    any_period = F.bool_or(F.coalesce("is_period", F.lit(False))).over(Window.partitionBy("doc", "table_id"))
+    return cells.withColumn("axis", any_period).where(F.coalesce("is_period", F.lit(False)) | ~F.col("axis")).drop("axis")
 
 
 def with_value_kind(cells: DataFrame) -> DataFrame:
@@ -81,23 +95,38 @@ def looks_like_total(cells: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return valued.withColumn("is_total", total)
 
 
-def resolve(candidates: DataFrame) -> DataFrame:
-    """One row per ref: value and cells, or the error.
+def total_consistency(cells: DataFrame) -> DataFrame:
+    """``ok`` and ``decided`` of each cell that is used as a total: a component is not ok, and what nothing tells is ok but undecided."""
+    told = looks_like_total(cells)
+    return told.withColumn("ok", F.coalesce("is_total", F.lit(True))).withColumn("decided", F.col("is_total").isNotNull())
+
+
+def resolve(candidates: DataFrame, refs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """One row per ref of ``refs``: value and cells, or the error.
 
     Prose rows go, then components where an aggregate is asked for; per document exact labels beat contained ones and
-    currency beats percent.  Different values (4 decimals) are ambiguous, the same value restated is not.
+    currency beats percent.  Different values (4 decimals) are ambiguous, the same value restated is not.  A ref without
+    candidates was not found, or asks for a document that ``cells`` do not have.
     """
     doc = Window.partitionBy("ref_id", "doc")
     kept = candidates.where(F.col("value").isNotNull() & is_lineitem(F.col("label")))
     kept = kept.where(~(is_aggregate_request(F.col("want_label")) & F.coalesce(~F.col("is_total"), F.lit(False))))
-    kept = kept.withColumn("__best", F.max("fit").over(doc)).where(F.col("fit") == F.col("__best")).drop("__best")
+    kept = kept.withColumn("best_fit", F.max("fit").over(doc)).where(F.col("fit") == F.col("best_fit"))
     money = (F.col("value_kind") == "currency").cast("int")
-    kept = kept.withColumn("__money", F.max(money).over(doc)).where(money == F.col("__money")).drop("__money")
+    kept = kept.withColumn("money", F.max(money).over(doc)).where(money == F.col("money"))
     per = kept.groupBy("ref_id").agg(
         F.countDistinct(F.round("value", 4)).alias("n_values"), F.min("value").alias("value"), F.count("*").alias("n_cells"),
         F.array_sort(F.collect_set(F.struct("doc", "table_id", "section", "label", "period", "raw"))).alias("cells"),
     )
-    return per.select("ref_id", F.when(F.col("n_values") == 1, F.col("value")).alias("value"), "n_cells", "cells", F.when(F.col("n_values") > 1, "ambiguous").alias("error"))
+    asked = refs.select("ref_id", optional(refs, "want_doc").alias("want_doc"))
+    if cells is None:
+        asked = asked.withColumn("known", F.lit(True))
+    else:
+        docs = cells.select(F.col("doc").alias("known_doc")).distinct()
+        asked = asked.join(docs, F.col("want_doc") == F.col("known_doc"), "left").withColumn("known", F.col("want_doc").isNull() | F.col("known_doc").isNotNull())
+    error = F.when(~F.col("known"), "document not in scope").when(F.col("n_values").isNull(), "cell not found").when(F.col("n_values") > 1, "ambiguous")
+    found = asked.join(per, "ref_id", "left").withColumn("error", error)
+    return found.select("ref_id", F.when(F.col("error").isNull(), F.col("value")).alias("value"), F.coalesce("n_cells", F.lit(0)).alias("n_cells"), "cells", "error")
 
 
 def period_year(period: Column) -> Column:
@@ -121,13 +150,80 @@ def growth_pct(a: Column, b: Column) -> list[Column]:
     return result("growth_pct", F.try_divide(b - a, F.abs(a)) * 100, "%", F.when(a == 0, "base is zero"))
 
 
-def ratio(num: Column, den: Column, num_section: Column, den_section: Column, percent: bool = False) -> list[Column]:
-    """Error if the denominator is 0 or the two come from different sections."""
-    apart = (F.coalesce(num_section, F.lit("")) != "") & (F.coalesce(den_section, F.lit("")) != "") & (num_section != den_section)
-    error = F.when(den == 0, "denominator is zero").when(apart, "different sections")
-    return result("margin_pct" if percent else "ratio", F.try_divide(num, den) * (100 if percent else 1), "%" if percent else "x", error)
+def difference(a: Column, b: Column, error: Column | None = None) -> list[Column]:
+    return result("difference", a - b, "", F.lit(None).cast("string") if error is None else error)
+
+
+def combined(operands: DataFrame, op: str) -> DataFrame:
+    """Per spec (spec_id, ref_id, value, error) the sum or average of its referenced cells; any cell without a value is an error,
+    the first by ref_id."""
+    missing = F.when(F.col("value").isNull(), F.coalesce("error", F.lit("cell not found")))
+    value = F.sum("value") if op == "sum" else F.avg("value")
+    per = operands.groupBy("spec_id").agg(value.alias("total"), F.count("*").alias("n_operands"), F.min(F.when(missing.isNotNull(), F.struct("ref_id", missing.alias("why")))).alias("first"))
+    return per.select("spec_id", "n_operands", *result(op, F.col("total"), "", F.col("first.why")))
+
+
+def ratio(num: Column, den: Column, num_section: Column, den_section: Column, percent: bool = False, num_cell: Column | None = None, den_cell: Column | None = None) -> list[Column]:
+    """Error if the denominator is 0, both are one cell, or the two come from different sections."""
+    section = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    apart = (section(num_section) != "") & (section(den_section) != "") & (section(num_section) != section(den_section))
+    error = F.when(den == 0, "denominator is zero")
+    if num_cell is not None and den_cell is not None:
+        error = error.when(num_cell == den_cell, "same cell")
+    return result("margin_pct" if percent else "ratio", F.try_divide(num, den) * (100 if percent else 1), "%" if percent else "x", error.when(apart, "different sections"))
+
+
+def provenance(op: str, cells: Column, value: Column, threshold: float | None = None) -> Column:
+    """What an answer may state: the cells read (an array of structs with label, period and raw), the threshold, the result and
+    its rounding to one decimal where that differs."""
+    entry = lambda kind, label, v: F.struct(F.lit(kind).alias("kind"), label.alias("label"), v.cast("double").alias("value"))
+    read = F.transform(F.coalesce(cells, F.array()), lambda c: entry("cell", F.concat_ws(" ", c["label"], c["period"]), parse_cell(c["raw"])))
+    params = [] if threshold is None else [entry("param", F.lit("threshold"), F.lit(threshold))]
+    rounded = F.when(F.round(value, 1) != value, entry("param", F.lit("result_rounded"), F.round(value, 1)))
+    extra = F.array(*params, F.when(value.isNotNull(), entry("param", F.lit("result"), value)), rounded)
+    return F.concat(read, F.filter(extra, lambda e: e.isNotNull()))
+
+
+def entity_series(resolved: DataFrame) -> DataFrame:
+    """(series_id, key, value, series_ix, error) over line items of one period (series_id, ix, section, label, value): the key is
+    the section, or the label without one; items without a value drop out, and a series with none left is an error."""
+    key = F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.nullif(F.trim("label"), F.lit("")), F.lit("?"))
+    kept = resolved.where("value is not null").select("series_id", key.alias("key"), "value", F.row_number().over(Window.partitionBy("series_id").orderBy("ix")).alias("series_ix"))
+    joined = resolved.select("series_id").distinct().join(kept, "series_id", "left")
+    return joined.withColumn("error", F.when(F.col("series_ix").isNull(), "no numeric cells"))
 
 
+def period_series(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """(series_id, key, value, error): each asked line item (series_id, want_section, want_label) over the periods of the tables
+    that hold it.
+
+    Tables with real years come first, the wanted section before any section; line items beat prose; within a document exact
+    labels beat contained ones and currency beats percent.  One document gives its first table, several are joined as by
+    ``union_series``.
+    """
+    labels = cells.select("label").distinct().join(asked, label_fit(F.col("label"), F.col("want_label")) > 0)  # distinct labels against a batch
+    known = value_cells(cells) if "is_period" in cells.columns else cells
+    known = with_value_kind(known).withColumn("year", period_year(F.col("period")))
+    known = known.withColumn("dated", F.count("year").over(Window.partitionBy("doc", "table_id")) > 0)
+    hits = known.join(labels, "label").withColumn("fit", label_fit(F.col("label"), F.col("want_label")))
+    sectioned = section_fits(F.col("section"), F.col("want_section"))
+    hits = hits.withColumn("choice", F.when(F.col("dated") & sectioned, 1).when(F.col("dated"), 2).when(sectioned, 3).otherwise(4))
+    in_series = Window.partitionBy("series_id")
+    hits = hits.withColumn("best_choice", F.min("choice").over(in_series)).where(F.col("choice") == F.col("best_choice"))
+    row = Window.partitionBy("series_id", "doc", "table_id").orderBy(F.desc("fit"), "row_ix")
+    hits = hits.withColumn("place", F.dense_rank().over(row)).where("place = 1").withColumn("item", is_lineitem(F.col("label")))
+    hits = hits.withColumn("items", F.bool_or("item").over(in_series)).where("item or not items")
+    in_doc = Window.partitionBy("series_id", "doc")
+    hits = hits.withColumn("best_fit", F.max("fit").over(in_doc)).where(F.col("fit") == F.col("best_fit"))
+    money = (F.col("value_kind") == "currency").cast("int")
+    hits = hits.withColumn("money", F.max(money).over(in_doc)).where(money == F.col("money")).withColumn("value", parse_cell(F.col("raw")))
+    hits = hits.withColumn("docs", F.size(F.collect_set("doc").over(in_series)))
+    first = F.dense_rank().over(in_series.orderBy("doc", "table_id"))
+    single = hits.where("docs < 2").withColumn("host", first).where("host = 1 and value is not null").select("series_id", F.col("period").alias("key"), "value", F.lit(None).cast("string").alias("error"))
+    several = union_series(hits.where("docs > 1 and year is not null and value is not null").select("series_id", "doc", F.col("year").cast("string").alias("key"), "value"))
+    found = single.unionByName(several)
+    return asked.select("series_id").distinct().join(found, "series_id", "left").withColumn("error", F.when(F.col("key").isNull(), "row not found").otherwise(F.col("error")))
+
 
 def ordered_series(points: DataFrame) -> DataFrame:
     """(series_id, key, value, series_ix): by year where every key of the series has one, else in the order given (``ix``)."""
@@ -149,9 +245,9 @@ def cagr(series: DataFrame) -> DataFrame:
 
 
 def extreme(series: DataFrame, largest: bool) -> DataFrame:
-    """The largest or smallest point of each series; the first of equals."""
+    """The largest or smallest point of each series; the first of equals, never one without a value."""
     order = Window.partitionBy("series_id").orderBy(F.desc("value") if largest else F.asc("value"), "series_ix")
-    best = series.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    best = series.where("value is not null").withColumn("place", F.row_number().over(order)).where("place = 1")
     return best.select("series_id", F.col("key").alias("binding"), "value")
 
 
@@ -164,8 +260,9 @@ def crossing(series: DataFrame, threshold: float, first_exceeds: bool) -> DataFr
 
 
 def ranked(series: DataFrame, top: int, descending: bool = True) -> DataFrame:
+    """The ``top`` points of each series that have a value."""
     order = Window.partitionBy("series_id").orderBy(F.desc("value") if descending else F.asc("value"), "series_ix")
-    return series.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return series.where("value is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 COMPARE = {
@@ -199,26 +296,41 @@ def label_score(label: Column, wanted: Column) -> Column:
     return F.when(fit == 2, 1.0).when(fit == 1, 0.8).otherwise(0.6 * F.coalesce(overlap, F.lit(0.0)))
 
 
-def ground(cells: DataFrame, metrics: DataFrame, floor: float = 0.55, near: float = 0.08) -> DataFrame:
-    """Per metric (metric_id, want_label, want_period): the cell, or why not.
-
-    Scores: the label's, +0.15 for a proven total where one is wanted, times 0.85 where it is unproven or a component.
-    Another value within ``near`` of the best abstains, except that a wanted total takes the largest of the tied.
-    """
-    known = looks_like_total(with_value_kind(cells)).join(F.broadcast(metrics), F.col("period") == F.col("want_period"))  # metrics: a batch of questions
+def scored_cells(cells: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Cells of each metric's period (metric_id, want_label, want_period) with their score: the label's, +0.15 for a proven total
+    where one is wanted, times 0.85 where it is unproven or a component."""
+    known = looks_like_total(with_value_kind(cells)).join(metrics, F.col("period") == F.col("want_period"))
     wants_total = is_aggregate_request(F.col("want_label"))
     base = label_score(F.col("label"), F.col("want_label"))
     weighed = F.when(wants_total & F.coalesce(F.col("is_total"), F.lit(False)), base + 0.15).when(wants_total, base * 0.85).otherwise(base)
-    scored = known.where(F.col("value").isNotNull()).withColumn("score", weighed).withColumn("wants_total", wants_total)
-    best = Window.partitionBy("metric_id")
-    tied = scored.withColumn("__top", F.max("score").over(best)).where(F.col("score") >= F.col("__top") - near)
-    per = tied.groupBy("metric_id").agg(
-        F.max("__top").alias("score"), F.countDistinct(F.round("value", 4)).alias("n_values"), F.bool_or("wants_total").alias("wants_total"),
+    return known.where(F.col("value").isNotNull()).withColumn("score", weighed).withColumn("wants_total", wants_total)
+
+
+def ground(cells: DataFrame, metrics: DataFrame, floor: float = 0.55, near: float = 0.08) -> DataFrame:
+    """One row per metric (metric_id, want_label, want_period): the cell, or why not.
+
+    Another value within ``near`` of the best abstains, except that a wanted total takes the largest of the tied; a metric
+    whose period has no cell abstains without a score.
+    """
+    scored = scored_cells(cells, metrics)
+    top = scored.groupBy("metric_id").agg(F.max("score").alias("top"))
+    per = scored.join(top, "metric_id").where(F.col("score") >= F.col("top") - near).groupBy("metric_id").agg(
+        F.max("top").alias("score"), F.countDistinct(F.round("value", 4)).alias("n_values"), F.bool_or("wants_total").alias("wants_total"),
         F.max_by("value", F.abs("value")).alias("largest"), F.min("value").alias("value"),
     )
     found = F.when(F.col("n_values") == 1, F.col("value")).when(F.col("wants_total"), F.col("largest"))
-    status = F.when(F.col("score") < floor, "abstain").when(found.isNull(), "ambiguous").otherwise("ok")
-    return per.select("metric_id", status.alias("status"), F.when(status == "ok", found).alias("value"), F.round("score", 6).alias("score"))
+    status = F.when(F.col("score").isNull() | (F.col("score") < floor), "abstain").when(found.isNull(), "ambiguous").otherwise("ok")
+    whole = metrics.select("metric_id").join(per, "metric_id", "left")
+    return whole.select("metric_id", status.alias("status"), F.when(status == "ok", found).alias("value"), F.round("score", 6).alias("score"))
+
+
+def lookup(cells: DataFrame, metrics: DataFrame, most: int = 5, **options) -> DataFrame:
+    """``ground`` with the ``most`` best cells of each metric as candidates, best first: an answer or an abstention is always a row."""
+    best = Window.partitionBy("metric_id").orderBy(F.desc("score"), "doc", "table_id", "row_ix")
+    ranked_cells = scored_cells(cells, metrics).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    told = F.struct("place", F.round("score", 6).alias("score"), "doc", "table_id", "label", "period", "raw")
+    candidates = ranked_cells.groupBy("metric_id").agg(F.array_sort(F.collect_list(told)).alias("candidates"))  # ``most`` each
+    return ground(cells, metrics, **options).join(candidates, "metric_id", "left")
 
 
 def display(value: Column, unit: Column) -> Column:
@@ -233,7 +345,7 @@ def close_labels(labels: DataFrame, wanted: DataFrame, most: int = 3, cutoff: fl
     """
     a, b = normal_label(F.col("label")), normal_label(F.col("want"))
     likeness = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    near = labels.select("label").distinct().join(F.broadcast(wanted)).withColumn("likeness", likeness).where(F.col("likeness") >= cutoff)  # wanted: a batch
+    near = labels.select("label").distinct().join(wanted, F.lit(True)).withColumn("likeness", likeness).where(F.col("likeness") >= cutoff)  # distinct labels against the batch of those not found
     best = Window.partitionBy("want").orderBy(F.desc("likeness"), "label")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
