@@ -117,3 +117,12 @@ EVENT_CATEGORY = {
     "review.awaiting": "review", "review.approved": "review", "review.changes_requested": "review", "review.released": "review",
     "review.escalation": "review", "matter.staffed": "matter", "answer.overridden": "governance",
 }
+
+#: Words that state a result, and phrases that state its absence, near the name of something asked for.
+RESULT_WORDS = (
+    "is", "was", "were", "are", "has", "have", "had", "totaled", "reached", "grew", "declined", "reported", "recorded", "found", "agreed", "states",
+    "provides", "requires", "governed", "include", "includes", "cover", "covers", "specify", "specifies",
+)
+ABSENCE = (
+    "could not", "couldn't", "unable to", "not available", "not found", "no data", "insufficient evidence", "cannot verify", "not in the vault", "not ingested",
+)

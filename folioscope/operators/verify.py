@@ -59,11 +59,16 @@ def traced(found: DataFrame, cells: DataFrame, key: str, tolerance: float = 0.01
     return found.join(hits, [key, "token"], "left").withColumn("traces", F.coalesce("traces", F.lit(False)))
 
 
-def figure_check(found: DataFrame, cells: DataFrame, key: str) -> DataFrame:
-    """Per text: figures, untraced ones, groundedness, and whether that decides anything (cells exist) and is ok."""
+def figure_check(texts: DataFrame, cells: DataFrame, key: str, tolerance: float = 0.01) -> DataFrame:
+    """One row per text (key, text): figures checked and untraced, groundedness (1 without figures), whether cells exist to decide
+    by, and ok: figures that nothing can decide on fail, texts without figures pass."""
     any_cell = cells.agg((F.count("value") > 0).alias("decided"))
-    per = traced(found, cells, key).groupBy(key).agg(F.count("*").alias("checked"), F.count_if(~F.col("traces")).alias("untraced"))
-    return per.join(F.broadcast(any_cell)).withColumn("groundedness", F.round(1 - F.col("untraced") / F.col("checked"), 6)).withColumn("ok", ~F.col("decided") | (F.col("untraced") == 0))
+    found = figures(texts, key)
+    per = traced(found, cells, key, tolerance).groupBy(key).agg(F.count("*").alias("checked"), F.count_if(~F.col("traces")).alias("untraced"))
+    whole = texts.select(key).join(per, key, "left").join(F.broadcast(any_cell), F.lit(True)).na.fill(0, ["checked", "untraced"])  # any_cell: one row
+    ok = F.when(F.col("decided"), F.col("untraced") == 0).otherwise(F.col("checked") == 0)
+    share = F.coalesce(F.try_divide(F.col("untraced"), F.col("checked")), F.lit(0.0))
+    return whole.withColumn("groundedness", F.round(1 - share, 6)).withColumn("ok", ok)
 
 
 def is_factual(sentence: Column) -> Column:
@@ -183,11 +188,69 @@ def entities_asked(question: Column) -> Column:
     return F.filter(F.transform(F.split(named, r"(?i),\s*(?:and\s+)?|\s+and\s+|\s+versus\s+|\s+vs\.?\s+"), F.trim), lambda e: e != "")
 
 
+#: A digit, or one of the words as a whole; not ``\\b``, which engines take differently beside letters beyond ASCII.
+STATED = r"\d|(^|[^\p{L}\p{N}_])(" + "|".join((*P.RESULT_WORDS, *P.ABSENCE)) + r")([^\p{L}\p{N}_]|$)"
+
+
 def addressed(answer: Column, entity: Column, reach: int = 200) -> Column:
-    """Whether a number, a result verb or an abstention stands within ``reach`` characters of the first mention."""
-    at = F.locate("\u0001", F.replace(F.lower(answer), F.lower(entity), F.lit("\u0001")))
-    around = F.substr(answer, F.greatest(at - reach, F.lit(1)), F.length(entity) + 2 * reach)
-    return (at > 0) & around.rlike(r"(?i)\d|\b(is|are|was|were|reported|exceeds?|rose|fell|not disclosed|no evidence|could not)\b")
+    """Whether a number, a result word or a statement of absence stands within ``reach`` characters of some mention of the
+    entity; true for an empty entity."""
+    low, name = F.lower(F.coalesce(answer, F.lit(""))), F.lower(F.coalesce(entity, F.lit("")))
+    parts = F.split(F.replace(low, name, F.lit("\u0001")), "\u0001")
+    begin = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), "")) + (i - 1) * F.length(name) + 1)
+
+    def near(at: Column) -> Column:
+        start = F.greatest(at - reach, F.lit(1))
+        return F.substr(low, start, at + F.length(name) + reach - start).rlike(STATED)
+
+    return F.when(name == "", True).when(F.size(parts) < 2, False).otherwise(F.exists(begin, near))
+
+
+def completeness(answers: DataFrame, key: str) -> DataFrame:
+    """Per answer (key, question, answer): the names that its question lists and the answer leaves out, and whether it passes;
+    questions about fewer than two names always do."""
+    names = entities_asked(F.col("question"))
+    dropped = F.when(F.size(names) > 1, F.filter(names, lambda e: ~addressed(F.col("answer"), e))).otherwise(F.array().cast("array<string>"))
+    return answers.select(key, dropped.alias("dropped")).withColumn("complete", F.size("dropped") == 0)
+
+
+def answer_gates(answers: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """The whole-answer gates on (key, question, answer): figures, citations and completeness, and the names of those that fail.
+
+    A heading that opens the answer is no claim; of the sentences only factual ones with a figure need a citation.
+    """
+    body = F.regexp_replace(F.coalesce("answer", F.lit("")), r"^\s*#{1,6}[^\n]*\n", "")
+    texts = answers.select(key, "question", body.alias("answer"))
+    bare = texts.select(key, without_citations(F.col("answer")).alias("text"))
+    sents = sentences(texts.select(key, F.col("answer").alias("text")), key)
+    s = F.col("sentence")
+    bare_claim = is_factual(s) & ~is_cited(s) & has_substantive_figure(without_citations(s))
+    cited = sents.groupBy(key).agg(F.count_if(bare_claim).alias("uncited"))
+    joined = figure_check(bare, cells, key).select(key, "ok").join(cited, key, "left").join(completeness(texts, key), key).na.fill(0, ["uncited"])
+    failed = F.array(F.when(~F.col("ok"), "figures"), F.when(F.col("uncited") > 0, "citations"), F.when(~F.col("complete"), "completeness"))
+    return joined.withColumn("failures", F.filter(failed, lambda f: f.isNotNull())).select(key, "uncited", "dropped", "failures", (F.size("failures") == 0).alias("passed"))
+
+
+def supported_share(sents: DataFrame, key: str, supported: Column, least: int = 25) -> DataFrame:
+    """Per text of (key, sentence): the share of its sentences of at least ``least`` characters that is supported; 1 without such."""
+    long = F.length("sentence") >= least
+    per = sents.groupBy(key).agg(F.count_if(long).alias("long"), F.count_if(long & supported).alias("supported"))
+    return per.withColumn("groundedness", F.round(F.coalesce(F.try_divide(F.col("supported"), F.col("long")), F.lit(1.0)), 6))
+
+
+def partial_answer(entries: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """Per run of (key, ix, kind, label, period, doc, page, shown) the lines of what it has verified: cells and results with a
+    label, each once in the order of ``ix``, ``most`` of them."""
+    some = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    kept = entries.where(F.col("kind").isin("cell", "result") & (some("label") != "") & F.col("shown").isNotNull())
+    first = kept.groupBy(key, some("label").alias("label"), some("period").alias("period"), some("doc").alias("doc"), "shown").agg(F.min(F.struct("ix", "page")).alias("at"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at.ix"))).where(F.col("place") <= most)
+    page = F.coalesce(F.concat(F.lit(" p."), F.col("at.page").cast("int").cast("string")), F.lit(""))
+    cite = F.when(F.col("doc") != "", F.concat(F.lit(" ["), "doc", page, F.lit("]"))).otherwise("")
+    said = F.when(F.col("period") != "", F.concat(F.lit(" ("), "period", F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("- **"), "label", F.lit("**"), said, F.lit(": "), "shown", cite)
+    lines = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))  # ``most`` each
+    return placed.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("n_lines"))
 
 
 def snippet(text: Column, probe: Column, reach: int = 140) -> Column:

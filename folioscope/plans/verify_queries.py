@@ -68,14 +68,11 @@ _TOKS = "list_distinct(list_filter(list_transform(regexp_extract_all({0}, {1}),
 _CONTENT = _TOKS.format("text", q(P.TOKEN), STOP)
 
 
-@query(f"""with b as (select item_id, {_CONTENT} as toks from benchmark), d as (select doc_id, lower(text) as corpus from documents where doc_id < 200)
+@query(f"""with b as (select item_id, {_CONTENT} as toks from benchmark), d as (select doc_id, lower(text) as corpus from documents)
 select item_id, doc_id, round(len(list_filter(toks, lambda t: contains(corpus, t)))::double / len(toks), 6) as share from b, d where len(toks) >= 3 and len(list_filter(toks, lambda t: contains(corpus, t)))::double / len(toks) >= 0.6""")
 def claim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as claims against the first documents as evidence."""
-    claims = F.broadcast(read(spark, sf_dir, "benchmark").select("item_id", V.content_tokens(F.col("text")).alias("toks")))
-    pairs = read(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.lower("text").alias("corpus")).join(claims)  # the evidence of one answer
-    share = F.size(F.filter("toks", lambda t: F.col("corpus").contains(t))) / F.size("toks")
-    return pairs.where(F.size("toks") >= 3).select("item_id", "doc_id", F.round(share, 6).alias("share")).where("share >= 0.6")
+    """Benchmark passages as claims against all documents as evidence."""
+    return claim_grounding_all(spark, sf_dir)
 
 
 @query()
@@ -211,3 +208,75 @@ def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select doc_id, case when length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 300 then trim(regexp_replace(text, '\\s+', ' ', 'g')) else regexp_replace(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 300), '\\s+\\S*$', '') || '…' end as snippet from documents""")
 def clean_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", V.clean_snippet(F.col("text")).alias("snippet"))
+
+
+NAMES = ["the", "license", "idiot", "zzz", ""]
+_PARTS = "string_split(lower(text), entity)"
+_AT = f"length(array_to_string({_PARTS}[1:i], '')) + (i - 1) * length(entity) + 1"
+
+
+@query(f"""with e as (select unnest({[n for n in NAMES]}) as entity),
+a as (select doc_id, entity, case when entity = '' then true else coalesce(list_bool_or(list_transform(range(1, len({_PARTS})), lambda i: regexp_matches(substr(lower(text), greatest({_AT} - 200, 1), {_AT} + length(entity) + 200 - greatest({_AT} - 200, 1)), {q(V.STATED)}))), false) end as addressed from documents, e)
+select * from a""")
+def entity_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an answer, and whether it addresses each of a few names at any of its mentions."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, NAMES))).alias("entity"))
+    return docs.select("doc_id", "entity", V.addressed(F.col("text"), F.col("entity")).alias("addressed"))
+
+
+FIGURES = f"""t as (select distinct doc_id, trim(unnest(list_distinct(regexp_extract_all(text, {q(P.FIGURE)})))) as token from documents),
+f as (select *, try_cast(regexp_replace(token, '[$,\\s]', '', 'g') as double) as x from t),
+g as (select * from f where x is not null and (regexp_matches(token, '[,.$]') or x >= 10000)),
+v as (select distinct abs(p_retailprice) * s as v from part, (values (1.0::double), (0.001), (1000.0), (0.000001), (1000000.0)) as k(s)),
+tr as (select doc_id, token, bool_or(coalesce(abs(x - v) <= 0.01 * greatest(v, 1.0), false)) as traces from g left join v on v > 0 group by doc_id, token),
+pf as (select doc_id, count(*) as checked, count(*) filter (not traces) as untraced from tr group by doc_id),
+fc as (select doc_id, coalesce(checked, 0) as checked, coalesce(untraced, 0) as untraced from documents left join pf using (doc_id))"""
+
+
+@query(f"""with {FIGURES} select doc_id, checked, untraced, true as decided, round(1 - case when checked > 0 then untraced::double / checked else 0 end, 6) as groundedness, untraced = 0 as ok from fc""")
+def figure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, those without figures too, against the prices of parts."""
+    cells = read(spark, sf_dir, "part").select(F.col("p_retailprice").alias("value"))
+    return V.figure_check(read(spark, sf_dir, "documents").select("doc_id", "text"), cells, "doc_id")
+
+
+@query(f"""with {FIGURES} select doc_id, checked, checked as untraced, false as decided, case when checked = 0 then 1.0 else 0.0 end::double as groundedness, checked = 0 as ok from fc""")
+def figure_gate_undecided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without any cell, stated figures fail and texts without figures pass."""
+    none = read(spark, sf_dir, "part").where(F.lit(False)).select(F.col("p_retailprice").alias("value"))
+    return V.figure_check(read(spark, sf_dir, "documents").select("doc_id", "text"), none, "doc_id")
+
+
+@query(f"""with {SENTENCES} select doc_id, count(*) filter (length(sentence) >= 25) as long, count(*) filter (length(sentence) >= 25 and regexp_matches(sentence, '[0-9]')) as supported,
+ round(case when count(*) filter (length(sentence) >= 25) = 0 then 1.0 else count(*) filter (length(sentence) >= 25 and regexp_matches(sentence, '[0-9]'))::double / count(*) filter (length(sentence) >= 25) end, 6) as groundedness from sents group by doc_id""")
+def supported_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with a digit stand for those that a verifier supports."""
+    return V.supported_share(V.sentences(read(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.col("sentence").rlike("[0-9]"))
+
+
+@query("""with e as (select o_custkey as run_id, o_orderpriority as label, year(o_orderdate)::varchar as period, o_orderstatus as doc, round(o_totalprice)::bigint::varchar as shown, min(o_orderkey) as ix from orders group by all),
+p as (select *, row_number() over (partition by run_id order by ix) as place from e)
+select run_id, string_agg('- **' || label || '** (' || period || '): ' || shown || ' [' || doc || ' p.' || (ix % 90) || ']', chr(10) order by place) as lines, count(*) as n_lines from p where place <= 20 group by run_id""")
+def partial_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the verified cells of a run per customer."""
+    o = read(spark, sf_dir, "orders")
+    entries = o.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("ix"), F.lit("cell").alias("kind"), F.col("o_orderpriority").alias("label"), F.year("o_orderdate").alias("period"), F.col("o_orderstatus").alias("doc"), (F.col("o_orderkey") % 90).alias("page"), F.round("o_totalprice").cast("long").cast("string").alias("shown"))
+    return V.partial_answer(entries, "run_id")
+
+
+_NAMED = ["license", "password"]
+_ADDR = "coalesce(list_bool_or(list_transform(range(1, len(string_split(low, '{0}'))), lambda i: regexp_matches(substr(low, greatest(length(array_to_string(string_split(low, '{0}')[1:i], '')) + (i - 1) * length('{0}') + 1 - 200, 1), length(array_to_string(string_split(low, '{0}')[1:i], '')) + (i - 1) * length('{0}') + 1 + length('{0}') + 200 - greatest(length(array_to_string(string_split(low, '{0}')[1:i], '')) + (i - 1) * length('{0}') + 1 - 200, 1)), {1}))), false)"
+_BODY = "regexp_replace(text, '^\\s*#{1,6}[^\\n]*\\n', '')"
+
+
+@query(f"""with bodies as (select doc_id, {_BODY} as text from documents), {SENTENCES.replace('from documents', 'from bodies')},
+{FIGURES.replace('text, ', "regexp_replace(text, " + q(P.CITATION) + ", ' ', 'g'), ").replace('from documents)', 'from bodies)').replace('from documents left', 'from bodies left')},
+su as (select doc_id, count(*) filter ({FACTUAL} and not regexp_matches(sentence, {q(P.CITATION)}) and len(list_filter(regexp_extract_all(regexp_replace(sentence, {q(P.CITATION)}, ' ', 'g'), {q(P.FIGURE)}), lambda t: regexp_matches(trim(t), '[,.$]') or coalesce(try_cast(regexp_replace(t, '\\s', '', 'g') as double), 0.0) >= 10000)) > 0) as uncited from sents group by doc_id),
+b as (select doc_id, lower(text) as low from bodies),
+cm as (select doc_id, list_filter(['License', 'password'], lambda e: not case when e = 'License' then {_ADDR.format('license', q(V.STATED))} else {_ADDR.format('password', q(V.STATED))} end) as dropped from b)
+select doc_id, coalesce(uncited, 0) as uncited, dropped, list_filter([case when untraced > 0 then 'figures' end, case when uncited > 0 then 'citations' end, case when len(dropped) > 0 then 'completeness' end], lambda f: f is not null) as failures,
+ untraced = 0 and coalesce(uncited, 0) = 0 and len(dropped) = 0 as passed from fc left join su using (doc_id) join cm using (doc_id)""")
+def whole_answer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the answer to a question about two things."""
+    answers = read(spark, sf_dir, "documents").select("doc_id", F.lit("Compare License and password").alias("question"), F.col("text").alias("answer"))
+    return V.answer_gates(answers, read(spark, sf_dir, "part").select(F.col("p_retailprice").alias("value")), "doc_id")

@@ -82,18 +82,40 @@ def read_chunks(spark: SparkSession, path: str, doc_id=None) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by namespace, one row per (doc_id, chunk_index), so that a tenant's scan reads its own files only."""
-    one = Window.partitionBy("namespace", "doc_id", "chunk_index").orderBy("text")
-    chunks.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n").write.mode("overwrite").partitionBy("namespace").parquet(path)
+    """Upserts chunks by namespace, one row per (doc_id, chunk_index): what the namespace holds under other keys stays, and other
+    namespaces are not touched.  A tenant's scan reads its own files only.
+
+    The merged namespaces are written to a folder beside ``path`` first, as they can't be read and overwritten at once.
+    """
+    spark, key = chunks.sparkSession, ["namespace", "doc_id", "chunk_index"]
+    one = Window.partitionBy(*key).orderBy("text")
+    fresh = chunks.withColumn("place", F.row_number().over(one)).where("place = 1").drop("place")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = f"{path.rstrip('/')}__staged"
+    if files.exists(where):
+        old = spark.read.parquet(path)
+        old = old.join(fresh.select("namespace").distinct(), "namespace", "left_semi").join(fresh.select(*key), key, "left_anti")
+        fresh = fresh.unionByName(old.select(*(F.col(c).cast(fresh.schema[c].dataType) for c in fresh.columns if c in old.columns)), allowMissingColumns=True)
+        fresh.write.mode("overwrite").parquet(staged)
+        fresh = spark.read.parquet(staged)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(path)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
 
 def upsert_batches(vectors: DataFrame, most_rows: int = 250, most_bytes: int = 1_500_000, order: str = "vector_id") -> DataFrame:
-    """``batch`` within each partition of the shuffle (``shard``): by rows and by running bytes, whichever fills first."""
+    """``batch`` within each partition of the shuffle (``shard``): at most ``most_rows`` rows and ``most_bytes`` bytes of JSON; a
+    row that is larger alone is a batch of its own.
+
+    A batch is what begins within a stretch of bytes that is shorter than the limit by the shard's largest row.
+    """
     sharded = vectors.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(64)))
-    here = Window.partitionBy("shard").orderBy(order)
-    size = F.length(F.to_json(F.struct(*vectors.columns)))
-    counted = sharded.withColumn("__n", F.row_number().over(here) - 1).withColumn("__bytes", F.sum(size).over(here))
-    return counted.withColumn("batch", F.floor(F.col("__n") / most_rows) + F.floor(F.col("__bytes") / most_bytes)).drop("__n", "__bytes")
+    whole, here = Window.partitionBy("shard"), Window.partitionBy("shard").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sized = sharded.withColumn("row_bytes", F.octet_length(F.to_json(F.struct(*vectors.columns))))
+    stretch = F.greatest(F.lit(most_bytes) - F.max("row_bytes").over(whole) + 1, F.lit(1))
+    before = F.coalesce(F.sum("row_bytes").over(here), F.lit(0))
+    counted = sized.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy(order)) - 1).withColumn("stretch", F.floor(before / stretch))
+    return counted.withColumn("batch", F.floor(F.col("place") / most_rows) + F.col("stretch")).drop("place", "stretch", "row_bytes")
 
 
 def read_grids(chunks: DataFrame, most: int = 60) -> DataFrame:

@@ -195,7 +195,22 @@ def test_filters_reach_the_scan(spark):
 def test_upsert_batches_hold_both_limits(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("vector_id"), F.repeat(F.lit("x"), 20_000).alias("payload"))
     out = files.upsert_batches(df).groupBy("shard", "batch").agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("size"))
-    assert out.where("n > 250 or size > 1600000").count() == 0
+    assert out.where("n > 250 or size > 1500000").count() == 0
+    # by the bytes that are sent, with rows of very different sizes
+    mixed = spark.range(2000).select(F.col("id").cast("string").alias("vector_id"), F.repeat(F.lit("é"), (F.col("id") * 7919 % 60_000).cast("int")).alias("payload"))
+    sent = F.octet_length(F.to_json(F.struct("vector_id", "payload")))
+    out = files.upsert_batches(mixed).groupBy("shard", "batch").agg(F.count("*").alias("n"), F.sum(sent).alias("size"))
+    assert out.where("n > 250 or size > 1500000").count() == 0 and out.agg(F.sum("n")).first()[0] == 2000
+
+
+def test_chunk_sink_upserts_and_keeps_other_namespaces(spark, tmp_path):
+    path, schema = str(tmp_path / "c"), "namespace string, doc_id int, chunk_index int, text string"
+    files.write_chunks(spark.createDataFrame([("a", 1, 1, "old"), ("a", 1, 2, "stays")], schema), path)
+    files.write_chunks(spark.createDataFrame([("b", 1, 1, "other")], schema), path)
+    files.write_chunks(spark.createDataFrame([("a", 1, 1, "new"), ("a", 2, 1, "more")], schema), path)
+    got = sorted(tuple(r[c] for c in ("namespace", "doc_id", "chunk_index", "text")) for r in files.read_chunks(spark, path).collect())
+    assert got == [("a", 1, 1, "new"), ("a", 1, 2, "stays"), ("a", 2, 1, "more"), ("b", 1, 1, "other")]
+    assert not (tmp_path / "c__staged").exists()
 
 
 def test_fallback_only_if_nothing_was_found(spark):
