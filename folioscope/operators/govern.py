@@ -220,3 +220,8 @@ def member_removed(items: DataFrame, members: DataFrame, leaving, heir) -> tuple
 def role_counts(members: DataFrame, role: str) -> DataFrame:
     """Members of a role per firm; a firm with one must keep it."""
     return members.groupBy("firm_id").agg(F.count_if(F.col("role") == role).alias("n"))
+
+
+def unread(notifications: DataFrame) -> DataFrame:
+    """(user_id, unread): how many notifications of each user have no read_at; users who have read all have 0."""
+    return notifications.groupBy("user_id").agg(F.count_if(F.col("read_at").isNull()).alias("unread"))

@@ -47,6 +47,18 @@ def element_kind(type_name: Column, text: Column) -> Column:
     return F.when(name.contains("table"), "table").when(name.contains("image"), "image").when(F.length(text) > 0, "text")
 
 
+def text_density(pages: DataFrame, by: str, sample: int | None = None) -> DataFrame:
+    """Characters of text per page of each document (``by``, page_no, text), over its first ``sample`` pages or all; pages without
+    text count as empty ones."""
+    taken = pages if sample is None else pages.where(F.col("page_no") < sample)
+    return taken.groupBy(by).agg(F.count("*").alias("pages"), F.round(F.avg(F.length(F.coalesce("text", F.lit("")))), 6).alias("density"))
+
+
+def without_legal_tables(table_chunks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Table chunks but those of documents that were classified (doc_id, doc_type) as legal prose."""
+    return table_chunks.join(classes.where("doc_type = 'legal_contract'").select("doc_id"), "doc_id", "left_anti")
+
+
 def classify(elements: DataFrame, name: str) -> DataFrame:
     """Per document: heading ratio, dollars per element, and the class they and the file name (column ``name``) speak for."""
     text = F.col("text")
@@ -54,7 +66,7 @@ def classify(elements: DataFrame, name: str) -> DataFrame:
     per = kept.groupBy("doc_id").agg(
         (F.count_if(F.trim(text).rlike(P.HEADING)) / F.greatest(F.count("*"), F.lit(1))).alias("head_ratio"),
         (F.sum(F.length(text) - F.length(F.replace(text, F.lit("$")))) / F.greatest(F.count("*"), F.lit(1))).alias("dollar_density"),
-        F.lower(F.first(name, ignorenulls=True)).alias("name"),
+        F.lower(F.min(name)).alias("name"),
     )
     hint = lambda names: reduce(lambda a, b: a | b, (F.coalesce(F.col("name"), F.lit("")).contains(n) for n in names))
     head, dollars = F.col("head_ratio"), F.col("dollar_density")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import cosine
+from folioscope.operators.common import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -21,9 +22,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-def dense_scores(rows: DataFrame, queries: DataFrame, id_col: str) -> DataFrame:
-    """(query_id, id, score): ``queries`` (query_id, query_vector) are a batch given by the caller, scored against all rows."""
-    return rows.join(F.broadcast(queries)).select("query_id", id_col, cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+def dense_scores(rows: DataFrame, queries: DataFrame, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score) and what else is in ``keep``: ``queries`` (query_id, query_vector) are a batch given by the caller,
+    which is counted, scored against all rows."""
+    return rows.join(small(queries), F.lit(True)).select("query_id", id_col, *keep, cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
 
 
 def top_per(scored: DataFrame, by: list[str], k: int, id_col: str, floor: float | None = None) -> DataFrame:
@@ -33,25 +35,64 @@ def top_per(scored: DataFrame, by: list[str], k: int, id_col: str, floor: float
     return ranked if floor is None else ranked.where(F.col("score") >= floor)
 
 
-def bm25(pool: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def bm25(pool: DataFrame, queries: DataFrame, id_col: str = "doc_id", own_pool: bool = False) -> DataFrame:
     """(query_id, id, score) of BM25-Okapi over ``pool``; ``queries``: query_id, query.
 
-    The statistics are the pool's.  Negative idf becomes ``EPSILON`` times the mean idf of all terms; a query word counts
-    as often as it stands in the query; documents without any query word score 0 and are not returned.
+    The statistics are the pool's: one for all queries, or with ``own_pool`` that of the query's own rows (``pool`` has a
+    query_id).  Negative idf becomes ``EPSILON`` times the mean idf of all terms; a query word counts as often as it stands
+    in the query; documents without any query word score 0 and are not returned.
+
+    One shuffle carries the distinct terms of each document, summed on the map side first; a null term among them counts the
+    documents and their lengths.  Only the asked terms' occurrences are counted by document.
     """
-    words = pool.select(id_col, tokens(F.col("text")).alias("ts"))
-    lengths = words.select(id_col, F.size("ts").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = words.select(id_col, F.explode("ts").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
+    by = ["query_id"] if own_pool else []
+    words = pool.select(*by, id_col, tokens(F.col("text")).alias("ts"))
+    per_term = words.select(*by, F.size("ts").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(None).cast("string"))).alias("term"))
+    per_term = per_term.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+    stats = per_term.where("term is null").select(*by, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    raw = per_term.where("term is not null").join(F.broadcast(stats), by or F.lit(True))  # stats: a row, or one per query of the batch
+    raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    idf = raw.join(F.broadcast(asked), "term").join(F.broadcast(mean))
+    idf = raw.join(small(asked), [*by, "term"]).join(F.broadcast(mean), by or F.lit(True))
     idf = idf.select("query_id", "term", "times", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    hits = tf.join(F.broadcast(idf), "term").join(lengths, id_col)
+    hits = words.select(*by, id_col, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(small(idf), [*by, "term"])
+    tf = hits.groupBy("query_id", id_col, "term", "times", "idf", "dl", "avgdl").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
+    return tf.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
+
+
+def retrieve(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc_id", rerank: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(query_id, id, rank, score): the composed search of (query_id, query, query_vector) over rows (id, text, embedding).
+
+    A pool of max(4k, 10) by cosine per query, BM25 on the query's own pool, fusion of both rankings, and then ``rerank`` (a
+    function of (query_id, query, id, text, rank) and k, see ``providers.rerank``) or the first ``k``.
+    """
+    dense = top_per(dense_scores(rows, queries.select("query_id", "query_vector"), id_col), ["query_id"], max(4 * k, 10), id_col)
+    pool = dense.select("query_id", id_col).join(rows.select(id_col, "text"), id_col)
+    sparse = bm25(pool, queries.select("query_id", "query"), id_col, own_pool=True).withColumn("score", F.round("score", 9))
+    sparse = top_per(sparse, ["query_id"], max(4 * k, 10), id_col)
+    lists = dense.withColumn("list", F.lit(0)).unionByName(sparse.withColumn("list", F.lit(1)))
+    fused = rrf(lists.select("query_id", id_col, "list", "rank"), id_col)
+    if rerank is None:
+        return fused.where(F.col("rank") <= k)
+    texts = fused.join(pool, ["query_id", id_col]).join(queries.select("query_id", "query"), "query_id")
+    best = rerank(texts.select("query_id", "query", F.col(id_col).alias("id"), "text", "rank"), k)
+    return best.select("query_id", F.col("id").alias(id_col), F.col("final_rank").alias("rank"), "score")
+
+
+def united(lists: DataFrame, id_col: str, k: int, both: bool = True) -> DataFrame:
+    """Text and table results (query_id, sub_ix, rank, id, score) of each query as one list: a chunk where it was first seen,
+    ``k`` of them, or 2k where both kinds were searched."""
+    first = lists.groupBy("query_id", id_col).agg(F.min(F.struct("sub_ix", "rank")).alias("seen"), F.max("score").alias("score"))
+    placed = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("seen", id_col)))
+    return placed.where(F.col("rank") <= (2 * k if both else k)).drop("seen")
+
+
+def fallback_answer(ranked: DataFrame, most: int = 600) -> DataFrame:
+    """(query_id, answer) when nothing can write one: the start of the best chunk's text on one line."""
+    first = ranked.where("rank = 1")
+    return first.select("query_id", F.regexp_replace(F.substring("text", 1, most), "\n", " ").alias("answer"))
 
 
 def rrf(lists: DataFrame, id_col: str, k: int = RRF_K) -> DataFrame:
@@ -164,23 +205,27 @@ def cache_lookup(asked: DataFrame, entries: DataFrame, threshold: float = 0.85,
     """Per asked (query_id, query, query_vector) the cache entry (entry_id, query, embedding, cached_at) that answers it.
 
     The exact tier joins on the hash of the trimmed lower-case text; the semantic tier takes the most similar of the
-    ``most`` latest entries, if it reaches the threshold.
+    ``most`` latest entries that have a vector, if it reaches the threshold.
     """
     keyed = entries.select("entry_id", exact_key(F.col("query")).alias("__key"))
     exact = asked.withColumn("__key", exact_key(F.col("query"))).join(keyed, "__key").groupBy("query_id").agg(F.min("entry_id").alias("exact_id"))
+    entries = entries.where("embedding is not null")
     latest = F.broadcast(entries.orderBy(F.desc("cached_at"), "entry_id").limit(most).select("entry_id", "embedding"))  # at most ``most`` rows
-    similar = asked.join(latest).select("query_id", "entry_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    similar = asked.join(latest, F.lit(True)).select("query_id", "entry_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
     near = top_per(similar, ["query_id"], 1, "entry_id", threshold).select("query_id", F.col("entry_id").alias("near_id"), "score")
     found = asked.select("query_id").join(exact, "query_id", "left").join(near, "query_id", "left")
     tier = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("near_id").isNotNull(), "semantic").otherwise("miss")
     return found.select("query_id", tier.alias("tier"), F.coalesce("exact_id", "near_id").alias("entry_id"), F.when(F.col("exact_id").isNull(), F.col("score")).alias("score"))
 
 
-def grade(scores: DataFrame, by: str, strong: float = 0.55, gap: float = 0.10) -> DataFrame:
-    """Per group: empty, weak or strong by the best score and its lead over the upper median; without scores, strong."""
+def grade(scores: DataFrame, by: str, strong: float = 0.55, gap: float = 0.10, groups: DataFrame | None = None) -> DataFrame:
+    """Per group: weak or strong by the best score and its lead over the upper median; strong where rows have no scores; empty
+    for those of ``groups`` (one column ``by``) that found nothing.  Groups are the few best rows of a search."""
     kept = scores.groupBy(by).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"), F.count("*").alias("n"))
+    if groups is not None:
+        kept = groups.select(by).distinct().join(kept, by, "left").withColumns({"s": F.coalesce("s", F.array().cast("array<double>")), "n": F.coalesce("n", F.lit(0))})
     top, median = F.try_element_at("s", F.lit(1)), F.try_element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))
-    verdict = F.when(F.size("s") == 0, "strong").when(top < strong, "weak").when(F.size("s") == 1, "strong").when(top - median >= gap, "strong").otherwise("weak")
+    verdict = F.when(F.col("n") == 0, "empty").when(F.size("s") == 0, "strong").when(top < strong, "weak").when(F.size("s") == 1, "strong").when(top - median >= gap, "strong").otherwise("weak")
     above = F.when(F.size("s") == 0, F.col("n")).otherwise(F.size(F.filter("s", lambda x: x >= strong)).cast("long"))
     return kept.select(by, verdict.alias("grade"), F.round(top, 4).alias("top_score"), above.alias("above_threshold"))
 

@@ -126,3 +126,8 @@ def unsignable(title: Column, declared: Column) -> Column:
     hay = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(declared, F.lit(""))))
     by_title = F.coalesce(*(F.when(hay.rlike(p), k) for p, k in P.UNSIGNABLE))
     return F.when(kind.isin(*known), kind).otherwise(by_title)
+
+
+def of_instruments(found: DataFrame, allowed: list[str] | None) -> DataFrame:
+    """What was found in instruments of the allowed types, whatever its score; no list allows all, an empty one nothing."""
+    return found if allowed is None else found.where(F.coalesce(F.lower(F.trim("instrument_type")).isin(*[a.strip().lower() for a in allowed]), F.lit(False)))

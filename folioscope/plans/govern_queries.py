@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,14 +124,14 @@ def _vault_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Customers as vaults and as members, nations as firms."""
     c = read(spark, sf_dir, "customer")
     vaults = c.select(F.col("c_custkey").alias("vault_id"), F.col("c_nationkey").alias("firm_id"), (F.col("c_custkey") % 100 + 1).alias("owner_id"))
-    members = c.where("c_custkey <= 100").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("firm_id"), F.when(F.col("c_custkey") % 20 == 0, "partner").otherwise("associate").alias("role"))
+    members = c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("firm_id"), F.when(F.col("c_custkey") % 20 == 0, "partner").otherwise("associate").alias("role"))
     staffed = c.where("c_custkey % 9 = 0").select((F.col("c_custkey") % 50 + 1).alias("user_id"), F.col("c_custkey").alias("vault_id"))
     screens = c.where("c_custkey % 4 = 0").select((F.col("c_custkey") % 100 + 1).alias("user_id"), F.col("c_custkey").alias("vault_id"), F.when(F.col("c_custkey") % 8 == 0, F.lit("2024-01-01")).alias("removed_at"))
     return vaults, members, staffed, screens
 
 
 VAULTS = """vaults as (select c_custkey as vault_id, c_nationkey as firm_id, c_custkey % 100 + 1 as owner_id from customer),
-members as (select c_custkey as user_id, c_nationkey as firm_id, case when c_custkey % 20 = 0 then 'partner' else 'associate' end as role from customer where c_custkey <= 100),
+members as (select c_custkey as user_id, c_nationkey as firm_id, case when c_custkey % 20 = 0 then 'partner' else 'associate' end as role from customer),
 staffed as (select c_custkey % 50 + 1 as user_id, c_custkey as vault_id from customer where c_custkey % 9 = 0),
 walls as (select c_custkey % 100 + 1 as user_id, c_custkey as vault_id from customer where c_custkey % 4 = 0 and c_custkey % 8 <> 0)"""
 
@@ -140,12 +142,13 @@ def visible_minus_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.visible(*_vault_tables(spark, sf_dir)).select("user_id", "vault_id")
 
 
-@query(f"""with {VAULTS}, r as (select m.user_id, v.vault_id from members m, vaults v where v.vault_id % 3 = 0 and m.user_id <= 20)
+@query(f"""with {VAULTS}, r as (select user_id, vault_id from staffed union select owner_id, vault_id from vaults union select user_id, vault_id from walls)
 select r.user_id, r.vault_id, case when owner_id = r.user_id then r.user_id when v.firm_id = m.firm_id and (r.user_id, r.vault_id) in (select (user_id, vault_id) from staffed) and (r.user_id, r.vault_id) not in (select (user_id, vault_id) from walls) then owner_id end as owner
 from r left join vaults v using (vault_id) left join members m on m.user_id = r.user_id""")
 def vault_owner_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     vaults, members, staffed, screens = _vault_tables(spark, sf_dir)
-    asked = vaults.where("vault_id % 3 = 0").select("vault_id").join(F.broadcast(members.where("user_id <= 20").select("user_id")))  # twenty users ask
+    pairs = (staffed, vaults.select(F.col("owner_id").alias("user_id"), "vault_id"), screens.where("removed_at is null"))
+    asked = reduce(DataFrame.unionByName, (p.select("user_id", "vault_id") for p in pairs)).distinct()  # all who have to do with a vault
     return G.vault_owner(asked, vaults, members, staffed, screens)
 
 
@@ -313,3 +316,10 @@ INVITES = [(1, "A@x.org", "h1", None, "2025-01-01"), (1, "a@X.org", "h2", None,
 def active_invites(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, "firm_id int, email string, token_hash string, accepted_at string, expires_at string", INVITES)
     return G.active_invites(rows, F.lit("2024-06-01")).select("firm_id", "token_hash")
+
+
+@query("select user_id, count(*) filter (value < 10) as unread from events group by user_id")
+def unread_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as notifications, read where their value is 10 or more."""
+    e = read(spark, sf_dir, "events")
+    return G.unread(e.select("user_id", F.when(F.coalesce(F.col("value") >= 10, F.lit(True)), F.col("ts")).alias("read_at")))

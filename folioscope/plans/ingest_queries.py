@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
-from folioscope.operators import ingest
+from folioscope.operators import ingest, scope
 from folioscope.plans.registry import query, read
 
 LINES = """lines as (
@@ -190,3 +190,24 @@ def scope_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamped.groupBy(F.col("collection_id").alias("source")).agg(
         F.count("*").alias("chunks"), F.min("doc_id").alias("first_doc"), F.countDistinct("content_hash").alias("distinct_texts"), F.count_if(F.col("workspace_id") == 0).alias("workspace_0")
     )
+
+
+@query("""with p as (select doc_id, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 as page_no, unnest(string_split(text, chr(10) || chr(10))) as text from documents)
+select doc_id, count(*) as pages, round(avg(length(text)), 6) as density from p where page_no < 5 group by doc_id""")
+def text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of text as pages, the first five sampled."""
+    pages = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("page_no", "text"))
+    return ingest.text_density(pages, "doc_id", 5)
+
+
+@query("select doc_id from documents left join labels using (doc_id) where quality is null or quality <> 0")
+def tables_of_legal_prose_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of label 0 stand for those that were classified as legal prose."""
+    classes = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "legal_contract").otherwise("generic").alias("doc_type"))
+    return ingest.without_legal_tables(read(spark, sf_dir, "documents").select("doc_id"), classes)
+
+
+@query("select doc_id from documents where lower(trim(lang)) in ('en', 'de')")
+def instrument_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages stand for instrument types."""
+    return scope.of_instruments(read(spark, sf_dir, "documents").withColumn("instrument_type", F.col("lang")), ["EN ", "de"]).select("doc_id")

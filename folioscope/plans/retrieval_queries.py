@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import providers
 from folioscope.functions import patterns as P
 from folioscope.operators import retrieval as R
 from folioscope.operators import scope as S
@@ -25,8 +26,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings")
-    return R.dense_scores(rows, probes(spark, sf_dir), "vec_id").join(rows.select("vec_id", "label"), "vec_id")
+    return R.dense_scores(read(spark, sf_dir, "embeddings"), probes(spark, sf_dir), "vec_id", ("label",))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -99,13 +99,82 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fused, "score").select("query_id", "doc_id", "rank", "score")
 
 
+POOLED = f"""qs as (select * from {sql_values(QUESTIONS, 'query_id, query')}),
+d as (select p.vec_id::int as query_id, e.vec_id as doc_id, {COS} as score from embeddings e join documents on doc_id = e.vec_id, embeddings p where p.vec_id in (1, 2, 3, 4)),
+dense as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from d) where rank <= 20),
+w as (select query_id, doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') as ts from dense join documents using (doc_id)),
+dl as (select query_id, doc_id, len(ts) as dl from w), st as (select query_id, count(*) as n, avg(dl) as avgdl from dl group by query_id),
+tf as (select query_id, doc_id, term, count(*) as tf from (select query_id, doc_id, unnest(ts) as term from w) group by all),
+idf0 as (select query_id, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as idf from tf join st using (query_id) group by query_id, term, n),
+m as (select query_id, avg(idf) as mean_idf from idf0 group by query_id),
+asked as (select query_id, term, count(*) as times from (select query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '')) as term from qs) group by all),
+idf as (select query_id, term, times, case when idf < 0 then 0.25 * mean_idf else idf end as idf from idf0 join asked using (query_id, term) join m using (query_id)),
+bm as (select query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from tf join idf using (query_id, term) join dl using (query_id, doc_id) join st using (query_id) group by query_id, doc_id),
+sparse as (select * from (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from bm) where rank <= 20),
+both_lists as (select query_id, doc_id, 1 as list, rank from sparse union all select query_id, doc_id, 0, rank from dense),
+f as (select query_id, doc_id, sum(1.0::double / (60 + rank)) as score, min(list * 1000 + rank) as first_place from both_lists group by query_id, doc_id),
+fused as (select *, row_number() over (partition by query_id order by round(score, 12) desc, first_place, doc_id)::int as rank from f)"""
+
+
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with the vector of their id, and the questions with vectors 1 to 4."""
+    vectors = read(spark, sf_dir, "embeddings")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    asked = vectors.where("vec_id in (1, 2, 3, 4)").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return rows, asked.join(values(spark, "query_id int, query string", QUESTIONS), "query_id")
+
+
+@query(f"with {POOLED} select query_id, doc_id, rank, round(score, 6) as score from fused where rank <= 5")
+def retrieve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense pool, BM25 on it, fusion, cut to five."""
+    return rounded(R.retrieve(*searched(spark, sf_dir), k=5), "score").select("query_id", "doc_id", "rank", "score")
+
+
+_OVERLAP = "len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '')), list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> ''))))::double / len(list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '')))"
+
+
+@query(f"""with {POOLED}, x as (select query_id, doc_id, rank as was, {_OVERLAP} as score from fused join documents using (doc_id) join qs using (query_id)),
+r as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, was)::int as rank, round(score, 6) as score from x) select * from r where rank <= 5""")
+def retrieve_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pool, reordered by the deterministic scorer."""
+    return rounded(R.retrieve(*searched(spark, sf_dir), k=5, rerank=providers.rerank), "score").select("query_id", "doc_id", "rank", "score")
+
+
+@query(f"with {POOLED} select query_id, replace(left(text, 600), chr(10), ' ') as answer from fused join documents using (doc_id) where rank = 1")
+def retrieval_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, asked = searched(spark, sf_dir)
+    return R.fallback_answer(R.retrieve(rows, asked, k=5).join(rows.select("doc_id", "text"), "doc_id"))
+
+
+@query(f"""with {SCORED}, tx as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where label < 7), tb as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where label > 4),
+l as (select query_id, 0 as sub_ix, rank, vec_id, score from tx where rank <= 8 union all select query_id, 1, rank, vec_id, score from tb where rank <= 8),
+u as (select query_id, vec_id, max(score) as score, min(sub_ix * 1000 + rank) as seen from l group by all), k as (select *, row_number() over (partition by query_id order by seen, vec_id)::int as rank from u),
+c as (select * from k where rank <= 12), g as (select query_id, list(score order by score desc) as sc from c group by query_id)
+select query_id, vec_id, rank, round(score, 6) as score, case when sc[1] < 0.55 then 'weak' when len(sc) = 1 then 'strong' when sc[1] - sc[len(sc) // 2 + 1] >= 0.10 then 'strong' else 'weak' end as grade from c join g using (query_id)""")
+def text_table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches over kinds that overlap, united by chunk, capped at twice six and graded anew."""
+    s = scored(spark, sf_dir)
+    part = lambda where, ix: R.top_per(s.where(where), ["query_id"], 8, "vec_id").withColumn("sub_ix", F.lit(ix))
+    one = R.united(part("label < 7", 0).unionByName(part("label > 4", 1)), "vec_id", 6)
+    return rounded(one.join(R.grade(one, "query_id").select("query_id", "grade"), "query_id"), "score").select("query_id", "vec_id", "rank", "score", "grade")
+
+
+@query(f"""with {SCORED}, t as (select * from ({RANKED.format(by='query_id')}) where rank <= 8 and score >= 0.99), q as (select vec_id as query_id from embeddings where vec_id < 8)
+select q.query_id, case when count(score) = 0 then 'empty' else 'strong' end as grade, count(score) as above_threshold from q left join t using (query_id) group by q.query_id""")
+def empty_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that find nothing above the floor are graded empty."""
+    asked = read(spark, sf_dir, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"))
+    top = R.top_per(scored(spark, sf_dir), ["query_id"], 8, "vec_id", 0.99)
+    return R.grade(top, "query_id", groups=asked).select("query_id", "grade", "above_threshold")
+
+
 TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda t: t <> ''))"
 
 
 @query(f"""with qs as (select * from {sql_values(QUESTIONS, 'query_id, query')})
-select query_id, doc_id, round(len(list_intersect({TOKENS.format('query')}, {TOKENS.format('text')}))::double / len({TOKENS.format('query')}), 6) as score from documents, qs where doc_id % 10 = 3""")
+select query_id, doc_id, round(len(list_intersect({TOKENS.format('query')}, {TOKENS.format('text')}))::double / len({TOKENS.format('query')}), 6) as score from documents, qs""")
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_scores(spark, read(spark, sf_dir, "documents").where("doc_id % 10 = 3"))  # the collection that is routed
+    return keyword_scores(spark, read(spark, sf_dir, "documents"))
 
 
 @query(f"""with qs as (select * from {sql_values(QUESTIONS, 'query_id, query')})
@@ -116,13 +185,13 @@ def keyword_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    asked = F.broadcast(values(spark, "query_id int, query string", QUESTIONS))
-    return docs.join(asked).select("query_id", "doc_id", F.round(R.keyword_score(F.col("query"), F.col("text")), 6).alias("score"))
+    asked = F.broadcast(values(spark, "query_id int, query string", QUESTIONS))  # four rows
+    return docs.join(asked, F.lit(True)).select("query_id", "doc_id", F.round(R.keyword_score(F.col("query"), F.col("text")), 6).alias("score"))
 
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.dense_scores(read(spark, sf_dir, "embeddings"), probes(spark, sf_dir), "vec_id").join(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    found = R.dense_scores(read(spark, sf_dir, "embeddings"), probes(spark, sf_dir), "vec_id", ("embedding",))
     return rounded(R.mmr(found.select("query_id", F.col("vec_id").alias("id"), F.col("score").alias("relevance"), "embedding")), "relevance")
 
 
@@ -146,25 +215,24 @@ def narrowed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.narrowed(read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left"), {"quality": 1}).select("doc_id")
 
 
-@query(f"""with asked as (select row_number() over (order by conv_id, turn) - 1 as query_id, text as query from conversations where role = 'user' and conv_id < 20),
+@query(f"""with asked as (select conv_id * 1000 + turn as query_id, text as query, embedding from conversations join embeddings on vec_id = conv_id where role = 'user'),
 e as (select conv_id as entry_id, text as query from conversations where role = 'user' and turn <= 1),
 exact as (select query_id, min(entry_id) as exact_id from asked join e on sha256(trim(lower(asked.query))) = sha256(trim(lower(e.query))) group by query_id),
-s as (select a.query_id, x.vec_id as entry_id, {COSINE.format(a='x.embedding', b='v.embedding')} as score from asked a join embeddings v on v.vec_id = a.query_id, embeddings x where x.vec_id between 100 and 149),
+latest as (select vec_id as entry_id, embedding from embeddings order by vec_id desc limit 2000),
+s as (select a.query_id, x.entry_id, {COSINE.format(a='x.embedding', b='a.embedding')} as score from asked a, latest x),
 near as (select * from (select *, row_number() over (partition by query_id order by score desc, entry_id) as n from s) where n = 1 and score >= 0.5)
 select query_id, case when exact_id is not null then 'exact' when near.entry_id is not null then 'semantic' else 'miss' end as tier,
-  coalesce(exact_id, near.entry_id) as entry_id, case when exact_id is null then round(score, 6) end as score from asked left join exact using (query_id) left join near using (query_id)
-where query_id in (select vec_id from embeddings)""")
+  coalesce(exact_id, near.entry_id) as entry_id, case when exact_id is null then round(score, 6) end as score from asked left join exact using (query_id) left join near using (query_id)""")
 def semantic_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User messages as questions; entries are first messages for the exact tier and vectors 100 to 149 for the other."""
-    from pyspark.sql import Window
-
+    """All user messages as questions, with the vector of their conversation's number; entries are first messages for the exact
+    tier and all vectors for the other, which takes the 2000 latest."""
     said = read(spark, sf_dir, "conversations").where("role = 'user'")
     vectors = read(spark, sf_dir, "embeddings")
-    asked = said.where("conv_id < 20").withColumn("query_id", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long") - 1).select("query_id", F.col("text").alias("query"))
-    asked = asked.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
-    texts = said.where("turn <= 1").select(F.col("conv_id").alias("entry_id"), F.col("text").alias("query"), F.lit(None).cast("array<float>").alias("embedding"))
-    entries = texts.unionByName(vectors.where("vec_id between 100 and 149").select(F.col("vec_id").alias("entry_id"), F.lit(None).cast("string").alias("query"), "embedding"))
-    return rounded(R.cache_lookup(asked, entries.withColumn("cached_at", F.lit(0)), 0.5), "score")
+    asked = said.join(vectors.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("query_vector")), "conv_id")
+    asked = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"), "query_vector")
+    texts = said.where("turn <= 1").select(F.col("conv_id").alias("entry_id"), F.col("text").alias("query"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(0).cast("long").alias("cached_at"))
+    entries = texts.unionByName(vectors.select(F.col("vec_id").alias("entry_id"), F.lit(None).cast("string").alias("query"), "embedding", F.col("vec_id").alias("cached_at")))
+    return rounded(R.cache_lookup(asked, entries, 0.5), "score")
 
 
 @query(f"""with {SCORED}, t as (select * from ({RANKED.format(by='query_id')}) where rank <= 8),

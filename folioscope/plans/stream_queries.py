@@ -49,11 +49,11 @@ def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.conversation_markdown(read(spark, sf_dir, "conversations"))
 
 
-@query("""with a as (select list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as ws, doc_id from documents where doc_id < 300)
+@query("""with a as (select list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as ws, doc_id from documents)
 select doc_id, round(len(list_intersect(['the', 'of', 'apache', 'and'], list_distinct(ws)))::double / 4, 6) as support, len(list_intersect(['the', 'of', 'apache', 'and'], list_distinct(ws)))::double / 4 >= 0.5 as verified from a""")
 def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deterministic scorer as judge over the evidence of one answer."""
-    return verified(read(spark, sf_dir, "documents").where("doc_id < 300"))
+    """The deterministic scorer as judge over all documents."""
+    return verified(read(spark, sf_dir, "documents"))
 
 
 @query("""with a as (select list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as ws, doc_id from documents)
@@ -68,7 +68,10 @@ def verified(docs: DataFrame) -> DataFrame:
     return providers.verify(rows).select("doc_id", F.round("support", 6).alias("support"), "verified")
 
 
-@query()
+@query("""with p as (select source as query_id, doc_id as id, row_number() over (partition by source order by doc_id) as rank, count(*) over (partition by source) as n,
+ len(list_intersect(['the', 'license', 'of', 'apache'], list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))))::double / 4 as score from documents),
+r as (select *, row_number() over (partition by query_id order by case when n > 5 then score end desc nulls last, rank)::int as final_rank from p)
+select query_id, id, final_rank, round(score, 6) as score from r where final_rank <= 5""")
 def reranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
