@@ -126,3 +126,11 @@ RESULT_WORDS = (
 ABSENCE = (
     "could not", "couldn't", "unable to", "not available", "not found", "no data", "insufficient evidence", "cannot verify", "not in the vault", "not ingested",
 )
+
+#: The lines of a constitution that open an article, a part or a schedule, or say that an article is gone.
+ARTICLE_LINE = r"^(\d+[A-Z]{0,3})\.\s+(.*)$"
+ARTICLE_HEAD = r"^.{0,160}?[—–]"
+ARTICLE_STUB = r"(?i)^\[([^\]]*)\]\s*((?:Rep\.|Omitted|Repealed|Rep\b).*)$"
+ARTICLE_GONE = r"(?i)^\[?\s*(?:Art(?:icle)?\.?\s*)?(\d+[A-Z]{0,3})\b.*\b(?:omitted|repealed|rep\.)"
+PART_LINE = r"(?i)^PART\s+([IVXLCDM]+[A-Z]?|\d+[A-Z]?)$"
+SCHEDULE_LINE = r"(?i)^(?:THE\s+)?(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH|ELEVENTH|TWELFTH|\d+(?:ST|ND|RD|TH)?)\s+SCHEDULE(?:\s*\[[^\]]*\])?$"

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import patterns as P
+
 INSTRUMENT_TYPES = ("constitution", "statute", "regulation", "case_law", "guideline")
 
 
@@ -171,6 +173,54 @@ def statutes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source_key").applyInPandas(parse, PROVISIONS)
 
 
+def articles(lines: DataFrame) -> DataFrame:
+    """Articles and schedules of constitutions (source_key, elem_ix, text): source_key, ix, kind, id, part, part_title, title, text,
+    repealed.
+
+    Each line has a kind; those that open something begin a group, and a group that an article or a schedule opened is a
+    provision, its other lines the body.  Numbered lines within a schedule, and those without a heading's dash or the form
+    of a repealed stub (footnotes), are body lines.  Articles that a line says are gone are marked; of repeated ids the
+    first stays.
+    """
+    here = Window.partitionBy("source_key").orderBy("elem_ix")
+    line = lines.select("source_key", "elem_ix", F.trim("text").alias("text")).where("text <> ''")
+    text, rest = F.col("text"), F.regexp_extract("text", P.ARTICLE_LINE, 2)
+    opens = text.rlike(P.ARTICLE_LINE) & (rest.rlike(P.ARTICLE_HEAD) | rest.rlike(P.ARTICLE_STUB))
+    first = (
+        F.when(text.rlike(P.ARTICLE_GONE) & ~text.rlike(P.ARTICLE_LINE), "gone").when(text.rlike(P.PART_LINE), "part")
+        .when(text.rlike(P.SCHEDULE_LINE), "schedule").when(opens, "article").otherwise("body")
+    )
+    line = line.withColumn("first", first)
+    within = F.last(F.when(F.col("first").isin("part", "schedule"), F.col("first")), ignorenulls=True).over(here)
+    heading = (F.lag("first").over(here) == "part") & (text == F.upper("text")) & (text != F.lower("text"))
+    kind = F.when(F.coalesce(heading, F.lit(False)), "heading").when((F.col("first") == "article") & (within == "schedule"), "body").otherwise(F.col("first"))
+    line = line.withColumn("kind", F.when(kind.isNull(), F.col("first")).otherwise(kind))
+    line = line.withColumn("part", F.last(F.when(F.col("kind") == "part", F.upper(F.regexp_extract("text", P.PART_LINE, 1))), ignorenulls=True).over(here))
+    line = line.withColumn("opened", F.sum(F.col("kind").isin("part", "schedule", "article").cast("int")).over(here))
+    titles = line.where("kind = 'heading'").groupBy("source_key", "opened").agg(F.min("text").alias("part_title"))
+    heads = line.where("kind = 'part'").join(titles, ["source_key", "opened"], "left").groupBy("source_key", "part").agg(F.min_by("part_title", "elem_ix").alias("part_title"))
+    said = F.array_sort(F.collect_list(F.when(F.col("kind") == "body", F.struct("elem_ix", "text"))))
+    groups = line.where(F.col("kind").isin("schedule", "article", "body")).groupBy("source_key", "opened").agg(
+        F.max(F.when(F.col("kind") != "body", F.struct("kind", "text", "part"))).alias("o"), F.min("elem_ix").alias("at"), F.array_join(F.transform(said, lambda b: b["text"]), " ").alias("more"),
+    ).where("o is not null")
+    rest = F.regexp_extract("o.text", P.ARTICLE_LINE, 2)
+    article, stub = F.col("o.kind") == "article", rest.rlike(P.ARTICLE_STUB)
+    title, body = title_body(rest)
+    name = F.regexp_extract("o.text", P.SCHEDULE_LINE, 1)
+    found = groups.select(
+        "source_key", "at", F.col("o.kind").alias("kind"), F.when(article, F.regexp_extract("o.text", P.ARTICLE_LINE, 1)).otherwise(F.concat(F.lit("Schedule."), F.upper(name))).alias("id"),
+        F.when(article, F.col("o.part")).alias("part"),
+        F.when(~article, F.concat(F.initcap(name), F.lit(" Schedule"))).when(stub, F.rtrim(F.regexp_extract(rest, P.ARTICLE_STUB, 1), F.lit("."))).otherwise(title).alias("title"),
+        F.trim(F.concat_ws(" ", F.when(article, F.when(stub, F.regexp_extract(rest, P.ARTICLE_STUB, 2)).otherwise(body)), F.col("more"))).alias("text"), (article & stub).alias("stub"),
+    )
+    first_of = Window.partitionBy("source_key", "id").orderBy("at")
+    found = found.withColumn("place", F.row_number().over(first_of)).where("place = 1")
+    gone = line.where("kind = 'gone'").select("source_key", F.regexp_extract("text", P.ARTICLE_GONE, 1).alias("id"), F.lit(True).alias("gone")).distinct()
+    whole = found.join(gone, ["source_key", "id"], "left").join(heads, ["source_key", "part"], "left")
+    numbered = whole.withColumn("ix", F.row_number().over(Window.partitionBy("source_key").orderBy("at")))
+    return numbered.select("source_key", "ix", "kind", "id", "part", "part_title", "title", "text", (F.col("stub") | F.coalesce("gone", F.lit(False))).alias("repealed"))
+
+
 def cites(text: Column, section_id: Column) -> Column:
     """Whether an answer names the provision's id as a whole; null without an id."""
     return F.when(F.coalesce(section_id, F.lit("")) != "", F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), section_id, F.lit(" "))))

@@ -171,3 +171,15 @@ def export_manifest(tables: dict[str, DataFrame], user) -> DataFrame:
 def deletable(rows: DataFrame, now: Column, retention_days: int = 365, answer_days: int = 90) -> DataFrame:
     """``due`` of each request, and whether its data is older than the retention floor."""
     return rows.withColumns({"due": F.date_add(F.to_date("requested_at"), answer_days), "deletable": F.to_date("created_at") <= F.date_sub(F.to_date(now), retention_days)})
+
+
+def rendered(template: Column, params: Column) -> Column:
+    """A template with each {name} replaced from a map of strings; names that the map lacks, or has as null, become nothing."""
+    filled = F.aggregate(F.map_entries(F.coalesce(params, F.create_map().cast("map<string,string>"))), template, lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    return F.trim(F.regexp_replace(filled, r"\{[A-Za-z_][A-Za-z0-9_]*\}", ""))
+
+
+def request_columns(items: Column, most: int = 10) -> Column:
+    """The columns of a grid that a free text asks for, one per line that is not blank: key, label (40 characters) and kind."""
+    asked = F.slice(F.filter(F.transform(F.split(F.replace(F.coalesce(items, F.lit("")), F.lit("\\n"), F.lit("\n")), "\n"), F.trim), lambda x: x != ""), 1, most)
+    return F.transform(asked, lambda x, i: F.struct(F.concat(F.lit("item_"), i.cast("string")).alias("key"), F.substring(x, 1, 40).alias("label"), F.lit("clause").alias("kind")))

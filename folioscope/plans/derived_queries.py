@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
+from folioscope.operators import corpus as C
 from folioscope.operators import govern as G
 from folioscope.operators import ingest
 from folioscope.operators import kernel as K
 from folioscope.operators import retrieval as R
+from folioscope.operators import review
 from folioscope.operators import scope as S
 from folioscope.operators import tables as T
 from folioscope.operators import verify as V
 from folioscope.plans.ingest_queries import q, values
 from folioscope.plans.registry import query, read
-from folioscope.plans.retrieval_queries import SCORED, scored
+from folioscope.plans.retrieval_queries import COS, COSINE, SCORED, scored
 from folioscope.sources import files
 
 LINES = "ln as (select distinct trim(unnest(string_split(text, chr(10)))) as label from documents)"
@@ -232,3 +234,63 @@ def smallest_of_gapped_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("series_id"), point)
     series = rows.select("series_id", (F.col("at") + 1).alias("series_ix"), (F.col("at") + 1).cast("string").alias("key"), F.col("v").cast("double").alias("value"))
     return K.extreme(series, False)
+
+
+CONSTITUTION = [
+    ("c", i, t)
+    for i, t in enumerate([
+        "preamble", "PART III", "FUNDAMENTAL RIGHTS", "14. Equality before law.—The State shall not deny equality.", "1. Subs. by an Act of 1976", "within the territory.", "", "[Art. 31 omitted by an Act]",
+        "31. Property.—No person shall be deprived.", "32A. [Validity of laws.] Rep. by Act 3.", "PART IV", "stray line", "36. Definition.—In this Part", "14. Again.—Twice.", "THE FIRST SCHEDULE [Article 1]", "1. Defence.—A list.", "2. Roads",
+    ])
+]
+
+
+@query("""select * from (values ('c', 1, 'article', '14', 'III', 'FUNDAMENTAL RIGHTS', 'Equality before law', 'The State shall not deny equality. 1. Subs. by an Act of 1976 within the territory.', false),
+('c', 2, 'article', '31', 'III', 'FUNDAMENTAL RIGHTS', 'Property', 'No person shall be deprived.', true), ('c', 3, 'article', '32A', 'III', 'FUNDAMENTAL RIGHTS', 'Validity of laws', 'Rep. by Act 3.', true),
+('c', 4, 'article', '36', 'IV', null, 'Definition', 'In this Part', false), ('c', 5, 'schedule', 'Schedule.FIRST', null, null, 'First Schedule', '1. Defence.—A list. 2. Roads', false)) as t(source_key, ix, kind, id, part, part_title, title, text, repealed)""")
+def constitution_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known by hand: a footnote, an omitted article, a repealed stub, a repeated id, and numbered lines within a schedule."""
+    return C.articles(values(spark, "source_key string, elem_ix int, text string", CONSTITUTION))
+
+
+@query("""select p_partkey, trim('What is ' || p_name || ' of size ' || coalesce((case when p_size % 2 = 0 then p_size end)::varchar, '') || ' and  worth?') as question from part""")
+def rendered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter, one that is null at times, and one that nobody gives."""
+    params = F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")))
+    return read(spark, sf_dir, "part").select("p_partkey", review.rendered(F.lit("What is {name} of size {size} and {unknown} worth?"), params).alias("question"))
+
+
+@query("""with l as (select doc_id, list_filter(list_transform(string_split(replace(text, '\n', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:10] as items from documents)
+select doc_id, len(items)::int as n_columns, md5(array_to_string(list_transform(items, lambda x: left(x, 40)), '|')) as labels_md5 from l""")
+def requested_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document as a request list."""
+    c = review.request_columns(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(c).alias("n_columns"), F.md5(F.array_join(F.transform(c, lambda x: x["label"]), "|")).alias("labels_md5"))
+
+
+_TOKS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda t: t <> ''))"
+_SHARE = "len(list_intersect(['apache', 'license', 'version'], {0}))::double / 3"
+
+
+@query(f"""with p as (select embedding from embeddings where vec_id = 1), d as (select doc_id, source, text, case when doc_id % 2 = 0 then e.embedding end as topic from documents left join embeddings e on e.vec_id = doc_id),
+s as (select doc_id, case when topic is not null then {COSINE.format(a='topic', b='p.embedding')} when trim(coalesce(text, '')) = '' then {_SHARE.format(_TOKS.format("regexp_replace(source || ' license.pdf', '[^A-Za-z0-9]+', ' ', 'g')"))} else {_SHARE.format(_TOKS.format('text'))} end as score from d, p),
+r as (select doc_id, round(score, 6) as route_score, row_number() over (order by round(score, 9) desc, doc_id)::int as rank from s) select * from r where rank <= 12""")
+def routed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by topic vector, summary or name, and the twelve that a question goes to."""
+    vectors = read(spark, sf_dir, "embeddings")
+    docs = read(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    docs = docs.select("doc_id", F.col("text").alias("summary"), F.concat("source", F.lit(" license.pdf")).alias("filename"), F.when(F.col("doc_id") % 2 == 0, F.col("embedding")).alias("topic"))
+    asked = vectors.where("vec_id = 1").select(F.col("embedding").alias("query_vector"))
+    found = R.routed(docs.join(F.broadcast(asked), F.lit(True)), F.col("query_vector"), F.lit("apache license version"))  # asked: one row
+    top = R.top_per(found.select(F.lit(0).alias("q"), "doc_id", F.round("route_score", 9).alias("score")), ["q"], 12, "doc_id")
+    return top.select("doc_id", F.round("score", 6).alias("route_score"), "rank")
+
+
+@query(f"""with p as (select vec_id as query_id, embedding from embeddings where vec_id % 20 = 0), s as (select p.query_id, e.vec_id, {COS} as score from embeddings e, p where e.vec_id <> p.query_id),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id)::int as rank from s) select query_id, vec_id, rank, round(score, 6) as score from r where rank <= 10""")
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector asks all others."""
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = R.dense_scores(rows, asked, "vec_id").where("vec_id <> query_id").withColumn("score", F.round("score", 9))
+    return R.top_per(near, ["query_id"], 10, "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
