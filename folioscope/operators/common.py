@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 10_000
 
 
+def is_small(df: DataFrame, most: int = BATCH_ROWS) -> bool:
+    """Whether a count finds at most ``most`` rows."""
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = BATCH_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count finds at most ``most`` rows; beyond, Spark chooses how to join it."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it ``is_small``; beyond, Spark chooses how to join it."""
+    return F.broadcast(df) if is_small(df, most) else df

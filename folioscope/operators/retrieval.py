@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import cosine
-from folioscope.operators.common import small
+from folioscope.operators.common import is_small, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -54,9 +54,10 @@ def bm25(pool: DataFrame, queries: DataFrame, id_col: str = "doc_id", own_pool:
     raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    idf = raw.join(small(asked), [*by, "term"]).join(F.broadcast(mean), by or F.lit(True))
+    few = F.broadcast if is_small(asked) else lambda df: df  # idf has no more rows than ``asked``
+    idf = raw.join(few(asked), [*by, "term"]).join(F.broadcast(mean), by or F.lit(True))
     idf = idf.select("query_id", "term", "times", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    hits = words.select(*by, id_col, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(small(idf), [*by, "term"])
+    hits = words.select(*by, id_col, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(few(idf), [*by, "term"])
     tf = hits.groupBy("query_id", id_col, "term", "times", "idf", "dl", "avgdl").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
@@ -201,6 +202,30 @@ def exact_key(query: Column) -> Column:
     return F.sha2(F.trim(F.lower(query)), 256)
 
 
+def nearest_entries(asked: DataFrame, entries: list, threshold: float) -> DataFrame:
+    """(query_id, near_id, score) of each asked (query_id, query_vector) that some entry (entry_id, embedding) of a bounded list is
+    similar enough to; scores within 1e-12 are equal, and the smallest id of equals wins."""
+    kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, near_id long, score double"
+    if not entries:
+        return asked.sparkSession.createDataFrame([], kind)
+    entries = sorted(entries, key=lambda r: r["entry_id"])
+    ids = np.array([r["entry_id"] for r in entries], np.int64)
+    units = unit(np.stack([np.asarray(r["embedding"], np.float64) for r in entries]))
+    shared = asked.sparkSession.sparkContext.broadcast((ids, units))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, units = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                scores = unit(np.stack([np.asarray(v, np.float64) for v in part["query_vector"]])) @ units.T
+                best = (scores >= scores.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
+                found = pd.DataFrame({"query_id": part["query_id"].to_numpy(), "near_id": ids[best], "score": scores[np.arange(len(part)), best]})
+                yield found[found["score"] >= threshold]
+
+    return asked.where("query_vector is not null").select("query_id", "query_vector").mapInPandas(nearest, kind)
+
+
 def cache_lookup(asked: DataFrame, entries: DataFrame, threshold: float = 0.85, most: int = 2000) -> DataFrame:
     """Per asked (query_id, query, query_vector) the cache entry (entry_id, query, embedding, cached_at) that answers it.
 
@@ -209,10 +234,8 @@ def cache_lookup(asked: DataFrame, entries: DataFrame, threshold: float = 0.85,
     """
     keyed = entries.select("entry_id", exact_key(F.col("query")).alias("__key"))
     exact = asked.withColumn("__key", exact_key(F.col("query"))).join(keyed, "__key").groupBy("query_id").agg(F.min("entry_id").alias("exact_id"))
-    entries = entries.where("embedding is not null")
-    latest = F.broadcast(entries.orderBy(F.desc("cached_at"), "entry_id").limit(most).select("entry_id", "embedding"))  # at most ``most`` rows
-    similar = asked.join(latest, F.lit(True)).select("query_id", "entry_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
-    near = top_per(similar, ["query_id"], 1, "entry_id", threshold).select("query_id", F.col("entry_id").alias("near_id"), "score")
+    latest = entries.where("embedding is not null").orderBy(F.desc("cached_at"), "entry_id").limit(most).select("entry_id", "embedding")
+    near = nearest_entries(asked, latest.collect(), threshold)  # at most ``most`` rows
     found = asked.select("query_id").join(exact, "query_id", "left").join(near, "query_id", "left")
     tier = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("near_id").isNotNull(), "semantic").otherwise("miss")
     return found.select("query_id", tier.alias("tier"), F.coalesce("exact_id", "near_id").alias("entry_id"), F.when(F.col("exact_id").isNull(), F.col("score")).alias("score"))
