@@ -28,6 +28,70 @@ def dense_scores(rows: DataFrame, queries: DataFrame, id_col: str, keep: tuple[s
     return rows.join(small(queries), F.lit(True)).select("query_id", id_col, *keep, cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
 
 
+#: Questions (with groups, fewer: each group has its own best) and rows that one task compares, and the scores it holds at a time.
+QUESTION_BLOCK, GROUPED_BLOCK, ROW_BLOCK, SCORES = 4096, 256, 16_384, 4_000_000
+
+
+def dense_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str | None = None, floor: float | None = None) -> DataFrame:
+    """(query_id, [by,] id, score, rank): the ``k`` rows of highest cosine of each question, or of each question and group, then the floor.
+
+    Questions (query_id, query_vector) and rows (id, [by,] embedding) of any number meet in blocks of bounded size: a task holds a
+    block of each and returns its own ``k`` best, of which a window takes the best of all.  Scores are rounded to 12 places, so equal
+    vectors tie wherever they are scored, and ties go to the smaller id.  Rows without an id, and vectors that are null, have another
+    length than the question or hold a value that is null or not finite, are left out; a zero vector scores 0; null groups are one.
+    """
+    keep = [by] if by else []
+    asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("v"))
+    data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), *keep, F.col("embedding").cast("array<double>").alias("v"))
+    q_parts, r_parts = (max(1, -(-df.count() // size)) for df, size in ((asked, GROUPED_BLOCK if by else QUESTION_BLOCK), (data, ROW_BLOCK)))
+    block = lambda key, parts: F.pmod(F.xxhash64(key, "v"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked, data = asked.withColumn("qb", block("query_id", q_parts)), data.withColumn("rb", block("id", r_parts))
+    asked, data = asked.select("*", every(r_parts).alias("rb")), data.select("*", every(q_parts).alias("qb"))
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for length, some in right.groupby(right["v"].map(len)):
+            some = some.sort_values("id", kind="stable")
+            mine = left[left["v"].map(len) == length]
+            if mine.empty:
+                continue
+            (ids, units, at), (questions, asking, _) = unit_rows(some, "id"), unit_rows(mine, "query_id")
+            if not len(ids) or not len(questions):
+                continue
+            code = pd.factorize(some[by].iloc[at], use_na_sentinel=False)[0] if by else np.zeros(len(ids), int)
+            groups = np.split(np.argsort(code, kind="stable"), np.cumsum(np.bincount(code))[:-1])
+            step = max(1, SCORES // len(ids))
+            for start in range(0, len(questions), step):
+                scores = np.round(asking[start : start + step] @ units.T, 12) + 0.0
+                for group in groups:
+                    here = scores[:, group]
+                    least = np.partition(here, -k, axis=1)[:, -k] if len(group) > k else np.full(len(here), -np.inf)
+                    q, r = np.nonzero(here >= least[:, None])
+                    order = np.lexsort((r, -here[q, r], q))  # ids ascend with r
+                    q, r = q[order], r[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, r = q[place < k], r[place < k]
+                    part = pd.DataFrame({"query_id": questions[start + q], "id": ids[group[r]], "score": here[q, r]})
+                    if by:
+                        part[by] = some[by].iloc[at[group[r]]].to_numpy()
+                    found.append(part)
+        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns, dtype=object)
+
+    columns = ["query_id", *keep, "id", "score"]
+    kinds = {"query_id": queries.schema["query_id"].dataType, "id": rows.schema[id_col].dataType} | ({by: rows.schema[by].dataType} if by else {})
+    schema = ", ".join(f"`{c}` {kinds[c].simpleString() if c in kinds else 'double'}" for c in columns)
+    best = asked.groupBy("qb", "rb").cogroup(data.groupBy("qb", "rb")).applyInPandas(solve, schema)
+    return top_per(best.withColumnRenamed("id", id_col), ["query_id", *keep], k, id_col, floor)
+
+
+def unit_rows(frame: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, vectors of length 1 (or 0) and places of the frame's rows whose vector ``v`` is finite throughout."""
+    vectors = np.array([np.asarray(v, np.float64) for v in frame["v"]])
+    at = np.flatnonzero(np.isfinite(vectors).all(axis=1))
+    return frame[key].to_numpy()[at], unit(vectors[at]), at
+
+
 def top_per(scored: DataFrame, by: list[str], k: int, id_col: str, floor: float | None = None) -> DataFrame:
     """The ``k`` best of each group with their rank, ties to the smaller id; then the floor."""
     best = Window.partitionBy(*by).orderBy(F.desc("score"), id_col)

@@ -20,7 +20,7 @@ from folioscope.operators import tables as T
 from folioscope.operators import verify as V
 from folioscope.plans.ingest_queries import q, values
 from folioscope.plans.registry import query, read
-from folioscope.plans.retrieval_queries import COS, COSINE, SCORED, scored
+from folioscope.plans.retrieval_queries import COS, COSINE, SCORED, nearest
 from folioscope.sources import files
 
 LINES = "ln as (select distinct trim(unnest(string_split(text, chr(10)))) as label from documents)"
@@ -210,8 +210,7 @@ def cleaned_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SCORED}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) select query_id, vec_id, rank as source_id from r where rank <= 7")
 def numbered_source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = R.top_per(scored(spark, sf_dir), ["query_id"], 7, "vec_id")
-    return R.numbered_sources(top).select("query_id", "vec_id", "source_id")
+    return R.numbered_sources(nearest(spark, sf_dir, 7)).select("query_id", "vec_id", "source_id")
 
 
 @query("select event_id from events where event_type <> 'click'")
@@ -292,5 +291,5 @@ def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector asks all others."""
     rows = read(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    near = R.dense_scores(rows, asked, "vec_id").where("vec_id <> query_id").withColumn("score", F.round("score", 9))
+    near = R.dense_top(rows, asked, 11, "vec_id").where("vec_id <> query_id").withColumn("score", F.round("score", 9))
     return R.top_per(near, ["query_id"], 10, "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))

@@ -12,7 +12,7 @@ from folioscope.operators import tables as T
 from folioscope.plans.ingest_queries import values
 from folioscope.plans.kernel_queries import grid
 from folioscope.plans.registry import query, read
-from folioscope.plans.retrieval_queries import SCORED, scored
+from folioscope.plans.retrieval_queries import COS, SCORED, nearest
 from folioscope.plans.table_queries import cells
 
 
@@ -40,28 +40,31 @@ def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.page_audit(pages, values(spark, "doc string, page int", [("d", 1), ("d", 1), ("d", 3)])).select("doc", "page", "state")
 
 
-@query(f"""with {SCORED}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s), f as (select vec_id, min(query_id * 100 + rank) as first_place from r where rank <= 6 group by vec_id)
-select 0::bigint as query_id, vec_id, row_number() over (order by first_place, vec_id)::int as rank from f""")
+@query(f"""with p as (select vec_id // 60 as query_id, vec_id // 20 % 3 as sub_ix, embedding from embeddings where vec_id % 20 = 0), s as (select query_id, sub_ix, vec_id, {COS} as score from embeddings e, p),
+r as (select *, row_number() over (partition by query_id, sub_ix order by score desc, vec_id) as rank from s), f as (select query_id, vec_id, min(sub_ix * 100 + rank) as first_place from r where rank <= 6 group by all)
+select query_id, vec_id, row_number() over (partition by query_id order by first_place, vec_id)::int as rank from f""")
 def subquery_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five probes as sub-queries of one question."""
-    top = R.top_per(scored(spark, sf_dir), ["query_id"], 6, "vec_id").select(F.lit(0).cast("long").alias("query_id"), F.col("query_id").alias("sub_ix"), "rank", "vec_id")
+    """Every twentieth vector is a sub-query; three make a question."""
+    place = F.floor(F.col("query_id") / 20)
+    top = nearest(spark, sf_dir, 6).select(F.floor(place / 3).alias("query_id"), (place % 3).alias("sub_ix"), "rank", "vec_id")
     return R.merged(top, ["vec_id"])
 
 
-@query(f"""with {SCORED}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s), t as (select query_id, label, vec_id, score from r where rank <= 60),
-b as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as n from t), sv as (select query_id, label, count(*) as evidence, max(score) as score from b where n <= 8 group by all)
-select query_id, label, evidence, round(score, 6) as score, row_number() over (partition by query_id order by evidence desc, sv.score desc, label)::int as rank from sv""")
+SURVEY = f"""with {SCORED}, b as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as n from s), sv as (select query_id, label, count(*) as evidence, max(score) as score from b where n <= 8 group by all)
+select query_id, label, evidence, round(score, 6) as score, row_number() over (partition by query_id order by evidence desc, sv.score desc, label)::int as rank from sv"""
+
+
+@query(SURVEY)
 def collection_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = R.top_per(scored(spark, sf_dir), ["query_id"], 60, "vec_id").select("query_id", F.col("label").alias("doc"), F.col("vec_id").alias("chunk"), "score")
-    return R.survey(near).select("query_id", F.col("doc").alias("label"), "evidence", F.round("score", 6).alias("score"), "rank")
+    """Every document is surveyed by its own best chunks, without a cut over the whole collection."""
+    best = nearest(spark, sf_dir, 8, "label").select("query_id", F.col("label").alias("doc"), F.col("vec_id").alias("chunk"), "score")
+    return R.survey(best).select("query_id", F.col("doc").alias("label"), "evidence", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""with {SCORED}, b as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as n from s), sv as (select query_id, label, count(*) as evidence, max(score) as score from b where n <= 8 group by all)
-select query_id, label, evidence, round(score, 6) as score, row_number() over (partition by query_id order by evidence desc, sv.score desc, label)::int as rank from sv""")
+@query(SURVEY)
 def collection_survey_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is surveyed by its own best chunks, without a cut over the whole collection."""
-    rows = scored(spark, sf_dir).select("query_id", F.col("label").alias("doc"), F.col("vec_id").alias("chunk"), "score")
-    return R.survey(rows).select("query_id", F.col("doc").alias("label"), "evidence", F.round("score", 6).alias("score"), "rank")
+    """The name that ``collection_survey`` had while it was cut to 60 vectors."""
+    return collection_survey(spark, sf_dir)
 
 
 @query("select doc_id from documents where doc_id % 50 = 1")

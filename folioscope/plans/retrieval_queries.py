@@ -16,17 +16,18 @@ from folioscope.plans.registry import query, read
 
 COSINE = "case when list_inner_product({a}::double[], {a}::double[]) = 0 or list_inner_product({b}::double[], {b}::double[]) = 0 then 0 else list_inner_product({a}::double[], {b}::double[]) / (sqrt(list_inner_product({a}::double[], {a}::double[])) * sqrt(list_inner_product({b}::double[], {b}::double[]))) end"
 COS = COSINE.format(a="e.embedding", b="p.embedding")
-PROBES = "p as (select vec_id as query_id, embedding from embeddings where vec_id < 5)"
+PROBES = "p as (select vec_id as query_id, embedding from embeddings where vec_id % 20 = 0)"
 SCORED = f"{PROBES}, s as (select p.query_id, e.vec_id, e.label, {COS} as score from embeddings e, p)"
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five vectors, as the batch of questions."""
-    return read(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """Every twentieth vector, as the questions."""
+    return read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dense_scores(read(spark, sf_dir, "embeddings"), probes(spark, sf_dir), "vec_id", ("label",))
+def nearest(spark: SparkSession, sf_dir: str, k: int, by: str | None = None, floor: float | None = None, where: str = "true") -> DataFrame:
+    """The ``k`` nearest of the vectors for each question."""
+    return R.dense_top(read(spark, sf_dir, "embeddings").where(where), probes(spark, sf_dir), k, "vec_id", by, floor)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -38,14 +39,13 @@ RANKED = "select *, row_number() over (partition by {by} order by score desc, ve
 
 @query(f"with {SCORED}, r as ({RANKED.format(by='query_id')}) select query_id, vec_id, rank, round(score, 6) as score from r where rank <= 10 and score >= 0.3")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = R.top_per(R.dense_scores(read(spark, sf_dir, "embeddings"), probes(spark, sf_dir), "vec_id"), ["query_id"], 10, "vec_id", 0.30)
-    return rounded(top, "score").select("query_id", "vec_id", "rank", "score")
+    return rounded(nearest(spark, sf_dir, 10, floor=0.30), "score").select("query_id", "vec_id", "rank", "score")
 
 
 @query(f"with {SCORED}, f as (select * from s where label in (1, 3)), r as ({RANKED.format(by='query_id').replace('from s', 'from f')}) select query_id, vec_id, rank, round(score, 6) as score from r where rank <= 5")
 def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumnRenamed("label", "doc_id").where(S.Scope(doc_ids=[1, 3]).predicate())
-    return rounded(R.top_per(R.dense_scores(rows, probes(spark, sf_dir), "vec_id"), ["query_id"], 5, "vec_id"), "score").select("query_id", "vec_id", "rank", "score")
+    return rounded(R.dense_top(rows, probes(spark, sf_dir), 5, "vec_id"), "score").select("query_id", "vec_id", "rank", "score")
 
 
 @query("select vec_id from embeddings where false")
@@ -53,10 +53,12 @@ def empty_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").withColumnRenamed("label", "doc_id").where(S.Scope(doc_ids=[]).predicate()).select("vec_id")
 
 
-@query(f"with {SCORED}, f as (select * from s where label < 8), r as ({RANKED.format(by='query_id, label').replace('from s', 'from f')}) select query_id, label, vec_id, rank, round(score, 6) as score from r where rank <= 2")
+@query(f"""with {SCORED}, n as (select count(distinct label) as n from embeddings), r as ({RANKED.format(by='query_id, label')})
+select query_id, label, vec_id, rank, round(score, 6) as score from r, n where rank <= case when n <= 2 then 4 when n <= 4 then 3 else 2 end""")
 def balanced_topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = scored(spark, sf_dir).where("label < 8")
-    return rounded(R.top_per(kept, ["query_id", "label"], R.per_document_k(8), "vec_id"), "score").select("query_id", "label", "vec_id", "rank", "score")
+    """As many of each label as the number of labels allows."""
+    n = read(spark, sf_dir, "embeddings").agg(F.count_distinct("label")).first()[0]
+    return rounded(nearest(spark, sf_dir, R.per_document_k(n), "label"), "score").select("query_id", "label", "vec_id", "rank", "score")
 
 
 QUESTIONS = [(1, "the of and that the"), (2, "apache license version"), (3, "idiot password and"), (4, "zzz unknown words")]
@@ -82,20 +84,21 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(top, "score").select("query_id", "doc_id", "rank", "score")
 
 
-@query(f"""with {BM25}, sparse as (select query_id, doc_id, 1 as list, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from bm),
-d as (select p.vec_id::int as query_id, e.vec_id as doc_id, {COS} as score from embeddings e, embeddings p where p.vec_id in (1, 2, 3, 4)),
+@query(f"""with {BM25}, sparse as (select query_id as text_id, doc_id, 1 as list, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from bm),
+d as (select p.vec_id as query_id, e.vec_id as doc_id, {COS} as score from embeddings e, embeddings p where p.vec_id % 20 = 0),
 dense as (select query_id, doc_id, 0 as list, row_number() over (partition by query_id order by score desc, doc_id) as rank from d),
-both_lists as (select * from sparse where rank <= 25 union all select * from dense where rank <= 25),
+both_lists as (select vec_id as query_id, doc_id, list, rank from sparse join embeddings on text_id = (vec_id // 20) % 4 + 1 where vec_id % 20 = 0 and rank <= 25 union all select * from dense where rank <= 25),
 f as (select query_id, doc_id, sum(1.0::double / (60 + rank)) as score, min(list * 1000 + rank) as first_place from both_lists group by query_id, doc_id),
 r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, first_place, doc_id)::int as rank from f)
 select query_id, doc_id, rank, round(score, 6) as score from r where rank <= 5""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and vectors share their ids: vector i stands for document i, and question i asks with vector i."""
-    vectors = read(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id in (1, 2, 3, 4)").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
-    dense = R.top_per(R.dense_scores(vectors.withColumnRenamed("vec_id", "doc_id"), asked, "doc_id"), ["query_id"], 25, "doc_id").withColumn("list", F.lit(0))
-    sparse = R.top_per(bm25_scores(spark, sf_dir).withColumn("score", F.round("score", 9)), ["query_id"], 25, "doc_id").withColumn("list", F.lit(1))
-    fused = R.rrf(dense.unionByName(sparse), "doc_id").where("rank <= 5")
+    """Documents and vectors share their ids: vector i stands for document i.  Every twentieth vector is a question, with one of
+    the four texts in turn; BM25 ranks each text once."""
+    texts = R.top_per(bm25_scores(spark, sf_dir).withColumn("score", F.round("score", 9)), ["query_id"], 25, "doc_id").withColumnRenamed("query_id", "text_id")
+    asked = probes(spark, sf_dir).select("query_id", (F.floor(F.col("query_id") / 20) % 4 + 1).cast("int").alias("text_id"))
+    sparse = asked.join(texts, "text_id").withColumn("list", F.lit(1))
+    dense = R.dense_top(read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), probes(spark, sf_dir), 25, "doc_id").withColumn("list", F.lit(0))
+    fused = R.rrf(dense.unionByName(sparse.drop("text_id")), "doc_id").where("rank <= 5")
     return rounded(fused, "score").select("query_id", "doc_id", "rank", "score")
 
 
@@ -153,18 +156,17 @@ c as (select * from k where rank <= 12), g as (select query_id, list(score order
 select query_id, vec_id, rank, round(score, 6) as score, case when sc[1] < 0.55 then 'weak' when len(sc) = 1 then 'strong' when sc[1] - sc[len(sc) // 2 + 1] >= 0.10 then 'strong' else 'weak' end as grade from c join g using (query_id)""")
 def text_table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two searches over kinds that overlap, united by chunk, capped at twice six and graded anew."""
-    s = scored(spark, sf_dir)
-    part = lambda where, ix: R.top_per(s.where(where), ["query_id"], 8, "vec_id").withColumn("sub_ix", F.lit(ix))
+    part = lambda where, ix: nearest(spark, sf_dir, 8, where=where).withColumn("sub_ix", F.lit(ix))
     one = R.united(part("label < 7", 0).unionByName(part("label > 4", 1)), "vec_id", 6)
     return rounded(one.join(R.grade(one, "query_id").select("query_id", "grade"), "query_id"), "score").select("query_id", "vec_id", "rank", "score", "grade")
 
 
-@query(f"""with {SCORED}, t as (select * from ({RANKED.format(by='query_id')}) where rank <= 8 and score >= 0.99), q as (select vec_id as query_id from embeddings where vec_id < 8)
+@query(f"""with {SCORED}, t as (select * from ({RANKED.format(by='query_id')}) where rank <= 8 and score >= 0.99), q as (select vec_id as query_id from embeddings where vec_id % 10 = 0)
 select q.query_id, case when count(score) = 0 then 'empty' else 'strong' end as grade, count(score) as above_threshold from q left join t using (query_id) group by q.query_id""")
 def empty_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that find nothing above the floor are graded empty."""
-    asked = read(spark, sf_dir, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"))
-    top = R.top_per(scored(spark, sf_dir), ["query_id"], 8, "vec_id", 0.99)
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
+    top = nearest(spark, sf_dir, 8, floor=0.99)
     return R.grade(top, "query_id", groups=asked).select("query_id", "grade", "above_threshold")
 
 
@@ -191,7 +193,9 @@ def keyword_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.dense_scores(read(spark, sf_dir, "embeddings"), probes(spark, sf_dir), "vec_id", ("embedding",))
+    """Five questions, each with all vectors as candidates; every chosen vector is a step of its question."""
+    asked = probes(spark, sf_dir).where("query_id < 100")
+    found = R.dense_scores(read(spark, sf_dir, "embeddings"), asked, "vec_id", ("embedding",))
     return rounded(R.mmr(found.select("query_id", F.col("vec_id").alias("id"), F.col("score").alias("relevance"), "embedding")), "relevance")
 
 
@@ -240,7 +244,7 @@ l as (select query_id, list(score order by score desc) as s, count(*) as n from
 select query_id, case when s[1] < 0.55 then 'weak' when len(s) = 1 then 'strong' when s[1] - s[len(s) // 2 + 1] >= 0.10 then 'strong' else 'weak' end as grade,
   round(s[1], 4) as top_score, len(list_filter(s, lambda x: x >= 0.55))::bigint as above_threshold from l""")
 def retrieval_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.grade(R.top_per(scored(spark, sf_dir), ["query_id"], 8, "vec_id"), "query_id")
+    return R.grade(nearest(spark, sf_dir, 8), "query_id")
 
 
 @query("""with c as (select source, doc_id, length(text) // 4 as tokens, sum(length(text) // 4) over (partition by source order by doc_id) as used, row_number() over (partition by source order by doc_id) as n from documents)

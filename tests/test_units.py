@@ -381,3 +381,30 @@ def test_percentiles_and_recall_by_hand(spark):
     found = spark.createDataFrame([("x", 1), ("x", 2), ("x", 2), ("y", 1), ("z", 9)], "query_id string, doc_id int")
     gold = spark.createDataFrame([("x", 2), ("x", 3), ("z", 1)], "query_id string, doc_id int")
     assert {r.query_id: r.recall for r in verify.routing_recall(found, gold).collect()} == {"x": 0.5, "y": 1.0, "z": 0.0}
+
+
+@pytest.mark.parametrize("by", [None, "kind"])
+def test_blocked_search_equals_brute_force(spark, monkeypatch, by):
+    """Several blocks on both sides, ties over them, groups with null, and vectors that take no part."""
+    for name, size in (("QUESTION_BLOCK", 7), ("GROUPED_BLOCK", 7), ("ROW_BLOCK", 40), ("SCORES", 100)):
+        monkeypatch.setattr(retrieval, name, size)
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, size=(150, 4)).astype(float).tolist() + [[1.0, 2.0, 0.0, 1.0]] * 60
+    rows = [(i, [None, "a", "b"][i % 3], v) for i, v in enumerate(vectors)]
+    odd = [(900, "a", None), (901, "a", [1.0, None, 0.0, 0.0]), (902, "b", [float("nan"), 1.0, 0.0, 0.0]), (903, "b", [1.0]), (None, "a", [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "id long, kind string, embedding array<double>")
+    asked = spark.createDataFrame([(i, vectors[i]) for i in range(0, 210, 10)] + [(-1, None)], "query_id long, query_vector array<double>")
+
+    def cosine(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / size), 9) if size else 0.0
+
+    want = set()
+    for query in range(0, 210, 10):
+        for kind in ([None, "a", "b"] if by else [...]):
+            scored = sorted((-cosine(vectors[query], v), i) for i, k, v in rows if kind is ... or k == kind)
+            want |= {(query, i, rank) for rank, (_, i) in enumerate(scored[:5], 1)}
+    got = retrieval.dense_top(df, asked, 5, "id", by).collect()
+    assert {(r.query_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
+    assert retrieval.dense_top(df.limit(0), asked, 5, "id", by).count() == 0
+    assert retrieval.dense_top(df, asked.limit(0), 5, "id", by).count() == 0
