@@ -134,3 +134,9 @@ ARTICLE_STUB = r"(?i)^\[([^\]]*)\]\s*((?:Rep\.|Omitted|Repealed|Rep\b).*)$"
 ARTICLE_GONE = r"(?i)^\[?\s*(?:Art(?:icle)?\.?\s*)?(\d+[A-Z]{0,3})\b.*\b(?:omitted|repealed|rep\.)"
 PART_LINE = r"(?i)^PART\s+([IVXLCDM]+[A-Z]?|\d+[A-Z]?)$"
 SCHEDULE_LINE = r"(?i)^(?:THE\s+)?(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH|ELEVENTH|TWELFTH|\d+(?:ST|ND|RD|TH)?)\s+SCHEDULE(?:\s*\[[^\]]*\])?$"
+
+#: How a text begins that declines to answer.
+DECLINES = (
+    "abstain", "missing", "not found", "no ", "none", "i could not", "i cannot", "i can't", "could not verify", "cannot verify", "could not find",
+    "cannot find", "unable to", "does not contain", "doesn't contain", "no such", "not present", "not applicable", "n/a",
+)

@@ -128,10 +128,11 @@ def latency_percentiles(runs: DataFrame, by: str) -> DataFrame:
 
 def corroborated(results: DataFrame, prose: DataFrame) -> DataFrame:
     """``corroborated``: whether the raw figure's digits and separators stand in a text of its document."""
-    digits = F.regexp_replace("raw", "[^0-9,]", "")
-    pairs = results.withColumn("__d", digits).join(prose.groupBy("doc").agg(F.collect_list("text").alias("__texts")), "doc", "left")
-    hit = (F.col("__d") != "") & F.coalesce(F.exists("__texts", lambda t: t.contains(F.col("__d"))), F.lit(False))
-    return pairs.withColumn("corroborated", hit).drop("__d", "__texts")
+    marked = results.withColumn("__d", F.regexp_replace("raw", "[^0-9,]", ""))
+    asked = marked.select("doc", "__d").where("__d <> ''").distinct()
+    hits = asked.join(prose.select("doc", "text"), "doc").where(F.col("text").contains(F.col("__d"))).select("doc", "__d").distinct()
+    joined = marked.join(hits.withColumn("__hit", F.lit(True)), ["doc", "__d"], "left")
+    return joined.select(*results.columns, F.coalesce("__hit", F.lit(False)).alias("corroborated"))
 
 
 def result_table(results: DataFrame) -> DataFrame:

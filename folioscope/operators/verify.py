@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from folioscope.functions import patterns as P
 
@@ -336,6 +338,74 @@ def grid_status(cell: Column) -> Column:
     return F.when((said == "found") & (F.coalesce(cell["n_sources"], F.lit(0)) == 0), "abstain").when(said.isin("found", "missing", "abstain", "error"), said).otherwise("error")
 
 
+ENVELOPE = ("status", "value", "quote")
+PARSED = StructType([StructField("formed", BooleanType()), StructField("leaves", StringType())])
+
+
+@F.pandas_udf(PARSED)
+def parsed(objects: pd.Series) -> pd.DataFrame:
+    """Of each text that is one JSON object whether it has a key of an envelope, and if not, its distinct scalars as one text, in the
+    order they stand, at most six levels deep; nulls for other texts."""
+
+    def walk(x, depth: int) -> Iterator[str]:
+        if isinstance(x, (dict, list)):
+            for inner in (x.values() if isinstance(x, dict) else x) if depth < 6 else ():
+                yield from walk(inner, depth + 1)
+        elif x is not None and str(x).strip().lower() not in ("", "null"):
+            yield str(x).strip()
+
+    def told(text: str | None) -> tuple[bool | None, str | None]:
+        try:
+            found = json.loads(text or "")
+        except (ValueError, RecursionError):
+            return None, None
+        if not isinstance(found, dict):
+            return None, None
+        formed = any(key in found for key in ENVELOPE)
+        return formed, None if formed else "; ".join(dict.fromkeys(walk(found, 0))) or None
+
+    return pd.DataFrame([told(x) for x in objects], columns=["formed", "leaves"], dtype=object)
+
+
+def grid_cells(answers: DataFrame) -> DataFrame:
+    """Answers (answer, n_sources, degraded) of a review grid with their cell: status, value, quote, risk, note and abstain_reason.
+
+    An answer is a JSON object, fenced or among prose.  With a key of status, value or quote it is read as it stands: unknown states
+    abstain, unknown risks are none, found without a source abstains for want of evidence, and what is missing is a risk.  An object of
+    another shape counts as found by its scalars if it has a source and does not decline; other answers abstain as unparsed, those
+    that decline as ambiguous.  A degraded run without an answer is an error.  Other columns pass through.
+    """
+    text = F.regexp_replace(F.trim(F.coalesce("answer", F.lit(""))), r"(?s)^```(?:json)?\s*(.*?)(?:```.*)?$", "$1")
+    whole = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    read = answers.withColumn("__json", whole).withColumn("__parsed", parsed("__json"))
+    leaves = F.col("__parsed.leaves")
+
+    def part(name: str) -> Column:
+        found = F.get_json_object("__json", f"$.{name}")
+        return F.when(~found.isin("", "null"), found)
+
+    grounded = F.coalesce("n_sources", F.lit(0)) > 0
+    said, risk = F.lower(F.trim(part("status"))), F.lower(F.trim(part("risk")))
+    said = F.when(said.isin("found", "missing", "abstain", "error"), said).otherwise("abstain")
+    bare = (said == "found") & ~grounded
+    status = F.when(bare, "abstain").otherwise(said)
+    risk = F.when(risk.isin("standard", "non_standard", "missing"), risk).when(status == "missing", "missing").otherwise("none")
+    note = F.when(bare, F.concat_ws(" | ", part("note"), F.lit("claimed found but no source span grounded it"))).otherwise(part("note"))
+    why = F.when(bare, "no_evidence").when(status == "abstain", "ambiguous")
+    none = F.lit(None).cast("string")
+    cell = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, ("status", "value", "quote", "risk", "note", "abstain_reason"))))
+    declined = F.rlike(F.lower(leaves), F.lit("^(?:" + "|".join(map(re.escape, P.DECLINES)) + ")"))
+    unread = F.concat(F.lit("parse: "), F.coalesce(leaves, F.nullif(F.substring("answer", 1, 120), F.lit("")), F.lit("no parseable answer")))
+    found = (
+        F.when(F.coalesce("degraded", F.lit(False)) & (F.coalesce("answer", F.lit("")) == ""), cell(F.lit("error"), none, none, F.lit("none"), F.lit("the run degraded"), none))
+        .when(F.col("__parsed.formed"), cell(status, F.when(~bare, part("value")), part("quote"), risk, note, why))
+        .when(declined, cell(F.lit("abstain"), none, none, F.lit("none"), F.substring(leaves, 1, 200), F.lit("ambiguous")))
+        .when(leaves.isNotNull() & grounded, cell(F.lit("found"), leaves, none, F.lit("none"), F.lit("parse: recovered from another shape"), none))
+        .otherwise(cell(F.lit("abstain"), none, none, F.lit("none"), unread, F.lit("unparsed")))
+    )
+    return read.withColumn("__cell", found).select(*(answers[c] for c in answers.columns), "__cell.*")
+
+
 REDLINE = "deviation boolean, quote string, rationale string, risk string"
 
 

@@ -293,3 +293,28 @@ def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     near = R.dense_top(rows, asked, 11, "vec_id").where("vec_id <> query_id").withColumn("score", F.round("score", 9))
     return R.top_per(near, ["query_id"], 10, "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("""with a as (select *, doc_id % 6 as shape, doc_id % 5 > 0 as grounded from documents)
+select doc_id, case when shape = 5 then 'error' when shape = 1 then 'missing' when shape in (0, 2) and grounded then 'found' else 'abstain' end as status,
+  case when grounded and shape = 0 then source when grounded and shape = 2 then concat_ws('; ', lang, case when source <> lang then source end) end as value,
+  case when shape = 0 then 'non_standard' when shape = 1 then 'missing' else 'none' end as risk,
+  case when shape = 3 then 'ambiguous' when shape = 4 then 'unparsed' when not grounded and shape = 0 then 'no_evidence' when not grounded and shape = 2 then 'unparsed' end as abstain_reason from a""")
+def grid_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in six shapes made of the documents: an envelope among prose, a fenced one, another shape, one that declines, the text, none."""
+    lit, shape = F.lit, F.col("doc_id") % 6
+    envelope = F.to_json(F.struct(lit("Found").alias("status"), F.col("source").alias("value"), lit("").alias("quote"), lit("non_standard").alias("risk")))
+    other = F.to_json(F.struct(F.struct(F.col("lang").alias("law"), F.array("source", lit(None), "lang").alias("seat")).alias("clause")))
+    declined = F.to_json(F.struct(F.concat(lit("Cannot verify "), F.coalesce("source", lit(""))).alias("clause")))
+    answer = F.when(shape == 0, F.concat(lit("Here: ```json "), envelope, lit("```"))).when(shape == 1, '```json{"status": "missing", "value": null}```')
+    answer = answer.when(shape == 2, other).when(shape == 3, declined).when(shape == 4, F.col("text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"), (F.col("doc_id") % 5).cast("int").alias("n_sources"), (shape == 5).alias("degraded"))
+    return V.grid_cells(rows).select("doc_id", "status", "value", "risk", "abstain_reason")
+
+
+@query("""select doc_id as result_id, doc_id as doc, (doc_id % 100)::varchar as raw, contains(text, (doc_id % 100)::varchar) as corroborated from documents""")
+def figure_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a number made of the document's id stands in one of its lines."""
+    docs = read(spark, sf_dir, "documents")
+    figures = docs.select(F.col("doc_id").alias("result_id"), F.col("doc_id").alias("doc"), (F.col("doc_id") % 100).cast("string").alias("raw"))
+    return review.corroborated(figures, docs.select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("text")))

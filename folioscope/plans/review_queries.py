@@ -65,9 +65,9 @@ def spans_to_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.spans_to_chunks(docs.select(F.col("doc_id").alias("span_id"), "doc_id", F.substring("text", 1, 200).alias("span")), chunks)
 
 
-@query("with x as (select distinct turn as claim_ix, conv_id % 7 as doc_id, md5(text) as claim, conv_id from conversations) select doc_id, md5(string_agg(claim, ',' order by claim_ix, claim)) as claims_md5, count(*) as n from x group by doc_id")
+@query("with x as (select distinct turn as claim_ix, conv_id as doc_id, md5(text) as claim from conversations) select doc_id, md5(string_agg(claim, ',' order by claim_ix, claim)) as claims_md5, count(*) as n from x group by doc_id")
 def claims_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = read(spark, sf_dir, "conversations").select(F.col("turn").alias("claim_ix"), F.md5("text").alias("claim"), F.array(F.col("conv_id") % 7, F.col("conv_id") % 7).alias("doc_ids"), "conv_id").distinct()
+    said = read(spark, sf_dir, "conversations").select(F.col("turn").alias("claim_ix"), F.md5("text").alias("claim"), F.array("conv_id", "conv_id").alias("doc_ids")).distinct()
     per = V.claims_by_document(said)
     return per.select("doc_id", F.md5(F.array_join("claims", ",")).alias("claims_md5"), F.size("claims").cast("long").alias("n"))
 

@@ -408,3 +408,22 @@ def test_blocked_search_equals_brute_force(spark, monkeypatch, by):
     assert {(r.query_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
     assert retrieval.dense_top(df.limit(0), asked, 5, "id", by).count() == 0
     assert retrieval.dense_top(df, asked.limit(0), 5, "id", by).count() == 0
+
+
+def test_grid_answers(spark):
+    rows = [
+        (1, '{"status": "FOUND", "value": 5, "quote": "null", "risk": "odd", "note": "n"}', 1, False), (2, '{"status": "found", "value": "x", "note": "n"}', 0, False),
+        (3, '```json\n{"value": "x"}\n```', 2, False), (4, '{"a": {"b": ["x", null, "x", {"c": "y"}], "d": ""}}', 1, False), (5, '{"a": "None of it"}', 1, False), (6, '{"a": 1', 1, False),
+        (7, '{"a": 1} and {"b": 2}', 1, False), (8, None, None, True), (9, "", 0, None), (10, "[1, 2]", 1, False), (11, "{}", 1, False), (12, '{"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}', 1, False),
+    ]
+    got = {r.id: r for r in verify.grid_cells(spark.createDataFrame(rows, "id int, answer string, n_sources int, degraded boolean")).collect()}
+    told = {i: (r.status, r.value, r.quote, r.risk, r.note, r.abstain_reason) for i, r in got.items()}
+    assert told == {
+        1: ("found", "5", None, "none", "n", None), 2: ("abstain", None, None, "none", "n | claimed found but no source span grounded it", "no_evidence"),
+        3: ("abstain", "x", None, "none", None, "ambiguous"), 4: ("found", "x; y", None, "none", "parse: recovered from another shape", None),
+        5: ("abstain", None, None, "none", "None of it", "ambiguous"), 6: ("abstain", None, None, "none", 'parse: {"a": 1', "unparsed"),
+        7: ("abstain", None, None, "none", 'parse: {"a": 1} and {"b": 2}', "unparsed"), 8: ("error", None, None, "none", "the run degraded", None),
+        9: ("abstain", None, None, "none", "parse: no parseable answer", "unparsed"), 10: ("abstain", None, None, "none", "parse: [1, 2]", "unparsed"),
+        11: ("abstain", None, None, "none", "parse: {}", "unparsed"), 12: ("abstain", None, None, "none", 'parse: {"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}', "unparsed"),
+    }
+    assert "answer" in verify.grid_cells(spark.createDataFrame(rows[:0], "id int, answer string, n_sources int, degraded boolean")).columns
