@@ -114,12 +114,13 @@ def bm25(pool: DataFrame, queries: DataFrame, id_col: str = "doc_id", own_pool:
     per_term = words.select(*by, F.size("ts").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(None).cast("string"))).alias("term"))
     per_term = per_term.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
     stats = per_term.where("term is null").select(*by, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
-    raw = per_term.where("term is not null").join(F.broadcast(stats), by or F.lit(True))  # stats: a row, or one per query of the batch
+    one = F.broadcast if not own_pool or is_small(queries) else lambda df: df  # a row, or one per query
+    raw = per_term.where("term is not null").join(one(stats), by or F.lit(True))
     raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     few = F.broadcast if is_small(asked) else lambda df: df  # idf has no more rows than ``asked``
-    idf = raw.join(few(asked), [*by, "term"]).join(F.broadcast(mean), by or F.lit(True))
+    idf = raw.join(few(asked), [*by, "term"]).join(one(mean), by or F.lit(True))
     idf = idf.select("query_id", "term", "times", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     hits = words.select(*by, id_col, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(few(idf), [*by, "term"])
     tf = hits.groupBy("query_id", id_col, "term", "times", "idf", "dl", "avgdl").agg(F.count("*").alias("tf"))
@@ -133,7 +134,7 @@ def retrieve(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc
     A pool of max(4k, 10) by cosine per query, BM25 on the query's own pool, fusion of both rankings, and then ``rerank`` (a
     function of (query_id, query, id, text, rank) and k, see ``providers.rerank``) or the first ``k``.
     """
-    dense = top_per(dense_scores(rows, queries.select("query_id", "query_vector"), id_col), ["query_id"], max(4 * k, 10), id_col)
+    dense = dense_top(rows, queries, max(4 * k, 10), id_col)
     pool = dense.select("query_id", id_col).join(rows.select(id_col, "text"), id_col)
     sparse = bm25(pool, queries.select("query_id", "query"), id_col, own_pool=True).withColumn("score", F.round("score", 9))
     sparse = top_per(sparse, ["query_id"], max(4 * k, 10), id_col)

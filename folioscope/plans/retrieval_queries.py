@@ -84,6 +84,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(top, "score").select("query_id", "doc_id", "rank", "score")
 
 
+def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions with the number of one of the four texts."""
+    return probes(spark, sf_dir).withColumn("text_id", (F.floor(F.col("query_id") / 20) % 4 + 1).cast("int"))
+
+
 @query(f"""with {BM25}, sparse as (select query_id as text_id, doc_id, 1 as list, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from bm),
 d as (select p.vec_id as query_id, e.vec_id as doc_id, {COS} as score from embeddings e, embeddings p where p.vec_id % 20 = 0),
 dense as (select query_id, doc_id, 0 as list, row_number() over (partition by query_id order by score desc, doc_id) as rank from d),
@@ -95,15 +100,14 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and vectors share their ids: vector i stands for document i.  Every twentieth vector is a question, with one of
     the four texts in turn; BM25 ranks each text once."""
     texts = R.top_per(bm25_scores(spark, sf_dir).withColumn("score", F.round("score", 9)), ["query_id"], 25, "doc_id").withColumnRenamed("query_id", "text_id")
-    asked = probes(spark, sf_dir).select("query_id", (F.floor(F.col("query_id") / 20) % 4 + 1).cast("int").alias("text_id"))
-    sparse = asked.join(texts, "text_id").withColumn("list", F.lit(1))
+    sparse = asked_texts(spark, sf_dir).select("query_id", "text_id").join(texts, "text_id").withColumn("list", F.lit(1))
     dense = R.dense_top(read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), probes(spark, sf_dir), 25, "doc_id").withColumn("list", F.lit(0))
     fused = R.rrf(dense.unionByName(sparse.drop("text_id")), "doc_id").where("rank <= 5")
     return rounded(fused, "score").select("query_id", "doc_id", "rank", "score")
 
 
-POOLED = f"""qs as (select * from {sql_values(QUESTIONS, 'query_id, query')}),
-d as (select p.vec_id::int as query_id, e.vec_id as doc_id, {COS} as score from embeddings e join documents on doc_id = e.vec_id, embeddings p where p.vec_id in (1, 2, 3, 4)),
+POOLED = f"""qs as (select vec_id as query_id, query from embeddings join {sql_values(QUESTIONS, 'text_id, query')} on text_id = (vec_id // 20) % 4 + 1 where vec_id % 20 = 0),
+d as (select p.vec_id as query_id, e.vec_id as doc_id, {COS} as score from embeddings e join documents on doc_id = e.vec_id, embeddings p where p.vec_id % 20 = 0),
 dense as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from d) where rank <= 20),
 w as (select query_id, doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') as ts from dense join documents using (doc_id)),
 dl as (select query_id, doc_id, len(ts) as dl from w), st as (select query_id, count(*) as n, avg(dl) as avgdl from dl group by query_id),
@@ -120,11 +124,10 @@ fused as (select *, row_number() over (partition by query_id order by round(scor
 
 
 def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with the vector of their id, and the questions with vectors 1 to 4."""
+    """Documents with the vector of their id, and every twentieth vector as a question with one of the four texts in turn."""
     vectors = read(spark, sf_dir, "embeddings")
     rows = read(spark, sf_dir, "documents").select("doc_id", "text").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = vectors.where("vec_id in (1, 2, 3, 4)").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return rows, asked.join(values(spark, "query_id int, query string", QUESTIONS), "query_id")
+    return rows, asked_texts(spark, sf_dir).join(F.broadcast(values(spark, "text_id int, query string", QUESTIONS)), "text_id")  # four rows
 
 
 @query(f"with {POOLED} select query_id, doc_id, rank, round(score, 6) as score from fused where rank <= 5")
