@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import host_rules, license, mixing, near_dup, packing, piece_dropout, token_count, toxicity, voronoi, warc
+from folioscope.llm import hard_negatives, host_rules, license, mixing, near_dup, packing, piece_dropout, simhash, spelling, token_count, toxicity, voronoi, warc
 from folioscope.llm.shared import table
 
 
@@ -53,15 +53,31 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the rows get another label first, so that negatives stand close to positives."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), noise=spelling.NOISE)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op4_packed_ids, op5_voronoi_top_k, op6_license_scan, op7_warc_archive, op8_near_duplicates, op9_piece_dropout, op10_source_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_host_rules, op4_packed_ids, op5_voronoi_top_k, op6_license_scan, op7_warc_archive, op8_near_duplicates, op9_piece_dropout, op10_source_mix, op11_simhash, op12_hard_negatives, op13_spelling_variants, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     op3_host_rules.__name__: host_rules.ORACLE,
     op5_voronoi_top_k.__name__: voronoi.ORACLE,
     op7_warc_archive.__name__: warc.ORACLE,
     op10_source_mix.__name__: mixing.ORACLE,
+    op12_hard_negatives.__name__: hard_negatives.ORACLE,
 }
