@@ -14,9 +14,10 @@ Chance of losing a pair at exactly the threshold: (1 - 0.8^8)^64 < 1e-5 by bandi
 both vanish above it.
 
 Defined results: null texts count as empty; empty texts (no words) are copies of each other and link to nothing else;
-rows with a null id are returned with class_id null and no links unless their text has another id; repeated rows are
-copies; very long texts are shingled whole, one at a time; an empty table gives no rows; other columns, whatever their
-names, are ignored by ``join_near`` and kept by ``keep_one``.  Ids are numbers (or null): others are an error.
+rows with a null id are compared like others, and class_id is null where a class has no other id; repeated rows are copies and
+change no count of links; one id on several texts has a row for each, in the class of that text; very long texts are shingled
+whole, one at a time; an empty table gives no rows; other columns, whatever their names, are ignored by ``join_near`` and kept by
+``keep_one``.
 """
 
 from __future__ import annotations
@@ -299,16 +300,20 @@ def block_pairs(blocks, block):
     return F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.struct(F.least(block, c).alias("p"), F.greatest(block, c).alias("q")))
 
 
-def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, class_id (smallest id of all that are linked, directly or not), n_links (other texts
-    with a similarity of at least 0.8) and n_copies (rows with the same text, itself included)."""
-    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+def text_key(text):
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, key (the text's hash), class_id, n_links and n_copies; see ``join_near``.
+
+    Texts, not ids, are what is compared: each distinct one has a number of its own, however many rows and ids it stands on.
+    """
+    texts = docs.select(column(id_col).alias("id"), text_key(column(text_col)).alias("key"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     sketch = F.pandas_udf(sketched, "n long, sig binary, bands array<long>").asNondeterministic()
-    key = F.unhex(F.sha2("text", 256))
-    keys = scratch(texts.select("id", key.alias("key"), sketch("text").alias("s")).select("id", "key", "s.*"), "sketches")
-    classes = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
-    first = classes.select(F.col("rep").alias("id"), "key")
-    reps = scratch(keys.join(first, ["id", "key"], "left_semi").dropDuplicates(["id"]), "texts")
+    keys = scratch(texts.select("id", "key", sketch("text").alias("s")).select("id", "key", "s.*"), "sketches")
+    per_text = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n", "sig", "bands")))
+    reps = scratch(per_text.withColumn("id", F.monotonically_increasing_id()), "texts")  # id: from here on a text's number
 
     # Buckets with two members or more, in blocks; every pair of blocks of a bucket meets in one task.
     rows = reps.select("id", F.explode("bands").alias("band"))
@@ -321,10 +326,11 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     clusters = components(edges)
 
     # A cluster's shingles, in blocks of bounded size.
-    sized = scratch(clusters.join(reps.select("id", "n", "sig"), "id"), "clustered")
+    sized = scratch(clusters.join(reps.select("id", "key", "n", "sig"), "id"), "clustered")
     make = F.pandas_udf(shingled, "binary").asNondeterministic()
-    # The few ids are what tasks hold of this join: the texts need no sorting.
-    sets = scratch(texts.join(sized.select("id").hint("shuffle_hash"), "id").select("id", make("text").alias("shingles")), "shingles")
+    # Copies of a text go before the shuffle.  The few keys are what tasks hold of the join: the texts need no sorting for it.
+    sets = texts.select("key", "text").dropDuplicates(["key"]).join(sized.select("id", "key").hint("shuffle_hash"), "key")
+    sets = scratch(sets.select("id", make("text").alias("shingles")), "shingles")
     totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("texts"))
     blocks = F.ceil(F.greatest(F.col("total") / CLUSTER_BLOCK, F.least(F.col("texts") / CLUSTER_TEXTS, F.lit(float(CLUSTER_SPREAD))), F.lit(1.0))).cast("int")
     placed = sized.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -334,10 +340,13 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     links = scratch(met.mapInArrow(cluster_links, "id long, links long, root long"), "links")
     degrees = links.groupBy("id").agg(F.sum("links").alias("links"))
     final = components(links.select(F.col("root").alias("a"), F.col("id").alias("b")))
-    found = degrees.join(final, "id", "left").select(F.col("id").alias("rep"), "links", "component")
-    classes = scratch(classes.join(found, "rep", "left").select("key", "rep", "n_copies", "links", "component"), "classes")
-    class_id = F.coalesce("component", "rep").alias("class_id")
-    result = [F.col("id").alias(id_col), class_id, F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies"]
+    # A class is named by its smallest id.
+    named = final.join(reps.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("smallest"))
+    found = degrees.join(final.join(named, "component").select("id", "component", "smallest"), "id", "left")
+    class_id = F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("smallest")).alias("class_id")
+    classes = reps.select("id", "key", "rep", "n_copies").join(found, "id", "left")
+    classes = scratch(classes.select("key", "n_copies", class_id, F.coalesce("links", F.lit(0)).alias("n_links")), "classes")
+    result = ["id", "key", "class_id", "n_links", "n_copies"]
     often = F.col("n_copies") > max(64, keys.count() // HOT_SHARE)
     hot = F.broadcast(classes.where(often))  # HOT_SHARE rows at most
     mine = keys.select("id", "key")
@@ -345,10 +354,15 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return mine.join(hot, "key").select(*result).unionByName(rest.select(*result))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the id, class_id (smallest id of all that are linked, directly or not), n_links (other texts
+    with a similarity of at least 0.8) and n_copies (rows with the same text, itself included)."""
+    return classed(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those whose class has a smaller id: one document of each class stays (rows that repeat
-    its id with it, and rows with a null id)."""
-    gone = join_near(docs, id_col=id_col, **options)
-    gone = gone.where(column(id_col) != F.col("class_id")).select(column(id_col).alias("gone")).distinct()
-    rows = docs.select(whole_row(docs), column(id_col).alias("own"))
-    return rows.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")
+    its id within the class with it, and rows with a null id)."""
+    gone = classed(docs, id_col, text_col).where(F.col("id") != F.col("class_id")).select(F.col("id").alias("gone"), F.col("key").alias("gone_key")).distinct()
+    rows = docs.select(whole_row(docs), column(id_col).alias("own"), text_key(column(text_col)).alias("own_key"))
+    return rows.join(gone, (F.col("own") == F.col("gone")) & (F.col("own_key") == F.col("gone_key")), "left_anti").select("row.*")

@@ -249,6 +249,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert got == want
 
 
+def test_repeated_rows_and_ids_on_two_texts_change_no_links(spark):
+    texts = corpus()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    near = [i for i, (_, links, _) in classes_by_hand(texts).items() if links][:6]
+    plain = near_dup.join_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {r.doc_id: (r.class_id, r.n_links) for r in plain}
+    more = rows + [(i, texts[i]) for i in near for _ in range(3)] + [(None, texts[near[0]])]
+    got = near_dup.join_near(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert len(got) == len(more) and all((r.class_id, r.n_links) == want[near[0] if r.doc_id is None else r.doc_id] for r in got)
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    two = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (3, "alone"), (None, b + " y")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in near_dup.join_near(two).collect())
+    assert got == Counter([(1, 1, 1), (2, 1, 1), (1, 1, 2), (3, 1, 2), (3, 3, 0), (None, 1, 2)])
+    assert Counter((r.doc_id, r.text) for r in near_dup.keep_one(two).collect()) == Counter([(1, a), (1, b), (3, "alone"), (None, b + " y")])
+
+
 def test_near_duplicates_on_odd_rows(spark, odd_docs, no_docs):
     got = near_dup.join_near(odd_docs).collect()
     assert len(got) == odd_docs.count() and near_dup.join_near(no_docs).count() == 0
