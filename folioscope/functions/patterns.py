@@ -140,3 +140,12 @@ DECLINES = (
     "abstain", "missing", "not found", "no ", "none", "i could not", "i cannot", "i can't", "could not verify", "cannot verify", "could not find",
     "cannot find", "unable to", "does not contain", "doesn't contain", "no such", "not present", "not applicable", "n/a",
 )
+
+# What opens and ends a list of names in a question, and the numbers of an answer.
+COMPARING = r"(?i)\b(?:compare|versus|vs\.?|difference between|contrast)\b"
+COMPARED_ENDS = r"(?i)\b(?:in|for|from|during|between|with|and their|revenue|margin|profit|sales|income|rate|growth|clause)\b"
+FOR_EACH = r"(?i)\bfor each (?:of (?:the )?)?(?:the (?:following\b)?)?"
+EACH_ENDS = r"(?i)\s*[.?!]\s*|\b(?:provide|give|state|list|show|tell)\b"
+LIST_LABEL = r"^(?:\w+\s+)?\w+\s*:\s*"
+LIST_SPLIT = r"\s*(?:,\s*(?:and\s+)?|(?:\s+and\s+))\s*"
+ANSWER_NUMBER = r"-?\$?\(?\d[\d,]*(?:\.\d+)?\)?%?"

@@ -36,7 +36,7 @@ def authorised(requests: DataFrame) -> DataFrame:
 
 
 def visible(vaults: DataFrame, members: DataFrame, staffed: DataFrame, screens: DataFrame) -> DataFrame:
-    """(user_id, vault_id) that each member sees: partners their firm's, others what they own or are staffed on; screens take away.
+    """(user_id, vault_id) that each member sees: partners their firm's, others what they own or are staffed on within their firm; screens take away.
 
     vaults: vault_id, firm_id, owner_id; members: user_id, firm_id, role; staffed: user_id, vault_id; screens: user_id,
     vault_id, removed_at.
@@ -44,8 +44,10 @@ def visible(vaults: DataFrame, members: DataFrame, staffed: DataFrame, screens:
     partners = members.where(F.col("role").isin("managing_partner", "senior_partner", "partner"))
     by_firm = vaults.join(partners, "firm_id").select("user_id", "vault_id")
     owned = vaults.select(F.col("owner_id").alias("user_id"), "vault_id").join(members.select("user_id"), "user_id", "left_semi")
+    of_member = staffed.select("user_id", "vault_id").join(members.select("user_id", "firm_id"), "user_id")
+    own_firm = of_member.join(vaults.select("vault_id", "firm_id"), ["vault_id", "firm_id"]).select("user_id", "vault_id")
     active = screens.where("removed_at is null").select("user_id", "vault_id")
-    return by_firm.unionByName(owned).unionByName(staffed.select("user_id", "vault_id")).distinct().join(active, ["user_id", "vault_id"], "left_anti")
+    return by_firm.unionByName(owned).unionByName(own_firm).distinct().join(active, ["user_id", "vault_id"], "left_anti")
 
 
 def policy_view(rows: DataFrame, grants: DataFrame, user) -> DataFrame:

@@ -196,7 +196,7 @@ def clean_metadata(metadata: Column) -> Column:
 
 def table_description(text: Column) -> Column:
     """The first five non-blank lines, joined by spaces, in 200 characters."""
-    full = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    full = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.array_join(F.slice(full, 1, 5), " "), 1, 200)
 
 

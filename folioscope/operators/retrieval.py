@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import cosine
-from folioscope.operators.common import is_small, small
+from folioscope.operators.common import is_small, small, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -185,6 +185,33 @@ def routed(docs: DataFrame, query_vector: Column, query: Column) -> DataFrame:
     return docs.withColumn("route_score", F.when(F.col("topic").isNotNull(), cosine(F.col("topic"), query_vector)).otherwise(named))
 
 
+def keyword_relevance(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, relevance): the share of each question's (query_id, query) distinct words that a document (id, text) holds, for
+    the ``most`` best documents and what ties with nothing: documents without any of the words fill up, by id.
+
+    Documents meet questions by words; no pair without a common word is made, but for those that fill up.
+    """
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words"))
+    per_word = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    held = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    hits = held.join(per_word, "word").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("relevance"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id"))
+    hits = hits.withColumn("place", best).where(F.col("place") <= most).drop("place")
+    # 2 * most ids hold as many without a common word, or the question has ``most`` with one
+    few = docs.select("id").distinct().orderBy("id").limit(2 * most)
+    rest = small(few).join(asked.select("query_id"), F.lit(True)).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return hits.unionByName(rest.select("query_id", "id", F.lit(0.0).alias("relevance"))).withColumn("place", best).where(F.col("place") <= most).drop("place")
+
+
+def route(docs: DataFrame, queries: DataFrame, k: int = 12, weight: float = 0.7, ahead: int = 96) -> DataFrame:
+    """(query_id, id, rank, relevance): the ``k`` documents (id, topic, summary, filename) that each question (query_id, query,
+    query_vector) goes to: by the cosine with the topic vector, else by the question's words in the summary, else in the file name,
+    chosen so that they differ.  Narrow ``docs`` first (``scope.narrowed``)."""
+    topics = docs.where("topic is not null").select("id", F.col("topic").alias("embedding"))
+    words = docs.where("topic is null").select("id", F.coalesce(F.nullif(F.trim("summary"), F.lit("")), F.regexp_replace("filename", r"[^A-Za-z0-9]+", " ")).alias("text"))
+    return diverse_top(topics, queries, k, weight, "id", ahead, keyword_relevance(words, queries, ahead + 1 + k))
+
+
 def mmr_order(ids: np.ndarray, relevance: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> list[tuple[int, float]]:
     """Greedy choice by weight x relevance - (1 - weight) x largest similarity to what is chosen; the first of equals wins."""
     order = np.lexsort((ids, -relevance))
@@ -210,7 +237,7 @@ def mmr(candidates: DataFrame, k: int = 12, weight: float = 0.7) -> DataFrame:
     Each of the ``k`` steps is a scan in which tasks find the best candidate of each query among theirs; the driver holds
     the ``k`` chosen vectors of each query, which tell how near a candidate is to what is chosen.
     """
-    spark, pool = candidates.sparkSession, candidates.persist(StorageLevel.MEMORY_AND_DISK)
+    spark, pool = candidates.sparkSession, candidates.where("query_id is not null and id is not null and relevance is not null and embedding is not null").persist(StorageLevel.MEMORY_AND_DISK)
     chosen: dict[int, list] = {}
 
     def step():
@@ -258,6 +285,115 @@ def mmr(candidates: DataFrame, k: int = 12, weight: float = 0.7) -> DataFrame:
     return spark.createDataFrame(out, "query_id long, id long, rank int, relevance double")
 
 
+def diverse_top(rows: DataFrame, queries: DataFrame, k: int = 12, weight: float = 0.7, id_col: str = "id", ahead: int = 96, rated: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, rank, relevance): for each question (query_id, query_vector) ``k`` of the rows (id, embedding), chosen one by
+    one by ``weight`` x cosine - (1 - ``weight``) x largest cosine with what is chosen; the more relevant of equals wins, then the
+    smaller id.  Where there are no more than ``k`` rows they are ranked by relevance.
+
+    Lazy greedy in turns.  Values only fall as more is chosen, so in each turn every pair of a block of questions and a block of
+    rows gives its ``ahead`` + 1 best as of now, and the best of all are taken one after the other as long as the next is not
+    behind the last of them, which bounds all that was not sent.  A turn chooses one row at least, and mostly all of them; what
+    is chosen is a table, and questions that have their rows drop out.
+
+    ``rated`` (query_id, id, relevance): rows without a vector, which are like nothing that is chosen.
+
+    Rows and questions without an id, and vectors that are null, of another length, or not finite take no part; repeated rows
+    count once; a zero vector has the relevance 0.
+    """
+    asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("v")).dropDuplicates(["query_id"])
+    data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v")).dropDuplicates(["id"])
+    ahead = max(ahead, k)  # so that the first turn tells whether there are more than k rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    r_parts = max(1, -(-data.count() // ROW_BLOCK))
+    n_asked = asked.count()
+    q_parts = max(1, -(-n_asked // GROUPED_BLOCK), min(n_asked, cores // r_parts))
+    block = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    to_rows = data.withColumn("rb", block("id", r_parts)).select("*", every(q_parts).alias("qb"))
+    asked = asked.withColumn("qb", block("query_id", q_parts)).withColumns({"ids": F.array().cast(f"array<{dict(data.dtypes)['id']}>"), "chosen": F.array().cast("array<double>"), "relevances": F.array().cast("array<double>"), "open": F.lit(True)})
+    kind = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(data.dtypes)['id']}, relevance double, value double, v array<double>"
+    state = f"query_id {dict(asked.dtypes)['query_id']}, v array<double>, qb int, ids array<{dict(data.dtypes)['id']}>, chosen array<double>, relevances array<double>, open boolean"
+
+    def offered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for length, some in right.groupby(right["v"].map(len)):
+            mine = left[left["v"].map(len) == length]
+            if mine.empty:
+                continue
+            ids, units, at = unit_rows(some.sort_values("id", kind="stable"), "id")
+            vectors = some.sort_values("id", kind="stable")["v"].iloc[at].to_numpy()
+            questions, asking, of = unit_rows(mine, "query_id")
+            for q, ask, i in zip(questions, asking, of):
+                relevance = np.round(units @ ask, 12) + 0.0
+                value = weight * relevance
+                if len(mine["chosen"].iloc[i]):
+                    value = value - (1 - weight) * np.round(units @ unit(np.reshape(mine["chosen"].iloc[i], (-1, length))).T, 12).max(axis=1)
+                value = np.where(np.isin(ids, mine["ids"].iloc[i]), -np.inf, np.round(value, 12))
+                near = np.arange(len(ids)) if len(ids) <= ahead + 1 else np.flatnonzero(value >= np.partition(value, -(ahead + 1))[-(ahead + 1)])
+                near = near[np.lexsort((near, -relevance[near], -value[near]))][: ahead + 1]  # ids ascend with the place
+                near = near[value[near] > -np.inf]
+                out.append(pd.DataFrame({"query_id": q, "id": ids[near], "relevance": relevance[near], "value": value[near], "v": vectors[near]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "id", "relevance", "value", "v"], dtype=object)
+
+    def choose(questions: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        question = questions.iloc[0]
+        ids, relevances = list(question["ids"]), list(question["relevances"])
+        chosen = list(np.reshape(question["chosen"], (-1, len(question["v"]))))  # a row's vectors stand one after the other
+        found = found.sort_values(["value", "relevance", "id"], ascending=[False, False, True]).reset_index(drop=True)
+        has = found["v"].notna().to_numpy()
+        whole = len(found) <= ahead
+        if len(found):
+            last = found.iloc[-1]
+            units = np.zeros((len(found), len(question["v"])))
+            if has.any():
+                units[has] = unit(np.stack([np.asarray(v, np.float64) for v in found["v"][has]]))
+            nearest = np.full(len(found), -np.inf)
+            if chosen:
+                nearest = np.round(units @ unit(np.array(chosen, np.float64)).T, 12).max(axis=1)
+            free = np.ones(len(found), bool)
+            relevance, own = found["relevance"].to_numpy(), found["id"].to_numpy()
+            if whole and not ids and len(found) <= k:
+                order = np.lexsort((own, -relevance))
+                ids, relevances = own[order].tolist(), relevance[order].tolist()
+                free[:] = False
+            while free.any() and len(ids) < k:
+                value = np.round(weight * relevance - (1 - weight) * np.where(has & ~np.isinf(nearest), nearest, 0), 12)
+                open_ = np.flatnonzero(free)
+                i = open_[np.lexsort((own[open_], -relevance[open_], -value[open_]))[0]]
+                if not whole and (-value[i], -relevance[i], own[i]) > (-last["value"], -last["relevance"], last["id"]):
+                    break
+                ids.append(own[i])
+                relevances.append(float(relevance[i]))
+                free[i] = False
+                if has[i]:
+                    chosen.append(found["v"].iloc[i])
+                    nearest = np.maximum(nearest, np.round(units @ units[i], 12))
+        chosen = np.concatenate([np.asarray(c, np.float64) for c in chosen]).tolist() if chosen else []
+        return pd.DataFrame([(question["query_id"], question["v"], question["qb"], ids, chosen, relevances, len(ids) < k and not whole)], columns=["query_id", "v", "qb", "ids", "chosen", "relevances", "open"])
+
+    done = None
+    if rated is not None:
+        first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id"))
+        rated = rated.where("query_id is not null and id is not null and relevance is not null").dropDuplicates(["query_id", "id"]).withColumn("place", first).where(F.col("place") <= ahead + 1 + k).drop("place")
+        rated = written(rated, "rated")
+    for _ in range(k):
+        now = asked.select("*", every(r_parts).alias("rb"))
+        offers = now.groupBy("qb", "rb").cogroup(to_rows.groupBy("qb", "rb")).applyInPandas(offered, kind)
+        if rated is not None:
+            left = rated.join(asked.select("query_id", "ids"), "query_id").where(~F.array_contains("ids", F.col("id")))
+            left = left.select("query_id", "id", "relevance", F.round(weight * F.col("relevance"), 12).alias("value"), F.lit(None).cast("array<double>").alias("v"))
+            offers = offers.unionByName(left)
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), F.desc("relevance"), "id"))
+        offers = offers.withColumn("place", best).where(F.col("place") <= ahead + 1).drop("place")
+        asked = written(asked.groupBy("query_id").cogroup(offers.groupBy("query_id")).applyInPandas(choose, state), "choices")
+        done = asked.where(~F.col("open")) if done is None else done.unionByName(asked.where(~F.col("open")))
+        asked = asked.where("open")
+        if asked.isEmpty():
+            break
+    taken = done.select("query_id", F.posexplode(F.arrays_zip("ids", "relevances")).alias("at", "x"))
+    return taken.select("query_id", F.col("x.ids").alias(id_col), (F.col("at") + 1).cast("int").alias("rank"), F.col("x.relevances").alias("relevance"))
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(vectors, axis=1)
     return vectors / np.where(size == 0, 1, size)[:, None]
@@ -269,24 +405,34 @@ def exact_key(query: Column) -> Column:
 
 def nearest_entries(asked: DataFrame, entries: list, threshold: float) -> DataFrame:
     """(query_id, near_id, score) of each asked (query_id, query_vector) that some entry (entry_id, embedding) of a bounded list is
-    similar enough to; scores within 1e-12 are equal, and the smallest id of equals wins."""
+    similar enough to; scores within 1e-12 are equal, and the smallest id of equals wins.  Vectors meet those of their own length;
+    what is null or not finite takes no part."""
     kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, near_id long, score double"
     if not entries:
         return asked.sparkSession.createDataFrame([], kind)
-    entries = sorted(entries, key=lambda r: r["entry_id"])
-    ids = np.array([r["entry_id"] for r in entries], np.int64)
-    units = unit(np.stack([np.asarray(r["embedding"], np.float64) for r in entries]))
-    shared = asked.sparkSession.sparkContext.broadcast((ids, units))
+    by_length: dict[int, list] = {}
+    for r in sorted(entries, key=lambda r: r["entry_id"]):
+        v = np.asarray(r["embedding"], np.float64)
+        if len(v) and np.isfinite(v).all():
+            by_length.setdefault(len(v), []).append((r["entry_id"], v))
+    kept = {n: (np.array([i for i, _ in rows], np.int64), unit(np.stack([v for _, v in rows]))) for n, rows in by_length.items()}
+    shared = asked.sparkSession.sparkContext.broadcast(kept)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, units = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                scores = unit(np.stack([np.asarray(v, np.float64) for v in part["query_vector"]])) @ units.T
-                best = (scores >= scores.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
-                found = pd.DataFrame({"query_id": part["query_id"].to_numpy(), "near_id": ids[best], "score": scores[np.arange(len(part)), best]})
-                yield found[found["score"] >= threshold]
+            for length, same in batch.groupby(batch["query_vector"].map(len)):
+                if length not in shared.value:
+                    continue
+                ids, units = shared.value[length]
+                for at in range(0, len(same), 1024):
+                    part = same.iloc[at : at + 1024]
+                    questions, asking, _ = unit_rows(part.rename(columns={"query_vector": "v"}), "query_id")
+                    if not len(questions):
+                        continue
+                    scores = asking @ units.T
+                    best = (scores >= scores.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
+                    found = pd.DataFrame({"query_id": questions, "near_id": ids[best], "score": scores[np.arange(len(questions)), best]})
+                    yield found[found["score"] >= threshold]
 
     return asked.where("query_vector is not null").select("query_id", "query_vector").mapInPandas(nearest, kind)
 

@@ -182,5 +182,5 @@ def rendered(template: Column, params: Column) -> Column:
 
 def request_columns(items: Column, most: int = 10) -> Column:
     """The columns of a grid that a free text asks for, one per line that is not blank: key, label (40 characters) and kind."""
-    asked = F.slice(F.filter(F.transform(F.split(F.replace(F.coalesce(items, F.lit("")), F.lit("\\n"), F.lit("\n")), "\n"), F.trim), lambda x: x != ""), 1, most)
+    asked = F.slice(F.filter(F.transform(F.split(F.replace(F.coalesce(items, F.lit("")), F.lit("\\n"), F.lit("\n")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
     return F.transform(asked, lambda x, i: F.struct(F.concat(F.lit("item_"), i.cast("string")).alias("key"), F.substring(x, 1, 40).alias("label"), F.lit("clause").alias("kind")))

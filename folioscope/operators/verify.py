@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from folioscope.functions import patterns as P
+from folioscope.operators.kernel import parse_cell
 
 SCALES = (1.0, 1e-3, 1e3, 1e-6, 1e6)
 
@@ -47,20 +48,43 @@ def bin_of(x: Column, tolerance: float) -> Column:
     return F.floor(steps / 2)
 
 
-def traced(found: DataFrame, cells: DataFrame, key: str, tolerance: float = 0.01, scales: tuple[float, ...] = SCALES) -> DataFrame:
+def traced(found: DataFrame, cells: DataFrame, key: str, tolerance: float = 0.01, scales: tuple[float, ...] = SCALES, least: float = 1.0) -> DataFrame:
     """``found`` (key, token, x) with ``traces``: whether some cell (value), at some scale, is within the relative tolerance.
 
+    Cells below ``least`` count as ``least`` when the tolerance is taken.  With a ``least`` of 0 cells of 0 stand for what is
+    below the tolerance; else they stand for nothing.
+
     The join is on bins: each scaled value is put in its bin and both neighbours, so it is an equi join, and
     values of one bin are pre-aggregated to their distinct ones.
     """
-    scaled = cells.select(F.explode(F.array(*(F.abs("value") * s for s in scales))).alias("v")).where("v > 0").distinct()
+    scaled = cells.select(F.explode(F.array(*(F.abs("value") * s for s in scales))).alias("v")).where("v > 0" if least else "v >= 0").distinct()
     binned = scaled.withColumn("bin", F.explode(F.array(*(bin_of(F.col("v"), tolerance) + d for d in (-1, 0, 1)))))
-    near = F.abs(F.col("x") - F.col("v")) <= tolerance * F.greatest(F.col("v"), F.lit(1.0))
+    near = F.abs(F.col("x") - F.col("v")) <= tolerance * F.greatest(F.col("v"), F.lit(least))
+    near = near if least else near | ((F.col("v") == 0) & (F.col("x") < tolerance))
     asked = found.withColumn("bin", bin_of(F.col("x"), tolerance))
     hits = asked.join(binned, "bin").where(near).select(key, "token").distinct().withColumn("traces", F.lit(True))
     return found.join(hits, [key, "token"], "left").withColumn("traces", F.coalesce("traces", F.lit(False)))
 
 
+def numbers(texts: DataFrame, key: str) -> DataFrame:
+    """(key, token, x): the distinct numbers of each text by size, without years and without whole numbers below 100."""
+    found = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(P.ANSWER_NUMBER), F.lit(0)))).alias("token"))
+    kept = found.where(~F.regexp_replace("token", r"^[()$%,]+|[()$%,]+$", "").rlike(r"^(19|20)\d{2}$")).withColumn("x", F.abs(parse_cell(F.col("token"))))
+    return kept.where("x is not null").where(F.col("token").rlike("[.,]") | (F.col("x") >= 100))
+
+
+def number_check(texts: DataFrame, allowed: DataFrame, key: str, tolerance: float = 0.01) -> DataFrame:
+    """One row per text (key, text): numbers checked, those that stand for no allowed value, groundedness (1 without numbers), ok.
+
+    allowed: value, of source cells and of computed results; a number stands for one within ``tolerance`` of it, whatever their signs.
+    """
+    found = numbers(texts, key)
+    per = traced(found, allowed, key, tolerance, scales=(1.0,), least=0.0).groupBy(key).agg(F.count("*").alias("checked"), F.count_if(~F.col("traces")).alias("ungrounded"))
+    whole = texts.select(key).join(per, key, "left").na.fill(0, ["checked", "ungrounded"])
+    share = F.coalesce(F.try_divide(F.col("ungrounded"), F.col("checked")), F.lit(0.0))
+    return whole.withColumn("groundedness", F.round(1 - share, 6)).withColumn("ok", F.col("ungrounded") == 0)
+
+
 def figure_check(texts: DataFrame, cells: DataFrame, key: str, tolerance: float = 0.01) -> DataFrame:
     """One row per text (key, text): figures checked and untraced, groundedness (1 without figures), whether cells exist to decide
     by, and ok: figures that nothing can decide on fail, texts without figures pass."""
@@ -184,10 +208,19 @@ def sections(texts: DataFrame, key: str) -> DataFrame:
 
 
 def entities_asked(question: Column) -> Column:
-    """Names listed after "compare" or "for each of", by commas and "and"."""
-    said = F.regexp_extract(question, r"(?i)\b(?:compare|for each of|between)\s+([^?.]+)", 1)
-    named = F.regexp_replace(said, r"(?i)\s+(?:in|for|on|by|with respect to|over)\s+.*$", "")
-    return F.filter(F.transform(F.split(named, r"(?i),\s*(?:and\s+)?|\s+and\s+|\s+versus\s+|\s+vs\.?\s+"), F.trim), lambda e: e != "")
+    """The names that a question lists after a word of comparison, or else after "for each", by commas and "and".
+
+    The list ends before what is asked of the names; a label with a colon before it goes.  Fewer than two names are no list.
+    """
+
+    def listed(opening: str, closing: str, label: str | None = None) -> Column:
+        tail = F.trim(F.try_element_at(F.split(F.trim(question), opening, 2), F.lit(2)))
+        tail = tail if label is None else F.regexp_replace(tail, label, "")
+        names = F.transform(F.split(F.try_element_at(F.split(tail, closing, 2), F.lit(1)), P.LIST_SPLIT), lambda x: F.trim(x))
+        names = F.filter(names, lambda e: e != "")
+        return F.when(F.size(names) > 1, names)
+
+    return F.coalesce(listed(P.COMPARING, P.COMPARED_ENDS), listed(P.FOR_EACH, P.EACH_ENDS, P.LIST_LABEL), F.array().cast("array<string>"))
 
 
 #: A digit, or one of the words as a whole; not ``\\b``, which engines take differently beside letters beyond ASCII.

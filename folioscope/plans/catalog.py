@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import derived_queries, govern_queries, ingest_queries, kernel_queries, more_queries, registry, retrieval_queries, review_queries, stream_queries, table_queries, verify_queries  # noqa: F401
+from folioscope.plans import derived_queries, gate_queries, govern_queries, ingest_queries, kernel_queries, more_queries, registry, retrieval_queries, review_queries, stream_queries, table_queries, verify_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -136,7 +136,8 @@ staffed as (select c_custkey % 50 + 1 as user_id, c_custkey as vault_id from cus
 walls as (select c_custkey % 100 + 1 as user_id, c_custkey as vault_id from customer where c_custkey % 4 = 0 and c_custkey % 8 <> 0)"""
 
 
-@query(f"""with {VAULTS}, s as (select user_id, vault_id from vaults join members using (firm_id) where role = 'partner' union select owner_id, vault_id from vaults where owner_id in (select user_id from members) union select user_id, vault_id from staffed)
+@query(f"""with {VAULTS}, s as (select user_id, vault_id from vaults join members using (firm_id) where role = 'partner' union select owner_id, vault_id from vaults where owner_id in (select user_id from members)
+  union select s.user_id, s.vault_id from staffed s join members m on m.user_id = s.user_id join vaults v on v.vault_id = s.vault_id and v.firm_id = m.firm_id)
 select user_id, vault_id from s where (user_id, vault_id) not in (select (user_id, vault_id) from walls)""")
 def visible_minus_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.visible(*_vault_tables(spark, sf_dir)).select("user_id", "vault_id")

@@ -196,10 +196,22 @@ def keyword_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five questions, each with all vectors as candidates; every chosen vector is a step of its question."""
-    asked = probes(spark, sf_dir).where("query_id < 100")
-    found = R.dense_scores(read(spark, sf_dir, "embeddings"), asked, "vec_id", ("embedding",))
-    return rounded(R.mmr(found.select("query_id", F.col("vec_id").alias("id"), F.col("score").alias("relevance"), "embedding")), "relevance")
+    """Every twentieth vector asks, with all vectors as candidates."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return rounded(R.diverse_top(rows, asked), "relevance")
+
+
+@query()
+def routed_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector asks, with its document's source and language as words, for documents of a year or of none that is
+    known; even ones have a topic vector."""
+    vectors, docs = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents")
+    both = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    year = F.when(F.col("doc_id") % 3 > 0, F.lit(2020) + F.col("doc_id") % 3)
+    held = both.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("embedding")).alias("topic"), F.col("text").alias("summary"), F.concat("source", F.lit(".pdf")).alias("filename"), year.alias("fiscal_year"))
+    asked = both.where("doc_id % 20 = 0 and embedding is not null").select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "source", "lang").alias("query"), F.col("embedding").alias("query_vector"))
+    return rounded(R.route(S.narrowed(held, {"fiscal_year": 2021}), asked), "relevance")
 
 
 ROUTES = [(1, "a-2023.pdf", None, [1.0, 0.0], 2023), (2, "lease agreement.pdf", "rent and deposit terms", None, None), (3, "b_2022.pdf", None, None, 2022), (4, "growth.pdf", "", None, 2023)]

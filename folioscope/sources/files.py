@@ -5,10 +5,12 @@ from __future__ import annotations
 import email
 import email.policy
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folioscope.operators.ingest import html_to_text, repair_bytes, size_queue
 
@@ -76,29 +78,39 @@ def type_of_mime(mime: Column) -> Column:
     return F.coalesce(*(F.when(mime == m, t) for m, t in MIME_TYPES.items()))
 
 
+def chunk_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table of a chunk sink.  Namespaces are text: read without a schema, "001" would come back as the number 1."""
+    kinds = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, StringType()) if f.name == "namespace" else f for f in kinds])).parquet(path)
+
+
 def read_chunks(spark: SparkSession, path: str, doc_id=None) -> DataFrame:
-    chunks = spark.read.parquet(path)
+    chunks = chunk_table(spark, path)
     return (chunks if doc_id is None else chunks.where(F.col("doc_id") == doc_id)).orderBy("doc_id", "chunk_index")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Upserts chunks by namespace, one row per (doc_id, chunk_index): what the namespace holds under other keys stays, and other
-    namespaces are not touched.  A tenant's scan reads its own files only.
+    namespaces are not touched, however much their names look alike.  A tenant's scan reads its own files only.
 
     The merged namespaces are written to a folder beside ``path`` first, as they can't be read and overwritten at once.
     """
     spark, key = chunks.sparkSession, ["namespace", "doc_id", "chunk_index"]
     one = Window.partitionBy(*key).orderBy("text")
-    fresh = chunks.withColumn("place", F.row_number().over(one)).where("place = 1").drop("place")
+    fresh = chunks.withColumn("namespace", F.col("namespace").cast("string")).withColumn("place", F.row_number().over(one)).where("place = 1").drop("place")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
     staged = f"{path.rstrip('/')}__staged"
     if files.exists(where):
-        old = spark.read.parquet(path)
-        old = old.join(fresh.select("namespace").distinct(), "namespace", "left_semi").join(fresh.select(*key), key, "left_anti")
+        old = chunk_table(spark, path)
+        named = fresh.select(F.col("namespace").alias("named")).distinct()
+        again = fresh.select(*(F.col(c).alias(f"fresh_{c}") for c in key))
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"fresh_{c}")) for c in key))
+        old = old.join(named, F.col("namespace").eqNullSafe(F.col("named")), "left_semi").join(again, same, "left_anti")
         fresh = fresh.unionByName(old.select(*(F.col(c).cast(fresh.schema[c].dataType) for c in fresh.columns if c in old.columns)), allowMissingColumns=True)
+        kinds = fresh.schema
         fresh.write.mode("overwrite").parquet(staged)
-        fresh = spark.read.parquet(staged)
+        fresh = spark.read.schema(kinds).parquet(staged)
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(path)
     files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
