@@ -163,7 +163,7 @@ def test_lines_from_words_and_spans(spark):
     spans = tables.span_numbers(lines)
     assert [(r.label, r.kind) for r in spans.orderBy("line").collect()] == [("Assets", "header"), ("Cash", "row"), ("Leases 2.18", "over"), ("Common shares", "fragment"), ("outstanding", "over"), ("Total", "row")]
     built = {r.label: r["values"] for r in tables.span_rows(spans).collect()}
-    assert built == {"Assets": [], "Cash": ["1,234", "2,000"], "Leases 2.18 900": ["–", "800"], "Common shares 24,000 outstanding 7,519": ["120", "130"], "Total": ["5,000", "6,000"]}
+    assert built == {"Assets": [], "Cash": ["1,234", "2,000"], "Leases 2.18 900 – 800": [], "Common shares 24,000 outstanding 7,519": ["120", "130"], "Total": ["5,000", "6,000"]}
     assert [r.prose for r in tables.is_prose_span(spans).collect()] == [False]
 
 
