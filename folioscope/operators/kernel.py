@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
+from folioscope.operators.common import written
 from folioscope.operators.scope import is_aggregate_request, is_lineitem
 
 CELLS = "doc string, table_id string, row_ix int, section string, label string, period string, period_ix int, raw string"
@@ -49,14 +50,51 @@ def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+def grams(text: Column, longest: int = 3) -> Column:
+    """The distinct pieces of a text, of up to ``longest`` letters."""
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.filter(F.array_distinct(F.flatten(F.array(*map(pieces, range(1, longest + 1))))), lambda g: g != "")
+
+
+def longest_grams(text: Column, longest: int = 3) -> Column:
+    n = F.least(F.length(text), F.lit(longest))
+    return F.filter(grams(text, longest), lambda g: F.length(g) == n)
+
+
+def label_pairs(have: DataFrame, want: DataFrame) -> DataFrame:
+    """(have, want, fit) of distinct normalised labels that fit each other: 2 if they are equal, 1 if one holds the other.
+
+    An inverted index of pieces of letters: a label that is held by another has all its pieces there, so it looks only
+    where its rarest one is, and only those labels are compared.
+    """
+    equal = have.select("have", F.col("have").alias("want"), F.lit(2).alias("fit")).join(want, "want", "left_semi").select("have", "want", "fit")
+
+    def held(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        index = long.select(t, F.explode(grams(F.col(t))).alias("gram"))
+        count = index.groupBy("gram").agg(F.count("*").alias("n"))
+        asked = short.where(F.col(s) != "").select(s, F.explode(longest_grams(F.col(s))).alias("gram")).join(count, "gram")
+        rarest = asked.groupBy(s).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+        return rarest.join(index, "gram").where(F.col(t).contains(F.col(s)) & (F.col(t) != F.col(s))).select("have", "want", F.lit(1).alias("fit"))
+
+    return equal.unionByName(held(want, "want", have, "have")).unionByName(held(have, "have", want, "want"))
+
+
+def fitting_labels(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """``label_pairs`` of the labels of cells and the wanted ones."""
+    return label_pairs(cells.select(normal_label(F.col("label")).alias("have")).distinct(), asked.select(normal_label(F.col("want_label")).alias("want")).distinct())
+
+
 def find_rows(cells: DataFrame, refs: DataFrame) -> DataFrame:
     """For each ref (ref_id, want_section, want_label, want_period, and want_doc if it is scoped) and table: the cells of the
-    best row, exact labels first, then the first row."""
+    best row, exact labels first, then the first row.  Refs meet cells by label and period, by way of ``label_pairs``."""
     asked = refs.select("ref_id", "want_section", "want_label", "want_period", optional(refs, "want_doc").alias("want_doc"))
-    fit = label_fit(F.col("label"), F.col("want_label"))
-    hits = cells.join(asked, F.col("period") == F.col("want_period")).withColumn("fit", fit)
+    asked = asked.join(fitting_labels(cells, asked), normal_label(F.col("want_label")) == F.col("want"))
+    hits = cells.join(asked, (normal_label(F.col("label")) == F.col("have")) & (F.col("period") == F.col("want_period"))).drop("have", "want")
     in_scope = F.col("want_doc").isNull() | (F.col("doc") == F.col("want_doc"))
-    hits = hits.where((F.col("fit") > 0) & in_scope & section_fits(F.col("section"), F.col("want_section")))
+    hits = hits.where(in_scope & section_fits(F.col("section"), F.col("want_section")))
     best = Window.partitionBy("ref_id", "doc", "table_id").orderBy(F.desc("fit"), "row_ix")
     return hits.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place").withColumn("value", parse_cell(F.col("raw")))
 
@@ -201,7 +239,8 @@ def period_series(cells: DataFrame, asked: DataFrame) -> DataFrame:
     labels beat contained ones and currency beats percent.  One document gives its first table, several are joined as by
     ``union_series``.
     """
-    labels = cells.select("label").distinct().join(asked, label_fit(F.col("label"), F.col("want_label")) > 0)  # distinct labels against a batch
+    wanted = asked.join(fitting_labels(cells, asked), normal_label(F.col("want_label")) == F.col("want"))
+    labels = cells.select("label").distinct().join(wanted, normal_label(F.col("label")) == F.col("have")).drop("have", "want", "fit")
     known = value_cells(cells) if "is_period" in cells.columns else cells
     known = with_value_kind(known).withColumn("year", period_year(F.col("period")))
     known = known.withColumn("dated", F.count("year").over(Window.partitionBy("doc", "table_id")) > 0)
@@ -296,23 +335,37 @@ def label_score(label: Column, wanted: Column) -> Column:
     return F.when(fit == 2, 1.0).when(fit == 1, 0.8).otherwise(0.6 * F.coalesce(overlap, F.lit(0.0)))
 
 
-def scored_cells(cells: DataFrame, metrics: DataFrame) -> DataFrame:
+def scored_cells(cells: DataFrame, metrics: DataFrame, most: int = 5) -> DataFrame:
     """Cells of each metric's period (metric_id, want_label, want_period) with their score: the label's, +0.15 for a proven total
-    where one is wanted, times 0.85 where it is unproven or a component."""
-    known = looks_like_total(with_value_kind(cells)).join(metrics, F.col("period") == F.col("want_period"))
+    where one is wanted, times 0.85 where it is unproven or a component.
+
+    Cells meet metrics by period and label, of labels that fit or share a word.  Cells whose label has nothing in common
+    with the wanted one all score alike, so only the first 2 ``most`` totals and others of each period are there, which are
+    enough to fill a list of ``most``.
+    """
+    known = looks_like_total(with_value_kind(cells)).where(F.col("value").isNotNull()).withColumn("have", normal_label(F.col("label")))
+    asked = metrics.withColumn("want", normal_label(F.col("want_label")))
+    words = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("word")).where("word <> ''")
+    alike = words(known, "have").join(words(asked, "want"), "word").select("have", "want").distinct()
+    near = alike.unionByName(fitting_labels(known, asked).select("have", "want")).distinct()
+    by_label = known.join(asked.join(near, "want"), ["have"]).where(F.col("period") == F.col("want_period"))
+    first = F.row_number().over(Window.partitionBy("period", F.coalesce("is_total", F.lit(False))).orderBy("doc", "table_id", "row_ix"))
+    few = known.withColumn("place", first).where(F.col("place") <= 2 * most).drop("place")
+    rest = few.join(asked, F.col("period") == F.col("want_period")).join(near, ["have", "want"], "left_anti")
+    met = by_label.unionByName(rest).drop("have", "want")
     wants_total = is_aggregate_request(F.col("want_label"))
     base = label_score(F.col("label"), F.col("want_label"))
     weighed = F.when(wants_total & F.coalesce(F.col("is_total"), F.lit(False)), base + 0.15).when(wants_total, base * 0.85).otherwise(base)
-    return known.where(F.col("value").isNotNull()).withColumn("score", weighed).withColumn("wants_total", wants_total)
+    return met.withColumn("score", weighed).withColumn("wants_total", wants_total)
 
 
-def ground(cells: DataFrame, metrics: DataFrame, floor: float = 0.55, near: float = 0.08) -> DataFrame:
-    """One row per metric (metric_id, want_label, want_period): the cell, or why not.
+def ground(cells: DataFrame, metrics: DataFrame, floor: float = 0.55, near: float = 0.08, scored: DataFrame | None = None) -> DataFrame:
+    """One row per metric (metric_id, want_label, want_period): the cell, or why not.  ``scored``: what ``scored_cells`` gave already.
 
     Another value within ``near`` of the best abstains, except that a wanted total takes the largest of the tied; a metric
     whose period has no cell abstains without a score.
     """
-    scored = scored_cells(cells, metrics)
+    scored = scored_cells(cells, metrics) if scored is None else scored
     top = scored.groupBy("metric_id").agg(F.max("score").alias("top"))
     per = scored.join(top, "metric_id").where(F.col("score") >= F.col("top") - near).groupBy("metric_id").agg(
         F.max("top").alias("score"), F.countDistinct(F.round("value", 4)).alias("n_values"), F.bool_or("wants_total").alias("wants_total"),
@@ -327,10 +380,11 @@ def ground(cells: DataFrame, metrics: DataFrame, floor: float = 0.55, near: floa
 def lookup(cells: DataFrame, metrics: DataFrame, most: int = 5, **options) -> DataFrame:
     """``ground`` with the ``most`` best cells of each metric as candidates, best first: an answer or an abstention is always a row."""
     best = Window.partitionBy("metric_id").orderBy(F.desc("score"), "doc", "table_id", "row_ix")
-    ranked_cells = scored_cells(cells, metrics).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    scored = written(scored_cells(cells, metrics, most), "scored")
+    ranked_cells = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
     told = F.struct("place", F.round("score", 6).alias("score"), "doc", "table_id", "label", "period", "raw")
     candidates = ranked_cells.groupBy("metric_id").agg(F.array_sort(F.collect_list(told)).alias("candidates"))  # ``most`` each
-    return ground(cells, metrics, **options).join(candidates, "metric_id", "left")
+    return ground(cells, metrics, scored=scored, **options).join(candidates, "metric_id", "left")
 
 
 def display(value: Column, unit: Column) -> Column:
@@ -341,11 +395,26 @@ def display(value: Column, unit: Column) -> Column:
 def close_labels(labels: DataFrame, wanted: DataFrame, most: int = 3, cutoff: float = 0.5) -> DataFrame:
     """(want, label, likeness): the ``most`` closest labels, likeness being 1 - edit distance / longer length.
 
-    A sequence matcher's ratio would rate shared blocks; edit distance is what Spark has.
+    A sequence matcher's ratio would rate shared blocks; edit distance is what Spark has.  Labels that are alike share
+    ``cutoff`` of the longer one's letters, each as often as both have it, so whatever is alike to a label holds one of its first
+    letters in any fixed order: all but that share, and one more.  Labels meet by those, the rarest first, and by length.
     """
-    a, b = normal_label(F.col("label")), normal_label(F.col("want"))
-    likeness = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    near = labels.select("label").distinct().join(wanted, F.lit(True)).withColumn("likeness", likeness).where(F.col("likeness") >= cutoff)  # distinct labels against the batch of those not found
+    # a letter with its number among equal ones, so that letters are a set
+    letters = F.expr("transform(split(text, ''), (c, i) -> concat(c, cast(size(filter(split(text, ''), (d, j) -> j <= i and d = c)) as string)))")
+    have = labels.select("label").distinct().withColumn("text", normal_label(F.col("label"))).withColumn("letter", F.explode(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(letters)))
+    want = wanted.select("want").distinct().withColumn("text", normal_label(F.col("want"))).withColumn("letter", F.explode(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(letters)))
+    rarity = have.groupBy("letter").agg(F.count("*").alias("n"))
+
+    def first(rows: DataFrame, key: str) -> DataFrame:
+        order = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "letter"))
+        size = F.greatest(F.length("text"), F.lit(1))
+        return rows.join(rarity, "letter", "left").withColumn("place", order).where(F.col("place") <= size - F.ceil(size * cutoff) + 1).select(key, F.col("text").alias(f"{key}_text"), "letter")
+
+    a, b = F.col("label_text"), F.col("want_text")
+    longer = F.greatest(F.length(a), F.length(b), F.lit(1))
+    near_size = F.least(F.length(a), F.length(b)) >= cutoff * F.greatest(F.length(a), F.length(b))
+    met = first(have, "label").join(first(want, "want"), "letter").where(near_size).drop("letter").distinct()
+    near = met.withColumn("likeness", 1 - F.levenshtein(a, b) / longer).where(F.col("likeness") >= cutoff).select("label", "want", "likeness")
     best = Window.partitionBy("want").orderBy(F.desc("likeness"), "label")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
