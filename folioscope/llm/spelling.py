@@ -44,6 +44,7 @@ HELD_WORDS = 200_000  # distinct words that a task counts before it passes them
 HELD_LETTERS = 4_000_000
 WALK_WORDS = 4096  # words that are walked together
 WALK_ROWS = 65_536  # rows of a block of the walk
+TASK_WORDS = 32_768  # words of a task, unless there are fewer than would keep all cores busy
 _RUN = re.compile("[a-zÀ-ÿ]+")
 
 
@@ -254,15 +255,16 @@ def walked(shards):
 def near_words(vocab: DataFrame) -> DataFrame:
     """(word, n_near, near, near_n) of the words of ``vocab`` (word, n) that have neighbours: how many, and the best."""
     spark = vocab.sparkSession
-    sizes = vocab.agg(F.sum(F.length("word")).alias("letters")).first()["letters"] or 0
-    shards = vocab.select("word", "n").repartitionByRange(max(1, -(-sizes // SHARD_LETTERS)), "word").sortWithinPartitions("word").mapInArrow(tries, "trie binary, words long")
+    sizes = vocab.agg(F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("letters"), F.count("*").alias("words")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sizes["words"] // TASK_WORDS))
+    shards = vocab.select("word", "n").repartitionByRange(max(1, -(-sizes["letters"] // SHARD_LETTERS)), "word").sortWithinPartitions("word").mapInArrow(tries, "trie binary, words long")
     shards = scratch(shards.withColumn("shard", F.monotonically_increasing_id()), "shards")
     numbers = sorted(r["shard"] for r in shards.select("shard").collect())  # a number per shard
     parts = []
     for at in range(0, len(numbers), SHARDS_AT_ONCE):
         some = [r["trie"] for r in shards.where(F.col("shard").isin(numbers[at : at + SHARDS_AT_ONCE])).select("trie").collect()]  # SHARDS_AT_ONCE bounded tries
         held = spark.sparkContext.broadcast([bytes(t) for t in some])
-        words = vocab.select("word").repartition(max(1, spark.sparkContext.defaultParallelism))
+        words = vocab.select("word").repartition(tasks)
         parts.append(scratch(words.mapInArrow(walked(held), "word string, n_near long, near_n long, near string"), "neighbours"))
         held.destroy()
     if not parts:
