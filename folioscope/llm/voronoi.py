@@ -34,7 +34,7 @@ from folioscope.llm.shared import scratch
 SCALE = 256
 PIVOTS = 16, 1024  # at least and at most; between them the square root of the number of vectors
 QUERY_BLOCK = 32_768  # queries of a group
-DATA_BLOCK, LEAST_BLOCK = 16_384, 512  # vectors of a block: what keeps all cores busy, between these
+DATA_BLOCK = 16_384
 CHUNK = 256  # queries whose products with a data block are held at once
 
 
@@ -221,8 +221,7 @@ def meeting(data: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, Dat
         return None
     order = hub_order(p)
     groups = in_blocks(order, asked_of, QUERY_BLOCK)
-    even = -(-n_data // data.sparkSession.sparkContext.defaultParallelism)
-    blocks = in_blocks(order, {j: n for j, (n, _) in sizes.items()}, min(DATA_BLOCK, max(LEAST_BLOCK, even)))
+    blocks = in_blocks(order, {j: n for j, (n, _) in sizes.items()}, DATA_BLOCK)
 
     numbered = scratch(placed.withColumn("g", block_of("cell", groups, "q")), "placed")
     found_reach = numbered.select("q", "v", "g").mapInArrow(group_reach(p, nearest, k), "g int, cell int, least double")
