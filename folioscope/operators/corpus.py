@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
+from folioscope.operators.common import small, written
+from folioscope.operators.retrieval import dense_top, top_per
 
 INSTRUMENT_TYPES = ("constitution", "statute", "regulation", "case_law", "guideline")
 
@@ -79,6 +81,59 @@ def as_of_filter(rows: DataFrame, when: Column) -> DataFrame:
     return judged.withColumn("withheld", withheld).where("in_force")
 
 
+#: Days since the first of the year 1 in binary; every date has fewer than 2 to the power of this.
+DAY_BITS = 22
+#: Nodes of questions' dates that are sent to every task: dates of 1300 years have fewer.
+MOST_NODES = 1_000_000
+
+
+def day_number(date: Column) -> Column:
+    return F.date_diff(date, F.lit("0001-01-01").cast("date")).cast("long")
+
+
+def date_nodes(date: Column) -> Column:
+    """The nodes that a date lies under in the binary tree over all days, from its leaf to the root (1); a null date has node 0."""
+    leaf = day_number(date) + (1 << DAY_BITS)
+    return F.when(date.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(*(F.shiftright(leaf, n) for n in range(DAY_BITS + 1))))
+
+
+def interval_nodes(first: Column, last: Column) -> Column:
+    """The nodes whose days make up the interval, both ends included, null ends open, and node 0: a date lies under one of them
+    if it is within the interval, and under none otherwise.  At most two nodes on each level."""
+    a, b = F.coalesce(day_number(first), F.lit(0)), F.coalesce(day_number(last), F.lit((1 << DAY_BITS) - 1))
+    nodes = [F.lit(0).cast("long")]
+    for level in range(DAY_BITS + 1):
+        low, high = F.shiftright(a + ((1 << level) - 1), level), F.shiftright(b + 1, level)
+        base = 1 << (DAY_BITS - level)
+        nodes += [F.when((low < high) & (low % 2 == 1), low + base), F.when((low < high) & (high % 2 == 1), high - 1 + base)]
+    return F.array_compact(F.array(*nodes))
+
+
+def as_of_search(rows: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "id") -> DataFrame:
+    """(query_id, id, score, rank, withheld): the ``k`` nearest versions (id, embedding, enacted_date, as_of_date, repealed,
+    superseded_by) that can be vouched for on each question's (query_id, query_vector, as_of) date; a null date asks for what is current.
+
+    2k rows are fetched; ``withheld`` counts those among them that can't be vouched for.  Where fewer than ``k`` are left, the
+    question is asked again among versions in force only: a version goes to the nodes of its interval in a tree of days, a question
+    to those above its date, and they meet in one node exactly if the version is in force.  Versions go only to nodes that a question
+    has, so with one date each is searched once at most.  Ids are unique; a question without any version in force has no row.
+    """
+    asked = questions.where("query_id is not null and query_vector is not null").select("query_id", "query_vector", "as_of")
+    current = is_current(F.col("repealed"), F.col("superseded_by"))
+    versions = rows.select(id_col, "enacted_date", "as_of_date", current.alias("current"))
+    state = F.coalesce(in_force(F.col("as_of"), F.col("enacted_date"), F.col("as_of_date"), F.col("current")), F.lit(False))
+    fetched = dense_top(rows, asked, 2 * k, id_col).join(versions, id_col).join(asked.select("query_id", "as_of"), "query_id")
+    fetched = written(fetched.select("query_id", id_col, "score", state.alias("holds")), "fetched")
+    per = fetched.groupBy("query_id").agg(F.count_if(~F.col("holds")).alias("withheld"), F.count_if("holds").alias("held"), F.count("*").alias("n"))
+    short = per.where((F.col("held") < k) & (F.col("n") == 2 * k)).select("query_id")
+    enough = top_per(fetched.where("holds").join(short, "query_id", "left_anti").drop("holds"), ["query_id"], k, id_col)
+    again = asked.join(short, "query_id", "left_semi").select("query_id", "query_vector", F.explode(date_nodes(F.col("as_of"))).alias("node"))
+    in_nodes = rows.where(current).select(id_col, "embedding", F.explode(interval_nodes(F.col("enacted_date"), F.col("as_of_date"))).alias("node"))
+    in_nodes = in_nodes.join(small(again.select("node").distinct(), MOST_NODES), "node", "left_semi")
+    deep = dense_top(in_nodes, again, k, id_col, meet="node")
+    return enough.unionByName(deep.select(enough.columns)).join(per.select("query_id", "withheld"), "query_id")
+
+
 def completeness(toc: DataFrame, parsed: DataFrame) -> DataFrame:
     """Per source (toc: source_key, id; parsed the same): ids of the table of contents, missing ones, coverage."""
     wanted, found = toc.distinct(), parsed.distinct()

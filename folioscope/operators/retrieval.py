@@ -32,15 +32,20 @@ def dense_scores(rows: DataFrame, queries: DataFrame, id_col: str, keep: tuple[s
 QUESTION_BLOCK, GROUPED_BLOCK, ROW_BLOCK, SCORES = 4096, 256, 16_384, 4_000_000
 
 
-def dense_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str | None = None, floor: float | None = None) -> DataFrame:
+def dense_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str | None = None, floor: float | None = None, meet: str | None = None) -> DataFrame:
     """(query_id, [by,] id, score, rank): the ``k`` rows of highest cosine of each question, or of each question and group, then the floor.
 
     Questions (query_id, query_vector) and rows (id, [by,] embedding) of any number meet in blocks of bounded size: a task holds a
     block of each and returns its own ``k`` best, of which a window takes the best of all.  Scores are rounded to 12 places, so equal
     vectors tie wherever they are scored, and ties go to the smaller id.  Rows without an id, and vectors that are null, have another
     length than the question or hold a value that is null or not finite, are left out; a zero vector scores 0; null groups are one.
+
+    With ``meet`` questions and rows meet only where that column, which both have, is equal; each of its values has as many blocks
+    as its own rows and questions need.  A question with several values has a row for each.
     """
     keep = [by] if by else []
+    if meet:
+        return met_top(rows, queries, k, id_col, by, floor, meet)
     asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("v"))
     data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), *keep, F.col("embedding").cast("array<double>").alias("v"))
     q_parts, r_parts = (max(1, -(-df.count() // size)) for df, size in ((asked, GROUPED_BLOCK if by else QUESTION_BLOCK), (data, ROW_BLOCK)))
@@ -49,6 +54,31 @@ def dense_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str
     asked, data = asked.withColumn("qb", block("query_id", q_parts)), data.withColumn("rb", block("id", r_parts))
     asked, data = asked.select("*", every(r_parts).alias("rb")), data.select("*", every(q_parts).alias("qb"))
 
+    best = asked.groupBy("qb", "rb").cogroup(data.groupBy("qb", "rb")).applyInPandas(*block_best(rows, queries, k, id_col, by))
+    return top_per(best.withColumnRenamed("id", id_col), ["query_id", *keep], k, id_col, floor)
+
+
+def met_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str | None, floor: float | None, meet: str) -> DataFrame:
+    """``dense_top`` of questions and rows that are equal in ``meet``."""
+    keep = [by] if by else []
+    asked = queries.where(F.col("query_id").isNotNull() & F.col("query_vector").isNotNull() & F.col(meet).isNotNull())
+    data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull() & F.col(meet).isNotNull())
+    asked = asked.select("query_id", F.col(meet).alias("at"), F.col("query_vector").cast("array<double>").alias("v"))
+    data = data.select(F.col(id_col).alias("id"), *keep, F.col(meet).alias("at"), F.col("embedding").cast("array<double>").alias("v"))
+    parts = lambda df, size, name: df.groupBy("at").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = parts(asked, GROUPED_BLOCK if by else QUESTION_BLOCK, "q_parts").join(parts(data, ROW_BLOCK, "r_parts"), "at")
+    block = lambda key, n: F.pmod(F.xxhash64(key, "v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(sizes, "at").withColumn("qb", block("query_id", "q_parts")).select("query_id", "v", "at", "qb", every("r_parts").alias("rb"))
+    data = data.join(sizes, "at").withColumn("rb", block("id", "r_parts")).select("id", *keep, "v", "at", "rb", every("q_parts").alias("qb"))
+    best = asked.groupBy("at", "qb", "rb").cogroup(data.groupBy("at", "qb", "rb")).applyInPandas(*block_best(rows, queries, k, id_col, by))
+    return top_per(best.withColumnRenamed("id", id_col), ["query_id", *keep], k, id_col, floor)
+
+
+def block_best(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str | None) -> tuple[Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], str]:
+    """The function of a block of questions and one of rows that gives the block's ``k`` best, and its schema."""
+    keep = [by] if by else []
+
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         for length, some in right.groupby(right["v"].map(len)):
@@ -81,8 +111,7 @@ def dense_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str
     columns = ["query_id", *keep, "id", "score"]
     kinds = {"query_id": queries.schema["query_id"].dataType, "id": rows.schema[id_col].dataType} | ({by: rows.schema[by].dataType} if by else {})
     schema = ", ".join(f"`{c}` {kinds[c].simpleString() if c in kinds else 'double'}" for c in columns)
-    best = asked.groupBy("qb", "rb").cogroup(data.groupBy("qb", "rb")).applyInPandas(solve, schema)
-    return top_per(best.withColumnRenamed("id", id_col), ["query_id", *keep], k, id_col, floor)
+    return solve, schema
 
 
 def unit_rows(frame: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,19 +163,95 @@ def retrieve(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc
     A pool of max(4k, 10) by cosine per query, BM25 on the query's own pool, fusion of both rankings, and then ``rerank`` (a
     function of (query_id, query, id, text, rank) and k, see ``providers.rerank``) or the first ``k``.
     """
-    dense = dense_top(rows, queries, max(4 * k, 10), id_col)
+    return fused(dense_top(rows, queries, max(4 * k, 10), id_col), rows, queries, k, id_col, rerank)
+
+
+def fused(dense: DataFrame, rows: DataFrame, queries: DataFrame, k: int, id_col: str, rerank: Callable[[DataFrame, int], DataFrame] | None) -> DataFrame:
+    """A ranked pool (query_id, id, score, rank) fused with BM25 on it, then reranked or cut to ``k``."""
     pool = dense.select("query_id", id_col).join(rows.select(id_col, "text"), id_col)
     sparse = bm25(pool, queries.select("query_id", "query"), id_col, own_pool=True).withColumn("score", F.round("score", 9))
-    sparse = top_per(sparse, ["query_id"], max(4 * k, 10), id_col)
+    sparse = sparse.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)))
     lists = dense.withColumn("list", F.lit(0)).unionByName(sparse.withColumn("list", F.lit(1)))
-    fused = rrf(lists.select("query_id", id_col, "list", "rank"), id_col)
+    both = rrf(lists.select("query_id", id_col, "list", "rank"), id_col)
     if rerank is None:
-        return fused.where(F.col("rank") <= k)
-    texts = fused.join(pool, ["query_id", id_col]).join(queries.select("query_id", "query"), "query_id")
+        return both.where(F.col("rank") <= k)
+    texts = both.join(pool, ["query_id", id_col]).join(queries.select("query_id", "query"), "query_id")
     best = rerank(texts.select("query_id", "query", F.col(id_col).alias("id"), "text", "rank"), k)
     return best.select("query_id", F.col("id").alias(id_col), F.col("final_rank").alias("rank"), "score")
 
 
+#: A search over several documents takes so many at most, as they are named; route first where there are more.
+MOST_DOCUMENTS = 8
+
+
+def across_documents(rows: DataFrame, questions: DataFrame, id_col: str = "chunk_id", by: str = "doc_id", rerank: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(query_id, by, id, score, rank): the best chunks of every document that a question (query_id, query, query_vector, scope) names.
+
+    Of ``scope`` (an array of documents) the first ``MOST_DOCUMENTS`` different ones count; each gives four chunks where there are
+    one or two, three up to four documents, else two, whatever their scores, of its own pool of max(4k, 10) if ``rerank`` orders
+    it.  Documents stand in the order named, their chunks by rank.  Documents without chunks and empty scopes give no row.
+    """
+    scope = F.slice(F.array_distinct(F.array_compact("scope")), 1, MOST_DOCUMENTS)
+    named = questions.withColumn("scope", scope).withColumn("k", F.when(F.size("scope") <= 2, 4).when(F.size("scope") <= 4, 3).otherwise(2))
+    each = named.select("query_id", "query_vector", "k", F.posexplode("scope").alias("place", by))
+    pool = dense_top(rows, each, 16 if rerank else 4, id_col, by, meet=by)
+    placed = pool.join(each.select("query_id", by, "k", "place"), ["query_id", by])
+    if rerank is not None:
+        both = F.struct("query_id", by)
+        texts = placed.where(F.col("rank") <= F.greatest(4 * F.col("k"), F.lit(10))).join(rows.select(id_col, "text"), id_col).join(questions.select("query_id", "query"), "query_id")
+        texts = texts.select(both.alias("query_id"), "query", F.col(id_col).alias("id"), "text", "rank", "k", "place")
+        parts = [rerank(texts.where(F.col("k") == k), k) for k in (4, 3, 2)]
+        best = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        placed = best.select("query_id.*", "id", "score", F.col("final_rank").alias("rank"), "k", "place").withColumnRenamed("id", id_col)
+    order = Window.partitionBy("query_id").orderBy("place", "own")
+    cut = placed.withColumnRenamed("rank", "own").where(F.col("own") <= F.col("k"))
+    return cut.withColumn("rank", F.row_number().over(order)).select("query_id", by, id_col, "score", "rank")
+
+
+def retrieve_scoped(rows: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "chunk_id", by: str = "doc_id", rerank: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(query_id, id, score, rank): each question the way its scope asks for: several documents are searched one by one
+    (``across_documents``), one by the composed search within it, and without a scope (null) the composed search takes all rows.  An
+    empty scope finds nothing."""
+    sized = questions.withColumn("scope", F.array_distinct(F.array_compact("scope")))
+    several = across_documents(rows, sized.where(F.size("scope") > 1), id_col, by, rerank).drop(by)
+    one = sized.where(F.size("scope") == 1).withColumn(by, F.col("scope")[0])
+    within = dense_top(rows, one, max(4 * k, 10), id_col, meet=by)
+    anywhere = dense_top(rows, sized.where("scope is null"), max(4 * k, 10), id_col)
+    whole = fused(within.unionByName(anywhere), rows, questions, k, id_col, rerank)
+    return several.unionByName(whole.select(several.columns))
+
+
+def variant_key(variants: DataFrame) -> Column:
+    return F.concat_ws(":", F.col("query_id").cast("string"), F.col("sub_ix").cast("string"))
+
+
+def multi_query(rows: DataFrame, variants: DataFrame, k: int = 5, id_col: str = "doc_id", rerank: Callable[[DataFrame, int], DataFrame] | None = None, pool: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): the ``pool`` best rows of each variant (query_id, sub_ix, query, query_vector) of a question as
+    one list, fused with BM25 by the question's first variant, then reranked or cut to ``k``.
+
+    Texts that are equal are one chunk, by the hash of the text; it stands where it was first seen, in the order of variants and
+    ranks, under the id it had there.
+    """
+    keyed = variants.withColumn("key", variant_key(variants))
+    found = dense_top(rows, keyed.select(F.col("key").alias("query_id"), "query_vector"), pool, id_col).withColumnRenamed("query_id", "key")
+    texts = rows.select(id_col, F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
+    seen = found.join(keyed.select("key", "query_id", "sub_ix"), "key").join(texts, id_col)
+    ranked = merged(first_seen(seen, ["query_id", "content"], ["sub_ix", "rank", id_col]).select("query_id", "sub_ix", "rank", id_col, "score"), [id_col])
+    primary = variants.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("sub_ix"))).where("place = 1")
+    return fused(ranked.withColumn("score", F.lit(None).cast("double")), rows, primary.select("query_id", "query"), k, id_col, rerank)
+
+
+def with_original(rows: DataFrame, questions: DataFrame, variants: DataFrame, k: int, id_col: str, floor: float) -> DataFrame:
+    """(query_id, id, rank, original): what a question's sub-queries (query_id, sub_ix, query_vector) find above the floor, each row
+    where it was first seen; a question whose sub-queries find nothing, or that has none, is asked as it is (query_id, query_vector)."""
+    keyed = variants.withColumn("key", variant_key(variants))
+    found = dense_top(rows, keyed.select(F.col("key").alias("query_id"), "query_vector"), k, id_col, floor=floor).withColumnRenamed("query_id", "key")
+    parts = written(merged(found.join(keyed.select("key", "query_id", "sub_ix"), "key").select("query_id", "sub_ix", "rank", id_col), [id_col]), "parts")
+    again = questions.join(parts.select("query_id").distinct(), "query_id", "left_anti")
+    plain = dense_top(rows, again, k, id_col, floor=floor).select("query_id", id_col, "rank", F.lit(True).alias("original"))
+    return parts.select("query_id", id_col, "rank", F.lit(False).alias("original")).unionByName(plain)
+
+
 def united(lists: DataFrame, id_col: str, k: int, both: bool = True) -> DataFrame:
     """Text and table results (query_id, sub_ix, rank, id, score) of each query as one list: a chunk where it was first seen,
     ``k`` of them, or 2k where both kinds were searched."""
