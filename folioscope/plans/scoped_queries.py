@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import corpus as C
 from folioscope.operators import retrieval as R
+from folioscope.operators.common import shared_dir
+from folioscope.plans.ingest_queries import sql_values, values
 from folioscope.plans.registry import query, read
 from folioscope.plans.retrieval_queries import COS, COSINE, POOLED, QUESTIONS, probes, rounded, searched
-from folioscope.plans.ingest_queries import sql_values, values
+from folioscope.sources import snapshots as N
 
 
 @query(f"""with v as (select vec_id, embedding, case when vec_id % 13 <> 0 then o_orderdate::date end as enacted, case when vec_id % 11 <> 0 then o_orderdate::date + 400 end as horizon,
@@ -96,3 +100,18 @@ def subqueries_or_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = probes(spark, sf_dir).select(F.floor(place / 3).alias("query_id"), (place % 3).alias("sub_ix"), F.reverse("query_vector").alias("query_vector"))
     whole = probes(spark, sf_dir).where(place % 3 == 0).select(F.floor(place / 3).alias("query_id"), "query_vector")
     return R.with_original(read(spark, sf_dir, "embeddings"), whole, parts, 6, "vec_id", 0.4).select("query_id", "vec_id", "rank", "original")
+
+
+@query("""select case when vec_id % 2 = 0 then '00' || label else label::varchar end as namespace, vec_id as doc_id, vec_id % 4 as chunk_index, case when vec_id % 3 = 0 then 'second' else 'first' end as text,
+embedding[1]::double * case when vec_id % 3 = 0 then 2 else 1 end as x from embeddings""")
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as a snapshot of tenants whose names differ by zeros only, and every third written again, doubled."""
+    label = F.col("label").cast("string")
+    rows = read(spark, sf_dir, "embeddings").select(
+        F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("00"), label)).otherwise(label).alias("namespace"), F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 4).alias("chunk_index"),
+        F.lit("first").alias("text"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    N.save_snapshot(rows, path)
+    N.save_snapshot(rows.where("doc_id % 3 = 0").withColumns({"text": F.lit("second"), "embedding": F.transform("embedding", lambda x: 2 * x)}), path)
+    return N.read_snapshot(spark, path).select("namespace", "doc_id", "chunk_index", "text", F.col("embedding")[0].alias("x"))
