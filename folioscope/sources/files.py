@@ -41,6 +41,13 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scan_stream(spark: SparkSession, path: str, pattern: str = "*", files_per_trigger: int = 32) -> DataFrame:
+    """Files under ``path`` (path, modificationTime, length, content) as they come, those whose names match the pattern; each is read
+    once, whatever restarts there are between, by the checkpoint's log of files.  ``attachments`` takes it as it takes a table."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return stream.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(path)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(path, elem_ix, category, text): a paragraph each.  Text, Markdown and HTML are read here; other types need a parser
     that is not part of the engine and give no elements."""
@@ -153,6 +160,11 @@ def write_journal(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def journal_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 32) -> DataFrame:
+    """The rows of journals as they are written (``write_journal``), each once."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
