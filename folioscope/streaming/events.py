@@ -6,12 +6,14 @@ watermark has no effect.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 WATERMARK = "10 minutes"
 
@@ -98,3 +100,63 @@ def breaker(calls: DataFrame, most: int = 5, span: float = 60, cooldown: float =
     if calls.isStreaming:
         return grouped.applyInPandasWithState(update, BREAKER_OUT, BREAKER_STATE, "append", GroupStateTimeout.NoTimeout)
     return grouped.applyInPandas(lambda rows: run(rows, start)[0], BREAKER_OUT)
+
+
+class Circuit(StatefulProcessor):
+    """Calls of a service wait until the watermark has passed them, and then go through the circuit in the order of their times."""
+
+    def __init__(self, most: int, span: float, cooldown: float, needed: int):
+        self.rules = (most, span, cooldown, needed)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.circuit = handle.getValueState("circuit", BREAKER_STATE)
+        self.waiting = handle.getListState("waiting", "at double, ok boolean")
+
+    def wake(self, at: float) -> None:
+        """A timer at the earliest call that waits; an earlier one stays."""
+        due = math.ceil(at * 1000)
+        timers = list(self.handle.listTimers())
+        if not timers or due < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList([(float(a), bool(o)) for a, o in zip(batch["at"], batch["ok"])])
+                self.wake(float(batch["at"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        calls = sorted((a, o) for a, o in self.waiting.get())
+        due, rest = [c for c in calls if c[0] <= passed], [c for c in calls if c[0] > passed]
+        state = tuple(self.circuit.get()) if self.circuit.exists() else ([], "closed", 0.0, 0)
+        out = []
+        for at, ok in due:
+            state = breaker_step((list(state[0]), *state[1:]), at, ok, *self.rules)
+            out.append((key[0], at, ok, state[1]))
+        if due:
+            self.circuit.update((list(map(float, state[0])), state[1], float(state[2]), int(state[3])))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(math.ceil(rest[0][0] * 1000))
+        yield pd.DataFrame(out, columns=["service", "at", "ok", "state"])
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_in_order(calls: DataFrame, delay: str = WATERMARK, most: int = 5, span: float = 60, cooldown: float = 30, needed: int = 2) -> DataFrame:
+    """``breaker`` of a stream whose calls (service, at, ok) come in any order within ``delay``: the rows are those of the batch
+    form, however calls are dealt over micro-batches and restarts; calls of one time go failures first.  A call is answered once
+    the watermark has passed it, and one that comes later than that is dropped.
+
+    The session needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    at = F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))
+    timely = calls.where("service is not null and at is not null and ok is not null").select("service", "at", "ok", at.alias("ts")).withWatermark("ts", delay)
+    return timely.groupBy("service").transformWithStateInPandas(Circuit(most, span, cooldown, needed), BREAKER_OUT, "Append", "EventTime")
