@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
+from folioscope.operators import splitters
 from folioscope.operators.common import small, written
 from folioscope.operators.retrieval import dense_top, top_per
 
@@ -165,67 +163,9 @@ def upserted(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFra
     return incoming.unionByName(current.join(incoming.select(*key).distinct(), key, "left_anti"))
 
 
-CHAPTER = re.compile(r"^(CHAPTER|PART)\s+([IVXLC\d]+[A-Z]?)\b[\s.:—–-]*(.*)$", re.IGNORECASE)
-SCHEDULE = re.compile(r"^(?:THE\s+)?((?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH)\s+)?SCHEDULE\b", re.IGNORECASE)
-OPENER = re.compile(r"^(?:\d{1,3}\[)?\s*(\d{1,3}[A-Z]{0,2})\.\s*(\S.*)$")
-BURIED = re.compile(r"(?:^|\s)\d{1,3}\[(\d{1,3}[A-Z]{0,2})\.\s+(\S.*)$")
-FOOTNOTE = re.compile(r"^\d{1,3}\.\s+(?:Subs|Ins|Omitted|Rep|The words|Added)\b", re.IGNORECASE)
-REPEALED = re.compile(r"^\[?\s*(?:Repealed|Omitted)\b", re.IGNORECASE)
-PROVISIONS = "source_key string, ix int, chapter string, section_id string, title string, text string, repealed boolean"
-
-
-def parse_statute(lines: pd.DataFrame, allowed: set[str] | None = None) -> pd.DataFrame:
-    """Provisions of one source from its lines in order.
-
-    Chapters and parts scope what follows, a schedule ends the sections, footnotes are left out, and sections open at
-    "16. Title" or buried in a line as "1[16. Title".  With a table of contents only its ids open sections.  Repealed
-    stubs are marked; of repeated ids the first stays.
-    """
-    out: list[dict] = []
-    chapter, current = "", None
-
-    def close():
-        if current is not None and all(p["section_id"] != current["section_id"] for p in out):
-            out.append(current)
-
-    for raw in lines["text"]:
-        line = re.sub(r"\s+", " ", raw or "").strip()
-        if not line or FOOTNOTE.match(line):
-            continue
-        if SCHEDULE.match(line) and (current is not None or out):
-            break
-        if found := CHAPTER.match(line):
-            chapter = f"{found[1].upper()} {found[2].upper()}"
-            continue
-        opened, before = OPENER.match(line), ""
-        if opened is None and (opened := BURIED.search(line)):
-            before = line[: opened.start()].strip()
-        if opened and (allowed is None or opened[1] in allowed):
-            if before and current is not None:
-                current["text"] = f"{current['text']} {before}".strip()
-            close()
-            rest = opened[2].rstrip("]") if opened[2].endswith("]") and "[" not in opened[2] else opened[2]
-            title, mark, body = re.match(r"^(.*?)(\s*\.?\s*[—–]\s*|\.\s+|\.?$)(.*)$", rest).groups()
-            stub = bool(REPEALED.match(title) or REPEALED.match(body))
-            current = {"chapter": chapter, "section_id": opened[1], "title": title.strip("[] ."), "text": body.strip() or rest, "repealed": stub}
-        elif current is not None:
-            current["text"] = f"{current['text']} {line}".strip()
-    close()
-    rows = pd.DataFrame(out, columns=["chapter", "section_id", "title", "text", "repealed"])
-    rows.insert(0, "ix", range(1, len(rows) + 1))
-    rows.insert(0, "source_key", lines["source_key"].iloc[0])
-    return rows
-
-
 def statutes(lines: DataFrame) -> DataFrame:
-    """``parse_statute`` per source; lines: source_key, elem_ix, text, toc_ids (array, null without a table of contents)."""
-
-    def parse(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("elem_ix")
-        ids = rows["toc_ids"].iloc[0]
-        return parse_statute(rows, None if ids is None else set(ids))
-
-    return lines.groupBy("source_key").applyInPandas(parse, PROVISIONS)
+    """``StatuteFold`` per source, row by row; lines: source_key, elem_ix, text, toc_ids (array, null without a table of contents)."""
+    return splitters.statutes(lines)
 
 
 def articles(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
+from folioscope.operators import splitters
+from folioscope.operators.splitters import ClauseFold
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -102,50 +104,18 @@ def marked_chunks(elements: DataFrame, is_mark: Column, order: str = "elem_ix")
     return numbered.groupBy("doc_id", "chunk_ix").agg(F.count("*").alias("n_elements"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 
 
-def fold_clauses(rows: pd.DataFrame, max_chars: int, start_chars: int = 40, least_chars: int = 10, compat_page: bool = False) -> pd.DataFrame:
-    """Clause chunks of one document, elements in order.
-
-    A heading starts a chunk if the open one has at least ``start_chars``; a chunk is closed once it has ``max_chars``;
-    chunks under ``least_chars`` go.  A chunk's page is that of its first element (``compat_page``: the document's).
-    """
-    out, parts, heading, page, size, first_page = [], [], None, None, 0, None
-
-    def close():
-        nonlocal parts, heading, page, size
-        text = "\n".join(parts).strip()
-        if len(text) >= least_chars:
-            out.append((rows["doc_id"].iloc[0], len(out) + 1, heading, first_page if compat_page else page, text))
-        parts, heading, page, size = [], None, None, 0
-
-    is_heading = rows["text"].str.match(P.HEADING)
-    for text, marked, at in zip(rows["text"], is_heading, rows["page_number"]):
-        if not text or not text.strip():
-            continue
-        text = text.strip()
-        if marked and size >= start_chars:
-            close()
-        if marked and heading is None:
-            heading = text[:120]
-        first_page = at if first_page is None else first_page
-        page = at if page is None else page
-        parts.append(text)
-        size += len(text) + 1
-        if size >= max_chars:
-            close()
-    close()
-    return pd.DataFrame(out, columns=["doc_id", "chunk_index", "heading", "page_number", "text"])
-
-
-CLAUSES = "doc_id long, chunk_index int, heading string, page_number int, text string"
+def fold_clauses(rows: pd.DataFrame, max_chars: int = 3000, **options) -> pd.DataFrame:
+    """``ClauseFold`` of one document's elements in order."""
+    fold = ClauseFold(max_chars, **options)
+    out = [chunk for text, page in zip(rows["text"], rows["page_number"]) for chunk in fold.take(text, page)] + list(fold.end())
+    chunks = pd.DataFrame(out, columns=["chunk_index", "heading", "page_number", "text"])
+    chunks.insert(0, "doc_id", rows["doc_id"].iloc[0] if len(rows) else None)
+    return chunks
 
 
 def clause_chunks(elements: DataFrame, max_chars: int = 3000, **options) -> DataFrame:
-    """``fold_clauses`` per document; elements: doc_id, elem_ix, page_number, text."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return fold_clauses(rows.sort_values("elem_ix"), max_chars, **options)
-
-    return elements.select("doc_id", "elem_ix", "page_number", "text").groupBy("doc_id").applyInPandas(fold, CLAUSES)
+    """``ClauseFold`` per document, row by row; elements: doc_id, elem_ix, page_number, text."""
+    return splitters.clauses(elements, max_chars=max_chars, **options)
 
 
 def pack_titles(rows: pd.DataFrame, most: int = 3000, new_after: int = 2400, combine_under: int = 500) -> pd.DataFrame:

@@ -101,13 +101,23 @@ def line_chunks_by_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_ix", "n_elements", F.md5("text").alias("text_md5"))
 
 
-@query()
+_BARE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""with recursive {LINES}, e as (select doc_id, {_BARE} as t, regexp_matches(text, {q(P.HEADING)}) as heads, elem_ix // 10 + 1 as page, row_number() over (partition by doc_id order by elem_ix) as ix from lines where {_BARE} <> ''),
+f as (select doc_id, ix, 1 as piece, length(t) + 1 as size from e where ix = 1
+ union all select doc_id, ix, piece + opens::int, case when opens then 0 else size end + length(t) + 1 from (select e.doc_id, e.ix, e.t, f.piece, f.size, f.size >= 3000 or (e.heads and f.size >= 40) as opens from f join e on e.doc_id = f.doc_id and e.ix = f.ix + 1)),
+g as (select doc_id, piece, arg_min(page, ix)::int as page_number, arg_min(left(t, 120), ix) filter (heads) as heading, string_agg(t, chr(10) order by ix) as text from f join e using (doc_id, ix) group by all)
+select doc_id, row_number() over (partition by doc_id order by piece)::int as chunk_index, heading, page_number, md5(text) as text from g where length(text) >= 10""")
 def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements = ingest.lines(read(spark, sf_dir, "documents")).withColumn("page_number", F.floor(F.col("elem_ix") / 10).cast("int") + 1)
     return ingest.clause_chunks(elements).withColumn("text", F.md5("text"))
 
 
-@query()
+@query(f"""with recursive {LINES}, p as (select doc_id, length(text) < 40 as title, substr(text, (start + 1)::bigint, 3000) as t, row_number() over (partition by doc_id order by elem_ix, start) as ix from (select *, unnest(range(0, length(text), 3000)) as start from lines)),
+f as (select doc_id, ix, 1 as piece, length(t) as size from p where ix = 1
+ union all select doc_id, ix, piece + opens::int, case when opens then 0 else size + 2 end + length(t) from (select p.doc_id, p.ix, p.t, f.piece, f.size, f.size >= 2400 or f.size + length(p.t) + 2 > 3000 or (p.title and f.size >= 500) as opens from f join p on p.doc_id = f.doc_id and p.ix = f.ix + 1))
+select doc_id, piece::int as chunk_index, md5(string_agg(t, chr(10) || chr(10) order by ix)) as text from f join p using (doc_id, ix) group by doc_id, piece""")
 def title_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.length("text") < 40, "Title").otherwise("NarrativeText")
     return ingest.title_chunks(ingest.lines(read(spark, sf_dir, "documents")).withColumn("category", kind)).withColumn("text", F.md5("text"))
