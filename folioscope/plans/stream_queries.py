@@ -44,6 +44,15 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.breaker(calls, most=3, span=7200, cooldown=3600)
 
 
+@query("""with c as (select user_id as run_id, event_type as signature, event_id, epoch_us(ts) / 1e6 as sec, value > 10 as ok from events),
+p as (select *, sum(case when sec - prior >= 21600 then 1 else 0 end) over (partition by run_id, signature order by sec, event_id) as spell from (select *, lag(sec) over (partition by run_id, signature order by sec, event_id) as prior from c))
+select event_id, coalesce(count(*) filter (not ok) over (partition by run_id, signature, spell order by sec, event_id rows between unbounded preceding and 1 preceding), 0) >= 2 as blocked from p""")
+def blocked_since_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    calls = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("signature"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id", (F.col("value") > 10).alias("ok"))
+    return S.repeats_blocked(calls, 2, 21600).select("event_id", "blocked")
+
+
 @query("""select conv_id, string_agg('**' || upper(left(role, 1)) || substr(role, 2) || '**: ' || text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id""")
 def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.conversation_markdown(read(spark, sf_dir, "conversations"))
