@@ -96,6 +96,71 @@ def review_chain(items: DataFrame, members: DataFrame) -> DataFrame:
     return above.select("item_id", F.row_number().over(order).alias("step"), "user_id", F.lead("user_id").over(order).alias("next"))
 
 
+RELEASE_TIER = ("managing_partner", "senior_partner", "partner")  # fixed value: who may release work outside
+
+
+def seniority(role: Column) -> Column:
+    """The higher the more senior; unknown roles and null are below all."""
+    return F.coalesce(reduce(lambda w, r: w.when(role == r, ROLE_RANK[r]), ROLE_RANK, F), F.lit(-1))
+
+
+def _teams(team: DataFrame) -> DataFrame:
+    """A member of a matter once, with its most senior role."""
+    return team.groupBy("matter_id", "user_id").agg(F.max(seniority(F.col("role"))).alias("rank"))
+
+
+def _most_senior(people: DataFrame, key: str, name: str) -> DataFrame:
+    """The two most senior (user_id, rank) of each key as an array: whoever asks, one of them is somebody else."""
+    place = Window.partitionBy(key).orderBy(F.desc("rank"), "user_id")
+    two = people.withColumn("__n", F.row_number().over(place)).where("__n <= 2")
+    return two.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "user_id"))), lambda x: x["user_id"]).alias(name))
+
+
+def matter_chain(items: DataFrame, team: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+    """(item_id, step, user_id, next): who reviews an item (item_id, matter_id, submitter_id) in turn, and who follows.
+
+    A matter's own order (``custom``: matter_id, place, user_id) is kept as it stands, without the submitter and without repeats.
+    Where it names nobody else, those of the matter's team (matter_id, user_id, role) above the submitter's rank review,
+    the nearest first, equal ranks by user_id; a submitter from outside the team is below all.
+    """
+    asked = items.select("item_id", "matter_id", "submitter_id")
+    ranked = _teams(team)
+    own = asked.join(ranked.select("matter_id", F.col("user_id").alias("submitter_id"), F.col("rank").alias("own")), ["matter_id", "submitter_id"], "left")
+    if custom is not None:
+        named = custom.where("user_id is not null").groupBy("matter_id", "user_id").agg(F.min("place").alias("place"))
+        others = F.count_if(F.col("user_id") != F.col("submitter_id"))
+        given = asked.join(named, "matter_id")
+        chosen = given.where("user_id <> submitter_id").select("item_id", "place", "user_id")
+        has_own = given.groupBy("item_id").agg(others.alias("n")).where("n > 0").select("item_id")
+        own = own.join(has_own, "item_id", "left_anti")
+    above = own.join(ranked, "matter_id").where("rank > coalesce(own, -1) and user_id <> submitter_id").select("item_id", F.col("rank").alias("place"), "user_id")
+    steps = above if custom is None else above.unionByName(chosen.withColumn("place", F.col("place").cast("int")))
+    order = Window.partitionBy("item_id").orderBy("place", "user_id")
+    return steps.select("item_id", F.row_number().over(order).alias("step"), "user_id", F.lead("user_id").over(order).alias("next"))
+
+
+def chain_owners(items: DataFrame, team: DataFrame, vaults: DataFrame, members: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+    """(item_id, first_owner, end_owner) of each item, one row for each.
+
+    First owner: the first of the chain, else the matter's most senior other member, else the vault's owner (vaults: matter_id,
+    owner_id, firm_id), else the most senior other member of the firm (members: user_id, firm_id, role) who may release; never the
+    submitter, null if there is nobody.  End owner: the matter's most senior member who may release, else the last of the chain,
+    else the matter's most senior member.
+    """
+    chain = matter_chain(items, team, custom).groupBy("item_id").agg(F.min_by("user_id", "step").alias("first"), F.max_by("user_id", "step").alias("last"))
+    ranked = _teams(team)
+    releasing = F.col("rank") >= min(ROLE_RANK[r] for r in RELEASE_TIER)
+    tops = _most_senior(ranked, "matter_id", "tops")
+    closers = _most_senior(ranked.where(releasing), "matter_id", "closers")
+    firm = members.select("firm_id", "user_id", seniority(F.col("role")).alias("rank")).where(releasing).groupBy("firm_id", "user_id").agg(F.max("rank").alias("rank"))
+    of = items.select("item_id", "matter_id", "submitter_id").join(chain, "item_id", "left").join(tops, "matter_id", "left").join(closers, "matter_id", "left")
+    of = of.join(vaults.select("matter_id", "owner_id", "firm_id"), "matter_id", "left").join(_most_senior(firm, "firm_id", "backstop"), "firm_id", "left")
+    other = lambda c: F.get(F.filter(c, lambda u: u != F.col("submitter_id")), F.lit(0))
+    owner = F.when(F.col("owner_id") != F.col("submitter_id"), F.col("owner_id"))
+    first = F.coalesce("first", other("tops"), owner, other("backstop"))
+    return of.select("item_id", first.alias("first_owner"), F.coalesce(F.get("closers", F.lit(0)), "last", F.get("tops", F.lit(0))).alias("end_owner"))
+
+
 def stale(items: DataFrame, now: Column, hours: int = 48) -> DataFrame:
     return items.where((F.col("status") == "open") & (F.col("created_at") <= now - F.make_dt_interval(hours=F.lit(hours))))
 

@@ -178,3 +178,47 @@ def part_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of even size as declared, parts of every third order as used."""
     declared = read(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.col("p_partkey").cast("string").alias("key"))
     return G.set_drift(declared, read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_partkey").cast("string").alias("key")))
+
+
+# Review chains: orders as work on a customer's matter; the customers whose keys follow are its team.
+
+_TITLE = "case ({0}) % 11 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(reversed(_ROLES))) + " else 'temp' end"
+_ITEM = "o_orderkey as item_id, o_custkey as matter_id, case when o_orderkey % 13 = 0 then -1 else o_custkey + o_orderkey % 4 end as submitter_id"
+_CUSTOM = "case when c_custkey % 8 = 0 then [c_custkey] when c_custkey % 4 = 0 then [c_custkey + 3, c_custkey + 1, c_custkey + 3, c_custkey, c_custkey + 9] end"
+_VAULT = "c_custkey as matter_id, case when c_custkey % 3 > 0 then c_custkey + 1 end as owner_id, c_nationkey as firm_id"
+_SIZE = "case when c_custkey % 7 = 0 then 0 else 3 end"  # other members
+_RANKS = ", ".join(f"('{r}', {i})" for i, r in enumerate(reversed(_ROLES)))
+_CHAIN = f"""i as (select distinct {_ITEM} from orders), ranks as (select * from (values {_RANKS}) as t(role, rank)),
+tm as (select matter_id, user_id, coalesce(rank, -1) as rank from (select c_custkey as matter_id, c_custkey + j as user_id, {_TITLE.format('c_custkey + j')} as role from customer, range(4) as k(j) where j <= {_SIZE}) left join ranks using (role)),
+cu as (select matter_id, user_id, min(place) as place from (select c_custkey as matter_id, unnest({_CUSTOM}) as user_id, generate_subscripts({_CUSTOM}, 1) as place from customer) group by all),
+c1 as (select item_id, place, user_id from i join cu using (matter_id) where user_id <> submitter_id),
+c2 as (select item_id, tm.rank as place, tm.user_id from i join tm using (matter_id) left join tm o on o.matter_id = i.matter_id and o.user_id = i.submitter_id where tm.rank > coalesce(o.rank, -1) and tm.user_id <> submitter_id and item_id not in (select item_id from c1)),
+chain as (select item_id, row_number() over w::int as step, user_id, lead(user_id) over w as next from (select * from c1 union all select * from c2) window w as (partition by item_id order by place, user_id))"""
+
+
+def review_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    c = read(spark, sf_dir, "customer")
+    items = spark.sql(f"select distinct {_ITEM} from {{orders}}", orders=read(spark, sf_dir, "orders"))
+    team = c.select(F.col("c_custkey").alias("matter_id"), F.explode(F.expr(f"sequence(c_custkey, c_custkey + {_SIZE})")).alias("user_id"))
+    team = team.withColumn("role", F.expr(_TITLE.format("user_id")))
+    custom = c.select(F.col("c_custkey").alias("matter_id"), F.posexplode(F.expr(_CUSTOM.replace("[", "array(").replace("]", ")"))).alias("place", "user_id"))
+    members = c.selectExpr("c_custkey as user_id", "c_nationkey as firm_id", f"{_TITLE.format('c_custkey')} as role")
+    return items, team, spark.sql(f"select {_VAULT} from {{c}}", c=c), members, custom
+
+
+@query(f"with {_CHAIN} select * from chain")
+def matter_review_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks, a matter's own order with repeats and strangers, one that names the submitter only, submitters from outside, unknown roles."""
+    items, team, _, _, custom = review_tables(spark, sf_dir)
+    return G.matter_chain(items, team, custom)
+
+
+@query(f"""with {_CHAIN}, fm as (select c_nationkey as firm_id, c_custkey as user_id, rank from (select *, {_TITLE.format('c_custkey')} as role from customer) join ranks using (role) where role in {G.RELEASE_TIER}),
+v as (select {_VAULT} from customer)
+select item_id, coalesce((select arg_min(user_id, step) from chain c where c.item_id = i.item_id), (select arg_max(user_id, rank * 1e12 - user_id) from tm where tm.matter_id = i.matter_id and user_id <> submitter_id),
+ case when owner_id <> submitter_id then owner_id end, (select arg_max(user_id, rank * 1e12 - user_id) from fm where fm.firm_id = v.firm_id and user_id <> submitter_id)) as first_owner,
+ coalesce((select arg_max(user_id, rank * 1e12 - user_id) from tm where tm.matter_id = i.matter_id and rank >= 6), (select arg_max(user_id, step) from chain c where c.item_id = i.item_id), (select arg_max(user_id, rank * 1e12 - user_id) from tm where tm.matter_id = i.matter_id)) as end_owner
+from i left join v using (matter_id)""")
+def matter_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who owns an item first and last, with the vault's owner and the firm's partners behind the team."""
+    return G.chain_owners(*review_tables(spark, sf_dir))
