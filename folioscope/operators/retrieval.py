@@ -294,18 +294,23 @@ def keyword_relevance(docs: DataFrame, queries: DataFrame, most: int) -> DataFra
     """(query_id, id, relevance): the share of each question's (query_id, query) distinct words that a document (id, text) holds, for
     the ``most`` best documents and what ties with nothing: documents without any of the words fill up, by id.
 
-    Documents meet questions by words; no pair without a common word is made, but for those that fill up.
+    Documents meet the different sets of words by words; no pair without a common word is made, but for those that fill up.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words"))
-    per_word = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    # questions of the same words find the same: each set of words is looked up once, and only its ``most`` best meet the questions
+    words = F.coalesce(F.array_join(F.array_sort(F.array_distinct(tokens(F.col("query")))), " "), F.lit(""))
+    asked = queries.select("query_id", words.alias("words"))
+    sets = asked.select("words").distinct()
+    each = F.split("words", " ")
+    per_word = sets.where("words <> ''").select("words", F.size(each).alias("n"), F.explode(each).alias("word"))
     held = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    hits = held.join(per_word, "word").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("relevance"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id"))
+    hits = held.join(small(per_word), "word").groupBy("words", "id").agg((F.count("*") / F.first("n")).alias("relevance"))
+    best = F.row_number().over(Window.partitionBy("words").orderBy(F.desc("relevance"), "id"))
     hits = hits.withColumn("place", best).where(F.col("place") <= most).drop("place")
     # 2 * most ids hold as many without a common word, or the question has ``most`` with one
     few = docs.select("id").distinct().orderBy("id").limit(2 * most)
-    rest = small(few).join(asked.select("query_id"), F.lit(True)).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return hits.unionByName(rest.select("query_id", "id", F.lit(0.0).alias("relevance"))).withColumn("place", best).where(F.col("place") <= most).drop("place")
+    rest = small(few).join(sets, F.lit(True)).join(hits.select("words", "id"), ["words", "id"], "left_anti")
+    found = hits.unionByName(rest.select("words", "id", F.lit(0.0).alias("relevance"))).withColumn("place", best).where(F.col("place") <= most)
+    return asked.join(found, "words").select("query_id", "id", "relevance")
 
 
 def route(docs: DataFrame, queries: DataFrame, k: int = 12, weight: float = 0.7, ahead: int = 96) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import os
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from folioscope.operators import retrieval
 from folioscope.plans import catalog
 from tests.harness import compare
 
@@ -31,3 +34,33 @@ def vectors(rows) -> pa.Table:
 def test_questions_with_several_equal_vectors_are_not_graded_weak(spark, tmp_path):
     sf = tables(tmp_path, embeddings=vectors([(i, [1.0, 0.0] if i % 20 == 0 else [0.0, 1.0 + i]) for i in range(100)]))
     assert compare(spark, duck_of(tmp_path), sf, catalog.queries()["empty_grades"], catalog.oracle_sql()["empty_grades"]) == ""
+
+
+def plan_rows(df) -> int:
+    """The most rows that a step of the plan puts out."""
+    df.collect()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        rows = plan.metrics().get("numOutputRows")
+        return max([rows.get().value() if rows.isDefined() else 0, *(walk(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def shuffled_bytes(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_equal_questions_look_their_words_up_once(spark):
+    docs = spark.range(300).selectExpr("id", "concat('common w', id) as text")
+    asked = spark.range(200).selectExpr("id as query_id", "if(id % 2 = 0, 'common w5', 'W7 common w7') as query")
+    got = retrieval.keyword_relevance(docs, asked, 2)
+    assert {tuple(r) for r in got.collect()} == {(q, i, s) for q in range(200) for i, s in ([(5, 1.0), (0, 0.5)] if q % 2 == 0 else [(7, 1.0), (0, 0.5)])}
+    assert plan_rows(got) < 10_000  # before, 200 questions x 300 documents
