@@ -32,6 +32,11 @@ def dense_scores(rows: DataFrame, queries: DataFrame, id_col: str, keep: tuple[s
 QUESTION_BLOCK, GROUPED_BLOCK, ROW_BLOCK, SCORES = 4096, 256, 16_384, 4_000_000
 
 
+def as_given(df: DataFrame, column: str) -> Column:
+    """Vectors of floats as they are, half as wide on their way to the blocks that compute in doubles; all others as doubles."""
+    return F.col(column) if dict(df.dtypes)[column] == "array<float>" else F.col(column).cast("array<double>")
+
+
 def dense_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str | None = None, floor: float | None = None, meet: str | None = None) -> DataFrame:
     """(query_id, [by,] id, score, rank): the ``k`` rows of highest cosine of each question, or of each question and group, then the floor.
 
@@ -407,21 +412,23 @@ def diverse_top(rows: DataFrame, queries: DataFrame, k: int = 12, weight: float
 
     ``rated`` (query_id, id, relevance): rows without a vector, which are like nothing that is chosen.
 
+    What a block offers are ids and values; the vectors of the ``ahead`` + 1 best of all are joined to them.
+
     Rows and questions without an id, and vectors that are null, of another length, or not finite take no part; repeated rows
     count once; a zero vector has the relevance 0.
     """
     asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("v")).dropDuplicates(["query_id"])
-    data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v")).dropDuplicates(["id"])
+    data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), as_given(rows, "embedding").alias("v")).dropDuplicates(["id"])
     ahead = max(ahead, k)  # so that the first turn tells whether there are more than k rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     r_parts = max(1, -(-data.count() // ROW_BLOCK))
     n_asked = asked.count()
-    q_parts = max(1, -(-n_asked // GROUPED_BLOCK), min(n_asked, cores // r_parts))
+    q_parts = max(1, -(-n_asked // QUESTION_BLOCK), min(n_asked, cores // r_parts))
     block = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     to_rows = data.withColumn("rb", block("id", r_parts)).select("*", every(q_parts).alias("qb"))
     asked = asked.withColumn("qb", block("query_id", q_parts)).withColumns({"ids": F.array().cast(f"array<{dict(data.dtypes)['id']}>"), "chosen": F.array().cast("array<double>"), "relevances": F.array().cast("array<double>"), "open": F.lit(True)})
-    kind = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(data.dtypes)['id']}, relevance double, value double, v array<double>"
+    kind = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(data.dtypes)['id']}, relevance double, value double"
     state = f"query_id {dict(asked.dtypes)['query_id']}, v array<double>, qb int, ids array<{dict(data.dtypes)['id']}>, chosen array<double>, relevances array<double>, open boolean"
 
     def offered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -430,20 +437,22 @@ def diverse_top(rows: DataFrame, queries: DataFrame, k: int = 12, weight: float
             mine = left[left["v"].map(len) == length]
             if mine.empty:
                 continue
-            ids, units, at = unit_rows(some.sort_values("id", kind="stable"), "id")
-            vectors = some.sort_values("id", kind="stable")["v"].iloc[at].to_numpy()
+            ids, units, _ = unit_rows(some.sort_values("id", kind="stable"), "id")
             questions, asking, of = unit_rows(mine, "query_id")
             for q, ask, i in zip(questions, asking, of):
                 relevance = np.round(units @ ask, 12) + 0.0
                 value = weight * relevance
                 if len(mine["chosen"].iloc[i]):
                     value = value - (1 - weight) * np.round(units @ unit(np.reshape(mine["chosen"].iloc[i], (-1, length))).T, 12).max(axis=1)
-                value = np.where(np.isin(ids, mine["ids"].iloc[i]), -np.inf, np.round(value, 12))
+                value = np.round(value, 12)
+                if len(mine["ids"].iloc[i]):
+                    value = np.where(np.isin(ids, mine["ids"].iloc[i]), -np.inf, value)
                 near = np.arange(len(ids)) if len(ids) <= ahead + 1 else np.flatnonzero(value >= np.partition(value, -(ahead + 1))[-(ahead + 1)])
                 near = near[np.lexsort((near, -relevance[near], -value[near]))][: ahead + 1]  # ids ascend with the place
                 near = near[value[near] > -np.inf]
-                out.append(pd.DataFrame({"query_id": q, "id": ids[near], "relevance": relevance[near], "value": value[near], "v": vectors[near]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "id", "relevance", "value", "v"], dtype=object)
+                out.append((np.full(len(near), q), ids[near], relevance[near], value[near]))
+        columns = ["query_id", "id", "relevance", "value"]
+        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out))))) if out else pd.DataFrame(columns=columns, dtype=object)
 
     def choose(questions: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         question = questions.iloc[0]
@@ -488,13 +497,14 @@ def diverse_top(rows: DataFrame, queries: DataFrame, k: int = 12, weight: float
         rated = written(rated, "rated")
     for _ in range(k):
         now = asked.select("*", every(r_parts).alias("rb"))
-        offers = now.groupBy("qb", "rb").cogroup(to_rows.groupBy("qb", "rb")).applyInPandas(offered, kind)
+        offers = now.groupBy("qb", "rb").cogroup(to_rows.groupBy("qb", "rb")).applyInPandas(offered, kind).withColumn("of", F.col("id"))
         if rated is not None:
             left = rated.join(asked.select("query_id", "ids"), "query_id").where(~F.array_contains("ids", F.col("id")))
-            left = left.select("query_id", "id", "relevance", F.round(weight * F.col("relevance"), 12).alias("value"), F.lit(None).cast("array<double>").alias("v"))
+            left = left.select("query_id", "id", "relevance", F.round(weight * F.col("relevance"), 12).alias("value"), F.lit(None).cast(data.schema["id"].dataType).alias("of"))
             offers = offers.unionByName(left)
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), F.desc("relevance"), "id"))
         offers = offers.withColumn("place", best).where(F.col("place") <= ahead + 1).drop("place")
+        offers = offers.join(data.withColumnRenamed("id", "of"), "of", "left").drop("of")  # only what may be chosen takes its vector along
         asked = written(asked.groupBy("query_id").cogroup(offers.groupBy("query_id")).applyInPandas(choose, state), "choices")
         done = asked.where(~F.col("open")) if done is None else done.unionByName(asked.where(~F.col("open")))
         asked = asked.where("open")

@@ -64,3 +64,22 @@ def test_equal_questions_look_their_words_up_once(spark):
     got = retrieval.keyword_relevance(docs, asked, 2)
     assert {tuple(r) for r in got.collect()} == {(q, i, s) for q in range(200) for i, s in ([(5, 1.0), (0, 0.5)] if q % 2 == 0 else [(7, 1.0), (0, 0.5)])}
     assert plan_rows(got) < 10_000  # before, 200 questions x 300 documents
+
+
+def test_offers_of_a_diverse_search_leave_their_vectors_at_home(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 97)
+    drawn = np.random.default_rng(5).normal(size=(776, 512))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(drawn)], "id long, embedding array<float>")
+    asked = rows.where("id < 40").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a task for each block
+    try:
+        got = retrieval.diverse_top(rows, asked, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert shuffled_bytes(spark) - before < 30_000_000  # not the blocks times 40 questions times 97 offers of 4096 bytes
+    vectors = drawn.astype(np.float32).astype(np.float64)
+    sizes = np.linalg.norm(vectors, axis=1)
+    for q in (0, 17, 39):
+        relevance = np.round(vectors @ vectors[q] / (sizes * sizes[q]), 12)
+        assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for i, _ in retrieval.mmr_order(np.arange(776), relevance, vectors, 3, 0.7)]
