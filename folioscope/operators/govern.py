@@ -40,14 +40,31 @@ def visible(vaults: DataFrame, members: DataFrame, staffed: DataFrame, screens:
 
     vaults: vault_id, firm_id, owner_id; members: user_id, firm_id, role; staffed: user_id, vault_id; screens: user_id,
     vault_id, removed_at.
+
+    What partners see is as many rows as firms have partners times vaults.  It is neither sorted nor shuffled: pairs of a vault with
+    one firm are distinct as they are, and screens are asked only where both user and vault have one.
     """
-    partners = members.where(F.col("role").isin("managing_partner", "senior_partner", "partner"))
-    by_firm = vaults.join(partners, "firm_id").select("user_id", "vault_id")
-    owned = vaults.select(F.col("owner_id").alias("user_id"), "vault_id").join(members.select("user_id"), "user_id", "left_semi")
+    here = Window.partitionBy("vault_id")
+    mixed = (F.min("firm_id").over(here) != F.max("firm_id").over(here)) | (F.count("firm_id").over(here) < F.count("*").over(here))
+    vaults = vaults.select("vault_id", "firm_id", "owner_id").withColumn("mixed", F.coalesce(mixed, F.lit(False)))
+    partners = members.where(F.col("role").isin("managing_partner", "senior_partner", "partner")).select("user_id", "firm_id").distinct()
+    active = screens.where("removed_at is null").select("user_id", "vault_id").distinct()
+    screened = lambda key: active.select(key).distinct().withColumn(f"{key}_screened", F.lit(True))
+
+    parts = 4 * vaults.sparkSession.sparkContext.defaultParallelism
+    of_one = vaults.where(~F.col("mixed")).select("vault_id", "firm_id").distinct().join(screened("vault_id"), "vault_id", "left").repartition(parts, "vault_id")
+    leads = partners.join(screened("user_id"), "user_id", "left")
+    both = F.coalesce(F.col("vault_id_screened") & F.col("user_id_screened"), F.lit(False))
+    free = of_one.join(leads, "firm_id").where(~both).select("user_id", "vault_id")
+    asked = of_one.where("vault_id_screened").join(leads.where("user_id_screened"), "firm_id").select("user_id", "vault_id")
+    of_many = vaults.where("mixed").join(partners, "firm_id").select("user_id", "vault_id")
+
+    owned = vaults.select(F.col("owner_id").alias("user_id"), "vault_id", "firm_id", "mixed").join(members.select("user_id"), "user_id", "left_semi")
     of_member = staffed.select("user_id", "vault_id").join(members.select("user_id", "firm_id"), "user_id")
-    own_firm = of_member.join(vaults.select("vault_id", "firm_id"), ["vault_id", "firm_id"]).select("user_id", "vault_id")
-    active = screens.where("removed_at is null").select("user_id", "vault_id")
-    return by_firm.unionByName(owned).unionByName(own_firm).distinct().join(active, ["user_id", "vault_id"], "left_anti")
+    own_firm = of_member.join(vaults.select("vault_id", "firm_id", "mixed"), ["vault_id", "firm_id"])
+    own = owned.unionByName(own_firm)
+    others = own.where(~F.col("mixed")).join(partners, ["user_id", "firm_id"], "left_anti").unionByName(own.where("mixed")).select("user_id", "vault_id")
+    return free.unionByName(asked.unionByName(of_many).unionByName(others).distinct().join(active, ["user_id", "vault_id"], "left_anti"))
 
 
 def policy_view(rows: DataFrame, grants: DataFrame, user) -> DataFrame:

@@ -1,13 +1,15 @@
 """Results that must not depend on how many rows, copies or equal questions there are."""
 
 import os
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from folioscope.operators import retrieval
+from folioscope.operators import govern, retrieval
 from folioscope.plans import catalog
 from tests.harness import compare
 
@@ -83,3 +85,57 @@ def test_offers_of_a_diverse_search_leave_their_vectors_at_home(spark, monkeypat
     for q in (0, 17, 39):
         relevance = np.round(vectors @ vectors[q] / (sizes * sizes[q]), 12)
         assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for i, _ in retrieval.mmr_order(np.arange(776), relevance, vectors, 3, 0.7)]
+
+
+def test_what_partners_see_is_not_shuffled_pair_by_pair(spark):
+    vaults = spark.range(4000).selectExpr("id as vault_id", "id % 4 as firm_id", "id % 50 as owner_id")
+    members = spark.range(400).selectExpr("id as user_id", "id % 4 as firm_id", "if(id < 390, 'partner', 'associate') as role")
+    staffed = spark.range(4000).selectExpr("id % 400 as user_id", "id as vault_id")
+    screens = spark.range(4000).selectExpr("id % 400 as user_id", "id as vault_id", "if(id % 3 = 0, 'x', null) as removed_at")
+    before = shuffled_bytes(spark)
+    got = govern.visible(vaults, members, staffed, screens)
+    n = got.count()
+    assert shuffled_bytes(spark) - before < 2_200_000  # 390,000 pairs are more
+    assert n == got.distinct().count() == brute_visible(vaults, members, staffed, screens)[0]
+
+
+def test_visible_with_repeats_nulls_and_vaults_of_several_firms(spark):
+    vaults = spark.createDataFrame([(1, 1, 7), (1, 1, 7), (1, 2, 1), (2, 1, 1), (2, None, 9), (3, 1, 3), (None, 1, 1), (None, 2, 5), (4, None, 4), (5, 2, 2)], "vault_id int, firm_id int, owner_id int")
+    members = spark.createDataFrame([(1, 1, "partner"), (1, 1, "partner"), (2, 2, "partner"), (1, 2, "senior_partner"), (3, 1, "associate"), (4, 2, "associate"), (None, 1, "partner"), (9, None, "partner")], "user_id int, firm_id int, role string")
+    staffed = spark.createDataFrame([(3, 1), (3, 1), (4, 1), (4, 3), (1, 5), (None, 1)], "user_id int, vault_id int")
+    screens = spark.createDataFrame([(1, 1, None), (1, 1, None), (2, 5, "2024"), (3, 3, None), (None, 3, None)], "user_id int, vault_id int, removed_at string")
+    got = govern.visible(vaults, members, staffed, screens).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_visible(vaults, members, staffed, screens)[1]))
+
+
+def brute_visible(vaults, members, staffed, screens):
+    v, m, s = ([tuple(r) for r in df.collect()] for df in (vaults, members, staffed))
+    firms = {}
+    for user, firm, role in m:
+        firms.setdefault(firm, set()).add((user, role != "associate"))
+    known = {u for u, *_ in m} - {None}
+    member = {(u, f) for u, f, _ in m if u is not None and f is not None}
+    seen = {(u, vault) for vault, firm, _ in v if firm is not None for u, leads in firms.get(firm, ()) if leads}
+    seen |= {(owner, vault) for vault, _, owner in v if owner in known}
+    of = {}
+    for vault, firm, _ in v:
+        of.setdefault(vault, set()).add(firm)
+    seen |= {(u, vault) for u, vault in s if vault is not None and any((u, f) in member for f in of.get(vault, ()))}
+    seen -= {(r.user_id, r.vault_id) for r in screens.collect() if r.removed_at is None and r.user_id is not None and r.vault_id is not None}
+    return len(seen), seen
+
+
+def test_a_block_of_questions_and_rows_takes_little_memory(spark):
+    rows = spark.createDataFrame([], "id long, embedding array<float>")
+    asked = spark.createDataFrame([], "query_id long, query_vector array<float>")
+    solve, _ = retrieval.block_best(rows, asked, 8, "id", None)
+    drawn = np.random.default_rng(3).normal(size=(16_384, 8)).astype(np.float32)
+    right, left = pd.DataFrame({"id": np.arange(16_384), "v": list(drawn)}), pd.DataFrame({"query_id": np.arange(512), "v": list(drawn[:512])})
+    tracemalloc.start()
+    try:
+        found = solve(left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70_000_000 and len(found) == 512 * 8
+    assert (found.groupby("query_id")["id"].first() == np.arange(512)).all()
