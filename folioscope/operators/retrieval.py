@@ -29,7 +29,7 @@ def dense_scores(rows: DataFrame, queries: DataFrame, id_col: str, keep: tuple[s
 
 
 #: Questions (with groups, fewer: each group has its own best) and rows that one task compares, and the scores it holds at a time.
-QUESTION_BLOCK, GROUPED_BLOCK, ROW_BLOCK, SCORES = 4096, 256, 16_384, 4_000_000
+QUESTION_BLOCK, GROUPED_BLOCK, ROW_BLOCK, SCORES = 4096, 256, 16_384, 1_000_000
 
 
 def as_given(df: DataFrame, column: str) -> Column:
@@ -51,8 +51,8 @@ def dense_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str
     keep = [by] if by else []
     if meet:
         return met_top(rows, queries, k, id_col, by, floor, meet)
-    asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("v"))
-    data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), *keep, F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("query_id is not null and query_vector is not null").select("query_id", as_given(queries, "query_vector").alias("v"))
+    data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), *keep, as_given(rows, "embedding").alias("v"))
     q_parts, r_parts = (max(1, -(-df.count() // size)) for df, size in ((asked, GROUPED_BLOCK if by else QUESTION_BLOCK), (data, ROW_BLOCK)))
     block = lambda key, parts: F.pmod(F.xxhash64(key, "v"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
@@ -68,8 +68,8 @@ def met_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str |
     keep = [by] if by else []
     asked = queries.where(F.col("query_id").isNotNull() & F.col("query_vector").isNotNull() & F.col(meet).isNotNull())
     data = rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull() & F.col(meet).isNotNull())
-    asked = asked.select("query_id", F.col(meet).alias("at"), F.col("query_vector").cast("array<double>").alias("v"))
-    data = data.select(F.col(id_col).alias("id"), *keep, F.col(meet).alias("at"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = asked.select("query_id", F.col(meet).alias("at"), as_given(queries, "query_vector").alias("v"))
+    data = data.select(F.col(id_col).alias("id"), *keep, F.col(meet).alias("at"), as_given(rows, "embedding").alias("v"))
     parts = lambda df, size, name: df.groupBy("at").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     sizes = parts(asked, GROUPED_BLOCK if by else QUESTION_BLOCK, "q_parts").join(parts(data, ROW_BLOCK, "r_parts"), "at")
     block = lambda key, n: F.pmod(F.xxhash64(key, "v"), F.col(n)).cast("int")
@@ -121,7 +121,9 @@ def block_best(rows: DataFrame, queries: DataFrame, k: int, id_col: str, by: str
 
 def unit_rows(frame: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, vectors of length 1 (or 0) and places of the frame's rows whose vector ``v`` is finite throughout."""
-    vectors = np.array([np.asarray(v, np.float64) for v in frame["v"]])
+    vectors = np.empty((len(frame), len(frame["v"].iloc[0])))
+    for i, v in enumerate(frame["v"]):  # all of one length; nulls become not a number
+        vectors[i] = v
     at = np.flatnonzero(np.isfinite(vectors).all(axis=1))
     return frame[key].to_numpy()[at], unit(vectors[at]), at
 
