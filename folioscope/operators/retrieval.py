@@ -31,6 +31,9 @@ def dense_scores(rows: DataFrame, queries: DataFrame, id_col: str, keep: tuple[s
 #: Questions (with groups, fewer: each group has its own best) and rows that one task compares, and the scores it holds at a time.
 QUESTION_BLOCK, GROUPED_BLOCK, ROW_BLOCK, SCORES = 4096, 256, 16_384, 1_000_000
 
+#: Questions whose pools' texts one task takes apart.
+POOL_BLOCK = 256
+
 
 def as_given(df: DataFrame, column: str) -> Column:
     """Vectors of floats as they are, half as wide on their way to the blocks that compute in doubles; all others as doubles."""
@@ -174,8 +177,13 @@ def retrieve(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc
 
 
 def fused(dense: DataFrame, rows: DataFrame, queries: DataFrame, k: int, id_col: str, rerank: Callable[[DataFrame, int], DataFrame] | None) -> DataFrame:
-    """A ranked pool (query_id, id, score, rank) fused with BM25 on it, then reranked or cut to ``k``."""
-    pool = dense.select("query_id", id_col).join(rows.select(id_col, "text"), id_col)
+    """A ranked pool (query_id, id, score, rank) fused with BM25 on it, then reranked or cut to ``k``.
+
+    A task holds the terms of ``POOL_BLOCK`` questions' pools, whatever their number.
+    """
+    n_asked, cores = queries.count(), rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n_asked // POOL_BLOCK), min(n_asked, cores))
+    pool = dense.select("query_id", id_col).join(rows.select(id_col, "text"), id_col).repartition(parts, "query_id")
     sparse = bm25(pool, queries.select("query_id", "query"), id_col, own_pool=True).withColumn("score", F.round("score", 9))
     sparse = sparse.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)))
     lists = dense.withColumn("list", F.lit(0)).unionByName(sparse.withColumn("list", F.lit(1)))
