@@ -230,15 +230,24 @@ STATED = r"\d|(^|[^\p{L}\p{N}_])(" + "|".join((*P.RESULT_WORDS, *P.ABSENCE)) + r
 def addressed(answer: Column, entity: Column, reach: int = 200) -> Column:
     """Whether a number, a result word or a statement of absence stands within ``reach`` characters of some mention of the
     entity; true for an empty entity."""
-    low, name = F.lower(F.coalesce(answer, F.lit(""))), F.lower(F.coalesce(entity, F.lit("")))
-    parts = F.split(F.replace(low, name, F.lit("\u0001")), "\u0001")
-    begin = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), "")) + (i - 1) * F.length(name) + 1)
 
-    def near(at: Column) -> Column:
-        start = F.greatest(at - reach, F.lit(1))
-        return F.substr(low, start, at + F.length(name) + reach - start).rlike(STATED)
+    def of(low: Column, name: Column) -> Column:
+        parts = F.split(F.replace(low, name, F.lit("\u0001")), "\u0001")
 
-    return F.when(name == "", True).when(F.size(parts) < 2, False).otherwise(F.exists(begin, near))
+        def near(at: Column) -> Column:
+            start = F.greatest(at - reach, F.lit(1))
+            return F.substr(low, start, at + F.length(name) + reach - start).rlike(STATED)
+
+        def step(seen: Column, part: Column) -> Column:  # a mention follows each part; the first that is near decides
+            end = seen["end"] + F.length(part)
+            return F.struct((end + F.length(name)).alias("end"), F.when(seen["found"], True).otherwise(near(end + 1)).alias("found"))
+
+        start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("found"))
+        some = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda seen: seen["found"])
+        return F.when(name == "", True).when(F.size(parts) < 2, False).otherwise(some)
+
+    both = F.struct(F.lower(F.coalesce(answer, F.lit(""))).alias("low"), F.lower(F.coalesce(entity, F.lit(""))).alias("name"))
+    return F.transform(F.array(both), lambda x: of(x["low"], x["name"]))[0]  # the text is put in lower case once, not at each mention
 
 
 def completeness(answers: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from folioscope.operators import govern, retrieval
+from folioscope.operators import govern, retrieval, verify
 from folioscope.plans import catalog
 from tests.harness import compare
 
@@ -139,3 +139,7 @@ def test_a_block_of_questions_and_rows_takes_little_memory(spark):
         tracemalloc.stop()
     assert peak < 70_000_000 and len(found) == 512 * 8
     assert (found.groupby("query_id")["id"].first() == np.arange(512)).all()
+
+
+def test_a_text_is_lowered_once_for_all_mentions(spark):
+    assert str(verify.addressed(F.col("a"), F.col("b"))).count("lower(") == 2
