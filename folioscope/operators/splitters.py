@@ -1,16 +1,19 @@
-"""Table functions that split a document's rows in order: clauses of elements, provisions of statutes' lines.
+"""Folds that split a document's rows in order: clauses of elements, provisions of statutes' lines.
 
-Each names its own partitioning, order and columns, so that in SQL ``select * from split_clauses(table(elements))`` is enough, and
-a document passes row by row: a task holds the open chunk only, however long the document is.
+A document passes row by row, and a task holds a batch of rows and the open chunk, however long the document is.  ``folded`` is for
+tables: one shuffle, and Arrow batches that hold rows of many documents.  The table functions are for SQL, where each names its own
+partitioning, order and columns, so that ``select * from split_clauses(table(elements))`` is enough; they pay a call for each row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
@@ -88,8 +91,8 @@ class StatuteFold:
         self.current, self.parts = None, []
 
     def take(self, raw: str | None) -> Iterator[tuple]:
-        line = re.sub(r"\s+", " ", raw or "").strip()
-        if self.ended or not line or FOOTNOTE.match(line):
+        line = "" if self.ended else " ".join((raw or "").split())
+        if not line or FOOTNOTE.match(line):
             return
         if SCHEDULE.match(line) and self.current is not None:
             self.ended = True
@@ -98,7 +101,7 @@ class StatuteFold:
             self.chapter = f"{found[1].upper()} {found[2].upper()}"
             return
         opened, before = OPENER.match(line), ""
-        if opened is None and (opened := BURIED.search(line)):
+        if opened is None and "[" in line and (opened := BURIED.search(line)):
             before = line[: opened.start()].strip()
         if opened and (self.allowed is None or opened[1] in self.allowed):
             self.parts.append(before)
@@ -111,6 +114,39 @@ class StatuteFold:
             self.parts.append(line)
 
 
+#: Columns that follow the key.
+CLAUSE = [("chunk_index", IntegerType()), ("heading", StringType()), ("page_number", IntegerType()), ("text", StringType())]
+PROVISION = [("ix", IntegerType()), *((c, StringType()) for c in ("chapter", "section_id", "title", "text")), ("repealed", BooleanType())]
+
+
+def folded(rows: DataFrame, key: str, columns: list[str], out: list[tuple], start: Callable, first: tuple[str, ...] = ()) -> DataFrame:
+    """What a fold makes of each key's rows, in the order of ``elem_ix``: the key in its own type, then ``out``.
+
+    ``start`` gets the values of ``first`` in the key's first row and returns the fold, which takes the ``columns``.  A key's rows may
+    go on in the next batch.
+    """
+    schema = StructType([StructField(key, rows.schema[key].dataType), *(StructField(n, t) for n, t in out)])
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done) if done else [()] * len(arrow), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold = None, None
+        for batch in batches:
+            done = []
+            for i, (k, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, *columns)))):
+                if fold is None or k != now:
+                    done += [(now, *x) for x in fold.end()] if fold else []
+                    now, fold = k, start(*(batch.column(c)[i].as_py() for c in first))
+                done += [(k, *x) for x in fold.take(*row)]
+            yield batch_of(done)
+        if fold is not None:
+            yield batch_of([(now, *x) for x in fold.end()])
+
+    return rows.select(key, "elem_ix", *columns, *first).repartition(key).sortWithinPartitions(key, "elem_ix").mapInArrow(run, schema)
+
+
 def shaped(table: AnalyzeArgument, key: str, others: list[str], out: list[tuple]) -> AnalyzeResult:
     """One partition for each ``key`` in the order of ``elem_ix``, of these columns only; the rows begin with the key in its own type."""
     if not table.isTable:
@@ -123,7 +159,7 @@ def shaped(table: AnalyzeArgument, key: str, others: list[str], out: list[tuple]
     return AnalyzeResult(schema, partitionBy=[PartitioningColumn(key)], orderBy=[OrderingColumn("elem_ix")], select=select)
 
 
-@F.udtf(useArrow=True)
+@F.udtf(useArrow=False)
 class SplitClauses:
     """``ClauseFold`` of each document: doc_id, chunk_index, heading, page_number, text; table: doc_id, elem_ix, page_number, text."""
 
@@ -132,8 +168,7 @@ class SplitClauses:
 
     @staticmethod
     def analyze(rows: AnalyzeArgument, max_chars=None, start_chars=None, least_chars=None, compat_page=None) -> AnalyzeResult:
-        out = [("chunk_index", IntegerType()), ("heading", StringType()), ("page_number", IntegerType()), ("text", StringType())]
-        return shaped(rows, "doc_id", ["page_number", "text"], out)
+        return shaped(rows, "doc_id", ["page_number", "text"], CLAUSE)
 
     def eval(self, row: Row, max_chars=3000, start_chars=40, least_chars=10, compat_page=False):
         if self.fold is None:
@@ -147,7 +182,7 @@ class SplitClauses:
                 yield self.key, *chunk
 
 
-@F.udtf(useArrow=True)
+@F.udtf(useArrow=False)
 class SplitStatutes:
     """``StatuteFold`` of each source: source_key, ix, chapter, section_id, title, text, repealed; table: source_key, elem_ix, text,
     toc_ids (array, null without a table of contents; that of the source's first line counts)."""
@@ -157,8 +192,7 @@ class SplitStatutes:
 
     @staticmethod
     def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
-        out = [("ix", IntegerType()), *((c, StringType()) for c in ("chapter", "section_id", "title", "text")), ("repealed", BooleanType())]
-        result = shaped(rows, "source_key", ["text", "toc_ids"], out)
+        result = shaped(rows, "source_key", ["text", "toc_ids"], PROVISION)
         if not isinstance(rows.dataType["toc_ids"].dataType, ArrayType):
             raise ValueError("toc_ids must be an array")
         return result
@@ -186,4 +220,7 @@ def clauses(elements: DataFrame, **limits) -> DataFrame:
 
 
 def statutes(lines: DataFrame) -> DataFrame:
-    return SplitStatutes(lines.asTable())
+    """``StatuteFold`` of each source; lines: source_key, elem_ix, text, toc_ids."""
+    if not isinstance(lines.schema["toc_ids"].dataType, ArrayType):
+        raise ValueError("toc_ids must be an array")
+    return folded(lines, "source_key", ["text"], PROVISION, lambda ids: StatuteFold(None if ids is None else set(ids)), ("toc_ids",))

@@ -1,8 +1,9 @@
-"""Table functions asked in SQL over lines of documents that are given the shape of a statute."""
+"""Provisions of lines of documents that are given the shape of a statute."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.operators import splitters
 from folioscope.plans.ingest_queries import q
@@ -37,9 +38,11 @@ z as (select *, row_number() over (partition by doc_id, id order by sec) as nth
 select doc_id::varchar as source_key, row_number() over (partition by doc_id order by sec)::int as ix, chapter, id as section_id, trim(title, '[] .') as title, md5(coalesce(text, '')) as text_md5,
  regexp_matches(title, {q(_I + splitters.REPEALED.pattern)}) or regexp_matches(body, {q(_I + splitters.REPEALED.pattern)}) as repealed from z left join t using (doc_id, sec) where nth = 1""")
 def statutes_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``split_statutes`` called in SQL: chapters, sections, buried ones, footnotes, stubs, repeated ids, a schedule, tables of contents."""
-    splitters.register(spark)
-    lines = """(select cast(doc_id as string) as source_key, i as elem_ix, {shape} as text, case when doc_id % 2 = 1 then array('1', '2', '3', '5', '8', '30', '32', '60') end as toc_ids
-     from (select doc_id, posexplode(split(text, '\n')) as (i, t) from {docs}))"""
-    found = f"select source_key, ix, chapter, section_id, title, md5(text) as text_md5, repealed from split_statutes(table{lines.replace('{shape}', _SHAPE)})"
-    return spark.sql(found, docs=read(spark, sf_dir, "documents"))
+    """Provisions of every document: chapters, sections, buried ones, footnotes, stubs, repeated ids, a schedule, tables of contents."""
+    lines = spark.sql(
+        f"""select cast(doc_id as string) as source_key, i as elem_ix, {_SHAPE} as text, case when doc_id % 2 = 1 then array('1', '2', '3', '5', '8', '30', '32', '60') end as toc_ids
+     from (select doc_id, posexplode(split(text, '\n')) as (i, t) from {{docs}})""",
+        docs=read(spark, sf_dir, "documents"),
+    )
+    found = splitters.statutes(lines)
+    return found.select("source_key", "ix", "chapter", "section_id", "title", F.md5("text").alias("text_md5"), "repealed")

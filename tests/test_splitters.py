@@ -79,3 +79,29 @@ def test_statutes_with_and_without_a_table_of_contents(spark):
     assert {r[2]: r[4] for r in got["a"]}["18A"] == whole[4][4] and {r[2]: r[4] for r in got["a"]}["2"] == whole[1][4]
     assert [r[2] for r in sorted(got["b"])] == ["2", "17"]
     assert sorted(got["b"])[0][4] == "In this Act, court means a court. 1[16. Limitation.—None.]"
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statutes_go_on_in_the_next_batch_and_equal_the_table_function(spark, small_batches):
+    text = ["CHAPTER I", "1. Short title.—This Act", "court 1[16. Limitation.—None.]", "", None, "1. Subs. by Act 5.", "2. Costs.  [x", "to\u2003either\tparty [1]", "17. [Repealed.]", "1. Again", "second schedule", "3. No"]
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice(text), ids) for k, ids in (("a", None), ("b", ["2", "17"]), (None, None), ("d", []), ("e", ["1"])) for i in range(rng.randint(1, 40))]
+    lines = spark.createDataFrame(rows, LINE)
+    found = corpus.statutes(lines)
+    splitters.register(spark)
+    lines.createOrReplaceTempView("some_lines")
+    want = spark.sql("select * from split_statutes(table(some_lines))")
+    assert found.schema == want.schema and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert "MapInArrow" in plan_of(found) and "UDTF" not in plan_of(found)  # no call for each row
+    with pytest.raises(ValueError, match="toc_ids must be an array"):
+        splitters.statutes(lines.withColumn("toc_ids", lines["text"]))
