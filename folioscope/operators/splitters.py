@@ -216,7 +216,8 @@ def register(spark: SparkSession) -> None:
 
 
 def clauses(elements: DataFrame, **limits) -> DataFrame:
-    return SplitClauses(elements.asTable(), **{name: F.lit(value) for name, value in limits.items()})
+    """``ClauseFold`` of each document; elements: doc_id, elem_ix, page_number, text."""
+    return folded(elements, "doc_id", ["text", "page_number"], CLAUSE, lambda: ClauseFold(**limits))
 
 
 def statutes(lines: DataFrame) -> DataFrame:

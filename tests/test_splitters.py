@@ -105,3 +105,11 @@ def test_statutes_go_on_in_the_next_batch_and_equal_the_table_function(spark, sm
     assert "MapInArrow" in plan_of(found) and "UDTF" not in plan_of(found)  # no call for each row
     with pytest.raises(ValueError, match="toc_ids must be an array"):
         splitters.statutes(lines.withColumn("toc_ids", lines["text"]))
+
+
+def test_clauses_go_on_in_the_next_batch(spark, small_batches):
+    rng = random.Random(5)
+    docs = {d: [(d, i, rng.choice([None, 1, 2]), rng.choice(["", None, "1. Fees", " 2.1 Term of it", "x" * 30, "é" * 55, "z" * 4000])) for i in range(n)] for d, n in [(1, 40), (2, 1), (3, 100), (None, 25)]}
+    chunks = ingest.clause_chunks(spark.createDataFrame([r for d in docs.values() for r in d], ELEMENT), max_chars=100)
+    assert sorted((str(r[0]), *r[1:]) for r in chunks.collect()) == sorted((str(d), *c) for d, r in docs.items() for c in clauses_of(r, 100))
+    assert "MapInArrow" in plan_of(chunks) and "UDTF" not in plan_of(chunks)
