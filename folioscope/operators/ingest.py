@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
 from folioscope.operators import splitters
-from folioscope.operators.splitters import ClauseFold
+from folioscope.operators.splitters import ClauseFold, TitleFold
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -118,28 +118,18 @@ def clause_chunks(elements: DataFrame, max_chars: int = 3000, **options) -> Data
     return splitters.clauses(elements, max_chars=max_chars, **options)
 
 
-def pack_titles(rows: pd.DataFrame, most: int = 3000, new_after: int = 2400, combine_under: int = 500) -> pd.DataFrame:
-    """Title chunks of one document: a title starts a chunk unless the open one is under ``combine_under`` characters; a chunk
-    takes no more once it has ``new_after`` and never grows over ``most``; longer elements are cut there."""
-    out: list[str] = []
-    open_text = ""
-    for text, category in zip(rows["text"], rows["category"]):
-        for piece in [text[i : i + most] for i in range(0, len(text or ""), most)]:
-            full = len(open_text) >= new_after or len(open_text) + len(piece) + 2 > most
-            if open_text and (full or (category == "Title" and len(open_text) >= combine_under)):
-                out.append(open_text)
-                open_text = ""
-            open_text = f"{open_text}\n\n{piece}" if open_text else piece
-    if open_text:
-        out.append(open_text)
-    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "chunk_index": range(1, len(out) + 1), "text": out})
+def pack_titles(rows: pd.DataFrame, **limits) -> pd.DataFrame:
+    """``TitleFold`` of one document's elements in order."""
+    fold = TitleFold(**limits)
+    out = [chunk for text, category in zip(rows["text"], rows["category"]) for chunk in fold.take(text, category)] + list(fold.end())
+    chunks = pd.DataFrame(out, columns=["chunk_index", "text"])
+    chunks.insert(0, "doc_id", rows["doc_id"].iloc[0] if len(rows) else None)
+    return chunks
 
 
 def title_chunks(elements: DataFrame, **limits) -> DataFrame:
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pack_titles(rows.sort_values("elem_ix"), **limits)
-
-    return elements.select("doc_id", "elem_ix", "category", "text").groupBy("doc_id").applyInPandas(pack, "doc_id long, chunk_index int, text string")
+    """``TitleFold`` per document, row by row; elements: doc_id, elem_ix, category, text."""
+    return splitters.titles(elements, **limits)
 
 
 def numbered_chunks(chunks: DataFrame, order: str = "elem_ix", least_chars: int = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Folds that split a document's rows in order: clauses of elements, provisions of statutes' lines.
+"""Folds that split a document's rows in order: clauses of elements, provisions of statutes' lines, title chunks.
 
 A document passes row by row, and a task holds a batch of rows and the open chunk, however long the document is.  ``folded`` is for
 tables: one shuffle, and Arrow batches that hold rows of many documents.  The table functions are for SQL, where each names its own
@@ -114,9 +114,34 @@ class StatuteFold:
             self.parts.append(line)
 
 
+class TitleFold:
+    """Title chunks (chunk_index, text) of one document, whose elements are given in order: a title starts a chunk unless the open
+    one is under ``combine_under`` characters; a chunk takes no more once it has ``new_after`` and never grows over ``most``;
+    longer elements are cut there."""
+
+    def __init__(self, most: int = 3000, new_after: int = 2400, combine_under: int = 500):
+        self.most, self.new_after, self.combine_under = most, new_after, combine_under
+        self.n, self.text = 0, ""
+
+    def end(self) -> Iterator[tuple]:
+        if self.text:
+            self.n += 1
+            yield self.n, self.text
+        self.text = ""
+
+    def take(self, raw: str | None, category: str | None) -> Iterator[tuple]:
+        text = raw or ""
+        for piece in [text[i : i + self.most] for i in range(0, len(text), self.most)]:
+            full = len(self.text) >= self.new_after or len(self.text) + len(piece) + 2 > self.most
+            if self.text and (full or (category == "Title" and len(self.text) >= self.combine_under)):
+                yield from self.end()
+            self.text = f"{self.text}\n\n{piece}" if self.text else piece
+
+
 #: Columns that follow the key.
 CLAUSE = [("chunk_index", IntegerType()), ("heading", StringType()), ("page_number", IntegerType()), ("text", StringType())]
 PROVISION = [("ix", IntegerType()), *((c, StringType()) for c in ("chapter", "section_id", "title", "text")), ("repealed", BooleanType())]
+TITLED = [("chunk_index", IntegerType()), ("text", StringType())]
 
 
 def folded(rows: DataFrame, key: str, columns: list[str], out: list[tuple], start: Callable, first: tuple[str, ...] = ()) -> DataFrame:
@@ -225,3 +250,8 @@ def statutes(lines: DataFrame) -> DataFrame:
     if not isinstance(lines.schema["toc_ids"].dataType, ArrayType):
         raise ValueError("toc_ids must be an array")
     return folded(lines, "source_key", ["text"], PROVISION, lambda ids: StatuteFold(None if ids is None else set(ids)), ("toc_ids",))
+
+
+def titles(elements: DataFrame, **limits) -> DataFrame:
+    """``TitleFold`` of each document; elements: doc_id, elem_ix, category, text."""
+    return folded(elements, "doc_id", ["text", "category"], TITLED, lambda: TitleFold(**limits))

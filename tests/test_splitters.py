@@ -113,3 +113,22 @@ def test_clauses_go_on_in_the_next_batch(spark, small_batches):
     chunks = ingest.clause_chunks(spark.createDataFrame([r for d in docs.values() for r in d], ELEMENT), max_chars=100)
     assert sorted((str(r[0]), *r[1:]) for r in chunks.collect()) == sorted((str(d), *c) for d, r in docs.items() for c in clauses_of(r, 100))
     assert "MapInArrow" in plan_of(chunks) and "UDTF" not in plan_of(chunks)
+
+
+def test_titles_go_on_in_the_next_batch(spark, small_batches):
+    rng = random.Random(6)
+    rows = [(d, i, rng.choice(["Title", "NarrativeText", None]), rng.choice([None, "", "A", "b" * 90, "é" * 600, "c" * 7000])) for d, n in ((1, 60), (2, 1), (3, 20)) for i in range(n)]
+    chunks = ingest.title_chunks(spark.createDataFrame(rows, "doc_id long, elem_ix int, category string, text string").orderBy("text"))
+    want = []
+    for d in (1, 2, 3):
+        texts = []
+        for _, _, category, text in (r for r in rows if r[0] == d):
+            for piece in [(text or "")[i : i + 3000] for i in range(0, len(text or ""), 3000)]:
+                size = len(texts[-1]) if texts else 3000
+                if size >= 2400 or size + len(piece) + 2 > 3000 or (category == "Title" and size >= 500):
+                    texts.append(piece)
+                else:
+                    texts[-1] += "\n\n" + piece
+        want += [(d, i, t) for i, t in enumerate(texts, 1)]
+    assert sorted(map(tuple, chunks.collect())) == want
+    assert "MapInArrow" in plan_of(chunks) and "FlatMapGroups" not in plan_of(chunks)
