@@ -140,20 +140,26 @@ def matter_chain(items: DataFrame, team: DataFrame, custom: DataFrame | None = N
     Where it names nobody else, those of the matter's team (matter_id, user_id, role) above the submitter's rank review,
     the nearest first, equal ranks by user_id; a submitter from outside the team is below all.
     """
-    asked = items.select("item_id", "matter_id", "submitter_id")
-    ranked = _teams(team)
-    own = asked.join(ranked.select("matter_id", F.col("user_id").alias("submitter_id"), F.col("rank").alias("own")), ["matter_id", "submitter_id"], "left")
+    people = team.select("matter_id", "user_id", seniority(F.col("role")).alias("rank"), F.lit(None).cast("int").alias("place"), F.lit(False).alias("named"))
     if custom is not None:
-        named = custom.where("user_id is not null").groupBy("matter_id", "user_id").agg(F.min("place").alias("place"))
-        others = F.count_if(F.col("user_id") != F.col("submitter_id"))
-        given = asked.join(named, "matter_id")
-        chosen = given.where("user_id <> submitter_id").select("item_id", "place", "user_id")
-        has_own = given.groupBy("item_id").agg(others.alias("n")).where("n > 0").select("item_id")
-        own = own.join(has_own, "item_id", "left_anti")
-    above = own.join(ranked, "matter_id").where("rank > coalesce(own, -1) and user_id <> submitter_id").select("item_id", F.col("rank").alias("place"), "user_id")
-    steps = above if custom is None else above.unionByName(chosen.withColumn("place", F.col("place").cast("int")))
-    order = Window.partitionBy("item_id").orderBy("place", "user_id")
-    return steps.select("item_id", F.row_number().over(order).alias("step"), "user_id", F.lead("user_id").over(order).alias("next"))
+        given = custom.where("user_id is not null").select("matter_id", "user_id", F.lit(None).cast("int").alias("rank"), F.col("place").cast("int").alias("place"), F.lit(True).alias("named"))
+        people = people.unionByName(given)
+    # dealt out first: next to nothing would come together in the part of the table that a task reads
+    people = people.repartition("matter_id").groupBy("matter_id", "user_id").agg(F.max("rank").alias("rank"), F.min("place").alias("place"), F.max("named").alias("named"))
+    people = people.withColumn("n_named", F.count_if("named").over(Window.partitionBy("matter_id")))
+    submitter = people.select("matter_id", F.col("user_id").alias("submitter_id"), F.col("rank").alias("own"), F.col("named").alias("own_named"))
+    # teams grow with the matters, and a task would hold all of them at once if they were sent to every one
+    asked = items.select("item_id", "matter_id", "submitter_id").join(submitter.hint("merge"), ["matter_id", "submitter_id"], "left")
+    met = asked.join(people.hint("merge"), "matter_id").where("user_id <> submitter_id")
+    others = F.col("n_named") > F.coalesce(F.col("own_named"), F.lit(False)).cast("int")
+    steps = met.withColumn("by_rank", ~others).where(F.when(others, F.col("named")).otherwise(F.col("rank") > F.coalesce("own", F.lit(-1))))
+    steps = steps.select("item_id", "by_rank", F.when(F.col("by_rank"), F.col("rank")).otherwise(F.col("place")).alias("place"), "user_id")
+    # an item under several matters keeps to an order of their own where one of them has it
+    order = Window.partitionBy("item_id").orderBy("by_rank", "place", "user_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    follows = F.when(F.lead("by_rank").over(order) == F.col("by_rank"), F.lead("user_id").over(order))
+    numbered = steps.select("item_id", F.row_number().over(order).alias("step"), "user_id", follows.alias("next"), "by_rank", F.first("by_rank").over(so_far).alias("__first"))
+    return numbered.where(F.col("by_rank") == F.col("__first")).select("item_id", "step", "user_id", "next")
 
 
 def chain_owners(items: DataFrame, team: DataFrame, vaults: DataFrame, members: DataFrame, custom: DataFrame | None = None) -> DataFrame:
@@ -170,8 +176,10 @@ def chain_owners(items: DataFrame, team: DataFrame, vaults: DataFrame, members:
     tops = _most_senior(ranked, "matter_id", "tops")
     closers = _most_senior(ranked.where(releasing), "matter_id", "closers")
     firm = members.select("firm_id", "user_id", seniority(F.col("role")).alias("rank")).where(releasing).groupBy("firm_id", "user_id").agg(F.max("rank").alias("rank"))
-    of = items.select("item_id", "matter_id", "submitter_id").join(chain, "item_id", "left").join(tops, "matter_id", "left").join(closers, "matter_id", "left")
-    of = of.join(vaults.select("matter_id", "owner_id", "firm_id"), "matter_id", "left").join(_most_senior(firm, "firm_id", "backstop"), "firm_id", "left")
+    of = items.select("item_id", "matter_id", "submitter_id").join(chain.hint("merge"), "item_id", "left")
+    for matters in (tops, closers, vaults.select("matter_id", "owner_id", "firm_id")):  # they grow with the matters too
+        of = of.join(matters.hint("merge"), "matter_id", "left")
+    of = of.join(_most_senior(firm, "firm_id", "backstop"), "firm_id", "left")
     other = lambda c: F.get(F.filter(c, lambda u: u != F.col("submitter_id")), F.lit(0))
     owner = F.when(F.col("owner_id") != F.col("submitter_id"), F.col("owner_id"))
     first = F.coalesce("first", other("tops"), owner, other("backstop"))

@@ -24,3 +24,12 @@ def test_owners(spark):
     chain = sorted(map(tuple, G.matter_chain(items, team, custom).where("item_id in (1, 2)").collect()))
     assert chain == [(1, 1, 12, 13), (1, 2, 13, None)]
     assert G.matter_chain(items.where("false"), team, custom).count() == 0 and G.chain_owners(items, team.where("false"), vaults, members.where("false")).count() == 7
+
+
+def test_teams_are_not_sent_to_every_task_and_an_item_keeps_to_one_matters_order(spark):
+    items = spark.createDataFrame([(1, 1, 10), (2, 1, 12), (3, 2, 10), (4, 1, 10), (4, 2, 10)], "item_id int, matter_id int, submitter_id int")
+    team = spark.createDataFrame([(1, 10, "associate"), (1, 11, "partner"), (2, 20, "partner"), (2, 10, "paralegal"), (2, 21, "guest")], "matter_id int, user_id int, role string")
+    custom = spark.createDataFrame([(1, None, 12), (1, 4, 11)], "matter_id int, place int, user_id int")
+    chain = G.matter_chain(items, team, custom)
+    assert sorted(map(tuple, chain.collect())) == [(1, 1, 12, 11), (1, 2, 11, None), (2, 1, 11, None), (3, 1, 20, None), (4, 1, 12, 11), (4, 2, 11, None)]
+    assert "BroadcastHashJoin" not in chain._jdf.queryExecution().executedPlan().toString()
