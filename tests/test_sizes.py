@@ -108,6 +108,27 @@ def test_visible_with_repeats_nulls_and_vaults_of_several_firms(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_visible(vaults, members, staffed, screens)[1]))
 
 
+def test_what_partners_see_takes_little_disk(spark, tmp_path):
+    vaults = spark.range(2000).selectExpr("id as vault_id", "id % 4 as firm_id", "id % 50 as owner_id")
+    members = spark.range(8000).selectExpr("id as user_id", "id % 4 as firm_id", "'partner' as role")
+    nothing = spark.createDataFrame([], "user_id long, vault_id long, removed_at string")
+    govern.visible(vaults, members, nothing.drop("removed_at"), nothing).write.parquet(f"{tmp_path}/seen")
+    files = list((tmp_path / "seen").glob("*.parquet"))
+    rows = sum(pq.read_metadata(f).num_rows for f in files)
+    assert rows >= 4_000_000 and sum(f.stat().st_size for f in files) < 0.3 * rows  # before, 0.56 bytes for a row
+
+
+def test_blocks_of_vaults_and_partners_lose_and_repeat_nothing(spark, monkeypatch):
+    for name, n in (("LEFT_BLOCK", 40), ("RIGHT_BLOCK", 15), ("LEFT_PIECE", 7), ("RIGHT_PIECE", 4)):
+        monkeypatch.setattr(govern, name, n)
+    vaults = spark.range(900).selectExpr("if(id = 5, null, id) as vault_id", "if(id % 3 = 0, 0, id % 5) as firm_id", "id % 50 as owner_id")
+    members = spark.range(300).selectExpr("if(id = 7, null, id) as user_id", "if(id % 2 = 0, 0, id % 6) as firm_id", "if(id % 5 = 0, 'associate', 'partner') as role")
+    staffed = spark.range(900).selectExpr("id % 300 as user_id", "id as vault_id")
+    screens = spark.range(900).selectExpr("id % 90 as user_id", "id as vault_id", "if(id % 3 = 0, 'x', null) as removed_at")
+    got = [tuple(r) for r in govern.visible(vaults, members, staffed, screens).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_visible(vaults, members, staffed, screens)[1]
+
+
 def brute_visible(vaults, members, staffed, screens):
     v, m, s = ([tuple(r) for r in df.collect()] for df in (vaults, members, staffed))
     firms = {}
