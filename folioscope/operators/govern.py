@@ -54,8 +54,8 @@ def _pieces(ids: str, most: int) -> Column:
 def crossed(left: DataFrame, right: DataFrame, group: str, a: str, b: str, wanted: Column, parts: int) -> DataFrame:
     """(a, b): every a of ``left`` with every b of ``right`` of the same group, where ``wanted`` holds of a_screened and b_screened.
 
-    Only pairs of blocks are shuffled, about a hundredth of a byte for a row, and each makes some four million rows at most, so that
-    the ``parts`` tasks are even whatever the groups' sizes.  Rows come in the order that columnar files store best: 256 values of
+    Only pairs of blocks are shuffled, about a hundredth of a byte for a row, and each makes some four million rows at most.  The
+    ``parts`` tasks get like numbers of pairs whatever the groups' sizes; blocks of few screened keys make theirs smaller.  Rows come in the order that columnar files store best: 256 values of
     ``a`` again and again, each time beside one ``b``, and few different ids in a task, so that dictionaries hold them.
     """
     met = _blocks(left, group, a, LEFT_BLOCK).join(_blocks(right, group, b, RIGHT_BLOCK), group).where(wanted)
